@@ -231,7 +231,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs_fp = Written(fingerprints(docs, id_col, text_col, shingle, seed), "simhash-fp").df
     nodes = docs_fp.groupBy("fp").agg(F.min("id").alias("node"))
     found = connected_components(links(nodes, bits, block))
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
+    # Written, so that the rows of a very common fingerprint meet their one row in a join that Spark can split.
+    named = Written(nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component")), "simhash-named").df
     return docs_fp.join(named, "fp").select("id", "fp", "component")
 
 
