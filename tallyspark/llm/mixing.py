@@ -84,13 +84,13 @@ def sainte_lague(votes, seats: int, most=None) -> np.ndarray:
     return found
 
 
-def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, *carry) -> DataFrame:
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"))
+    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), *carry)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: int = CAP, block_tokens: int = BLOCK_TOKENS, rows_per_shard: int = ROWS_PER_SHARD, seed: int = SEED) -> DataFrame:
-    """(id, size, source_size, target, taken) of each row.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: int = CAP, block_tokens: int = BLOCK_TOKENS, rows_per_shard: int = ROWS_PER_SHARD, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, size, source_size, target, taken) of each row, and the columns of `docs` that `carry` names, as a struct `row`.
 
     weights: of the sources by code point, null last, repeating.
     """
@@ -107,11 +107,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = [(k, r["source"], math.ceil(r["rows"] / rows_per_shard), r["words"], a) for k, (r, a) in enumerate(zip(sources, aims))]
     source_type = sized.schema["source"].dataType.simpleString()
     by_source = spark.createDataFrame(rows, f"k long, name {source_type}, shards long, source_size long, target double")
-    placed = sized.join(by_source, sized["source"].eqNullSafe(by_source["name"])).withColumn("order", F.xxhash64(F.lit(seed), "id"))
-    placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), "shards"))
+
+    def place(rows: DataFrame) -> DataFrame:
+        found = rows.join(by_source, rows["source"].eqNullSafe(by_source["name"])).withColumn("order", F.xxhash64(F.lit(seed), "id"))
+        return found.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), "shards"))
 
     held: dict[int, list] = {}
-    for r in placed.groupBy("k", "shard").agg(F.sum("size").alias("words")).collect():
+    for r in place(sized).groupBy("k", "shard").agg(F.sum("size").alias("words")).collect():
         held.setdefault(r["k"], []).append((r["shard"], r["words"]))
     shards = []
     for k, own in sorted(held.items()):
@@ -122,6 +124,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     by_shard = spark.createDataFrame(shards, "k long, shard long, blocks long, passes long, rest long, start long")
 
     stream = Window.partitionBy("k", "shard").orderBy("order", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    placed = place(sizes(docs, id_col, text_col, source_col, F.struct(*carry).alias("row")) if carry else sized)
     placed = placed.withColumn("end", F.sum("size").over(stream)).join(by_shard, ["k", "shard"])
 
     def chosen(j):
@@ -133,4 +136,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         return F.col("passes") * x + block * chosen(j) + (x - j * block) * (chosen(j + 1) - chosen(j))
 
     taken = (before(F.col("end")) - before(F.col("end") - F.col("size"))).cast("long")
-    return placed.select("id", "size", "source_size", "target", taken.alias("taken"))
+    return placed.select("id", "size", "source_size", "target", taken.alias("taken"), *(["row"] if carry else []))

@@ -70,13 +70,13 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle: int, seed: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         values = np.array([fingerprint(t, shingle, seed) for t in text_bytes(b.column(1))], np.uint64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values.view(np.int64))], names=["id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(values.view(np.int64))], names=["id", "digest", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(id, fp): the 64-bit fingerprint of each row's whole text, as a signed long."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, fp long"
+    """(id, digest, fp): the 64-bit fingerprint of each row's whole text, as a signed long; digest: a hash of the exact text."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest"))
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, digest long, fp long"
     return rows.mapInArrow(partial(_fingerprint_batches, shingle=shingle, seed=seed), schema)
 
 
@@ -227,13 +227,13 @@ def links(fps: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS, seed: int = SEED, block: int = BLOCK) -> DataFrame:
-    """(id, fp, component): the smallest id reachable over links between fingerprints, itself included."""
+    """(id, digest, fp, component): the smallest id reachable over links between fingerprints, itself included."""
     docs_fp = Written(fingerprints(docs, id_col, text_col, shingle, seed), "simhash-fp").df
     nodes = docs_fp.groupBy("fp").agg(F.min("id").alias("node"))
-    found = connected_components(links(nodes, bits, block))
+    found = connected_components(links(nodes.where("node is not null"), bits, block))
     # Written, so that the rows of a very common fingerprint meet their one row in a join that Spark can split.
     named = Written(nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component")), "simhash-named").df
-    return docs_fp.join(named, "fp").select("id", "fp", "component")
+    return docs_fp.join(named, "fp").select("id", "digest", "fp", "component")
 
 
 def hex_fingerprint(fp):
@@ -241,6 +241,17 @@ def hex_fingerprint(fp):
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its component; of rows that repeat an id all stay together."""
-    keep = simhash_groups(docs, id_col, text_col, **options).where("id = component").select(F.col("id").alias("_kept")).distinct()
-    return docs.join(keep, docs[id_col] == keep["_kept"], "left_semi")
+    """One row of each group of `docs`: the one with the smallest id, of rows with equal ids that of the smallest text hash.
+
+    A null id comes after all others; a group without any id is the rows of one fingerprint.
+    """
+    groups = simhash_groups(docs, id_col, text_col, **options)
+    group = [F.col("component"), F.when(F.col("component").isNull(), F.col("fp")).alias("alone")]
+    rows = groups.groupBy(*group, "id", "digest").agg(F.count("*").alias("n"))
+    first = rows.groupBy("component", "alone").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "digest", "n")).alias("first"))
+    first = first.select(F.col("first.id").alias("_id"), F.col("first.digest").alias("_digest"), F.col("first.n").alias("_n"))
+    keep = Written(first, "simhash-kept").df
+    same = docs[id_col].eqNullSafe(keep["_id"]) & (F.xxhash64(docs[text_col]) == keep["_digest"])
+    # Only rows that repeat both id and text need to be thinned out.
+    repeated = docs.join(keep.where("_n > 1"), same, "left_semi").dropDuplicates([id_col, text_col])
+    return docs.join(keep.where("_n = 1"), same, "left_semi").unionByName(repeated)
