@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, mixing, quality, secrets, simhash, toxicity
-from .common import table
+from . import chat, decontamination, language, mixing, quality, secrets, simhash, toxicity
+from .common import Written, table
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,18 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "c.n_words", n_hit.alias("n_hit"), F.size("c.items").cast("long").alias("n_items"), decontamination.item_digest(F.col("c.items")).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages have all four kinds of evidence; documents their text and, as a host's, their source's prior."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    languages, logs = language.train(docs)
+    none = F.lit(None).cast("string")
+    of_docs = docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), language.text_likelihood(F.col("text"), logs, False).alias("logs"), none.alias("declared"), none.alias("suffix"), F.concat(F.lit("source:"), "source").alias("host"))
+    url, html = F.col("url"), F.col("html")
+    of_pages = pages.select(F.lit(None).cast("long").alias("doc_id"), "page_id", language.text_likelihood(html, logs, True).alias("logs"), language.declared_of(html).alias("declared"), language.suffix_of(url).alias("suffix"), language.host_of(url).alias("host"))
+    rows = Written(of_docs.unionByName(of_pages), "language-rows").df
+    return language.fuse(rows, languages).select("doc_id", "page_id", "language", "score", "declared", "suffix", "host")
+
+
 OP9_SQL = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -89,7 +101,7 @@ FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_chat_format, op3_secret_scan, op6_source_mix, op7_quality, op8_toxicity, op9_decontamination)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_chat_format, op3_secret_scan, op6_source_mix, op7_quality, op8_toxicity, op9_decontamination, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
