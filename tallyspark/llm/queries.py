@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, language, mixing, quality, secrets, simhash, toxicity
+from . import chat, decontamination, language, media, mixing, quality, secrets, simhash, toxicity
 from .common import Written, table
 
 
@@ -37,6 +37,15 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.media_digest(media.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    read = media.decode_media(stored, tensors=False)
+    return read.select(
+        "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -media.UNIT, media.UNIT)).alias("tail_crc32"), "media_bytes", "media_sha256", "feature",
+    )
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -101,7 +110,7 @@ FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_chat_format, op3_secret_scan, op6_source_mix, op7_quality, op8_toxicity, op9_decontamination, op10_language_id)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_chat_format, op3_secret_scan, op4_progressive_jpeg, op6_source_mix, op7_quality, op8_toxicity, op9_decontamination, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
