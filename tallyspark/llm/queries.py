@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, language, media, mixing, quality, secrets, simhash, toxicity
+from . import chat, decontamination, html_text, language, media, mixing, quality, secrets, simhash, toxicity
 from .common import Written, table
 
 
@@ -46,6 +46,11 @@ def op4_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "pages").select("page_id", "url", html_text.extracted(F.col("html")).alias("text"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -110,7 +115,7 @@ FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_chat_format, op3_secret_scan, op4_progressive_jpeg, op6_source_mix, op7_quality, op8_toxicity, op9_decontamination, op10_language_id)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_chat_format, op3_secret_scan, op4_progressive_jpeg, op5_html_extraction, op6_source_mix, op7_quality, op8_toxicity, op9_decontamination, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
