@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of payload after which a Python stage hands an Arrow batch back.
 OUT_BYTES = 4 << 20
@@ -45,6 +46,21 @@ class Written:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_label: tuple[int, int], most_chars: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[bytes], np.ndarray]:
+    """Texts and labels of a bounded sample: of the rows of `labels` with label 0 and 1 the
+    `per_label` lowest by a hash of the id, without texts over `most_chars` characters.
+
+    The sample's ids are chosen from `labels` alone; only they (at most as many rows as the
+    bounds say) are broadcast to the scan of `docs`, so no text is shuffled.
+    """
+    rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.xxhash64(id_col).alias("h"))
+    low, high = (rows.where(F.col("label") == label).orderBy("h", "id").limit(n) for label, n in enumerate(per_label))
+    chosen = F.broadcast(low.unionByName(high).dropDuplicates(["id"]))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= most_chars)
+    found = texts.join(chosen, "id").select("label", "h", "id", "text").toPandas().sort_values(["h", "id", "text"], ignore_index=True)
+    return [t.encode() for t in found["text"]], found["label"].to_numpy()
+
+
 def ascii_words(text: bytes) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case."""
     return text.lower().split()

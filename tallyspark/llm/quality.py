@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import labelled_sample, text_bytes
 from .features import Words, chunks
 
 PASSAGE = 64
-SAMPLE = 3000
+SAMPLE = (3000, 3000)
 SAMPLE_CHARS = 20_000
 HIDDEN, GATE = 24, 12
 STEPS = 300
@@ -183,11 +183,5 @@ def quality(text, model: Model):
     return scored(text)
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "quality", id_col: str = "doc_id", per_label: int = SAMPLE, most_chars: int = SAMPLE_CHARS) -> Model:
-    rows = labelled.where(F.col(text_col).isNotNull() & (F.length(text_col) <= most_chars))
-    texts, labels = [], []
-    for label in (0, 1):
-        found = rows.where(F.col(label_col) == label).select(F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id")).orderBy("h", "id", "text").limit(per_label).select("text").toPandas()
-        texts += [t.encode() for t in found["text"]]
-        labels += [label] * len(found)
-    return fit(texts, np.array(labels))
+def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "quality", id_col: str = "doc_id", per_label: tuple[int, int] = SAMPLE, most_chars: int = SAMPLE_CHARS) -> Model:
+    return fit(*labelled_sample(docs, labels, label_col, per_label, most_chars, id_col, text_col))

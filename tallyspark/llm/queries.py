@@ -55,21 +55,17 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-def labelled(spark: SparkSession, sf_dir: str, folds: int, fold: int) -> DataFrame:
-    """Documents with labels, without the held-out fold."""
-    labels = table(spark, sf_dir, "labels").where(~toxicity.held_out("doc_id", folds, fold))
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
-
-
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = quality.train(labelled(spark, sf_dir, 4, 2))
-    found = table(spark, sf_dir, "documents").select("doc_id", quality.quality(F.col("text"), model).alias("q"))
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.where(~toxicity.held_out("doc_id", 4, 2)))
+    found = docs.select("doc_id", quality.quality(F.col("text"), model).alias("q"))
     return found.select("doc_id", toxicity.held_out("doc_id", 4, 2).alias("held_out"), "q.score", (F.col("q.score") >= 0.7).cast("int").alias("predicted"), "q.n_passages", "q.top_weight")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = toxicity.train(labelled(spark, sf_dir, 5, 0))
-    found = table(spark, sf_dir, "documents").select("doc_id", toxicity.toxicity(F.col("text"), model).alias("t"))
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(~toxicity.held_out("doc_id", 5, 0)))
+    found = docs.select("doc_id", toxicity.toxicity(F.col("text"), model).alias("t"))
     spans = F.array_join(F.transform("t.sentences", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return found.select("doc_id", toxicity.held_out("doc_id", 5, 0).alias("held_out"), "t.score", (F.col("t.score") >= 0.5).cast("int").alias("predicted"), spans.alias("sentences"))
 

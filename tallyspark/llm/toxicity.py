@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import labelled_sample, text_bytes
 from .features import Words, chunks, code_points
 
 BUCKETS = 1 << 18
 #: Besides a word itself, its first letters are features, in bytes.
 PREFIXES = (4, 5, 6)
-SAMPLE = (8000, 4000)
-SAMPLE_CHARS = 20_000
+SAMPLE = (4000, 2500)
+SAMPLE_CHARS = 8_000
 STEPS = 120
 RATE = 0.15
 SPARSE = 1e-4
@@ -45,6 +45,9 @@ BIAS = -7.0
 class Model:
     weights: np.ndarray
     bias: float
+    #: Calibration of the document's logit.
+    slope: float = 1.0
+    shift: float = 0.0
 
 
 def bucket(h: np.ndarray) -> np.ndarray:
@@ -61,26 +64,51 @@ def _distinct(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return pair // BUCKETS, pair % BUCKETS
 
 
-def bags(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sentence of each distinct word, its bucket, document of each sentence)."""
+def bags(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sentence of each distinct feature, its bucket, document of each sentence, number of documents that hold each bucket)."""
     found, sentences, docs = [], 0, 0
+    holders = np.zeros(BUCKETS, np.int32)
     for part in chunks(texts):
         w = Words(part)
         s, b = _distinct(w)
         first = np.concatenate(([True], w.sentence[1:] != w.sentence[:-1])) if len(w.sentence) else np.zeros(0, bool)
-        found.append((s + sentences, b, w.doc[first] + docs))
-        sentences += len(found[-1][2])
+        doc = w.doc[first]
+        holders += np.bincount(np.unique(doc[s] * BUCKETS + b) % BUCKETS, minlength=BUCKETS).astype(np.int32)
+        found.append(((s + sentences).astype(np.int32), b.astype(np.int32), (doc + docs).astype(np.int32)))
+        sentences += len(doc)
         docs += len(part)
-    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    none = (np.zeros(0, np.int32),) * 3
+    return *(tuple(np.concatenate(x) for x in zip(*found)) if found else none), holders
+
+
+def calibrated(scores: np.ndarray, model: Model) -> np.ndarray:
+    p = np.clip(scores, 1e-9, 1 - 1e-9)
+    return 1 / (1 + np.exp(-np.clip(model.slope * np.log(p / (1 - p)) + model.shift, -30, 30)))
 
 
 def fit(texts: list[bytes], labels: np.ndarray, steps: int = STEPS) -> Model:
+    """Weights from four fifths of the sample; slope and shift of the document's logit from the rest."""
+    part = np.arange(len(labels)) % 5 == 4
+    model = _weights([t for t, held in zip(texts, part) if not held], labels[~part], steps)
+    y = labels[part].astype(float)
+    if len(y) and 0 < y.mean() < 1:
+        p = np.clip(scores([t for t, held in zip(texts, part) if held], model)[0], 1e-9, 1 - 1e-9)
+        x = np.stack((np.log(p / (1 - p)), np.ones(len(p))), axis=1)
+        prior = beta = np.array([1.0, 0.0])
+        for _ in range(50):
+            q = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+            slope = x.T @ (q - y) + beta - prior
+            beta = beta - np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.eye(2), slope)
+        model.slope, model.shift = max(float(beta[0]), 0.1), float(beta[1])
+    return model
+
+
+def _weights(texts: list[bytes], labels: np.ndarray, steps: int) -> Model:
     """Full-batch Adam on the log loss of the noisy-or, with an absolute penalty that keeps rare words out."""
     y = labels.astype(float)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(BUCKETS, np.float32), BIAS)
-    sentence, at, doc = bags(texts)
-    holders = np.bincount(np.unique(doc[sentence] * BUCKETS + at) % BUCKETS, minlength=BUCKETS)
+    sentence, at, doc, holders = bags(texts)
     keep = holders[at] >= LEAST_DOCS
     sentence, at = sentence[keep], at[keep]
     n = len(y)
@@ -132,6 +160,7 @@ def toxicity(text, model: Model):
     def scored(column: pa.Array) -> pa.Array:
         texts = text_bytes(column)
         found, located = scores(texts, model)
+        found = calibrated(found, model)
         shown = []
         for t, spots in zip(texts, located):
             at = code_points(t, [o for s in spots for o in s[:2]]) if spots else []
@@ -141,20 +170,8 @@ def toxicity(text, model: Model):
     return scored(text)
 
 
-def sample(labelled: DataFrame, text_col: str, label_col: str, id_col: str, per_label: tuple[int, int] = SAMPLE, most_chars: int = SAMPLE_CHARS) -> tuple[list[bytes], np.ndarray]:
-    """At most `per_label` rows of the labels 0 and 1, the lowest by a hash of the id."""
-    rows = labelled.where(F.col(text_col).isNotNull() & (F.length(text_col) <= most_chars))
-    texts, labels = [], []
-    for label in (0, 1):
-        found = rows.where(F.col(label_col) == label).select(F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id")).orderBy("h", "id", "text").limit(per_label[label]).select("text").toPandas()
-        texts += [t.encode() for t in found["text"]]
-        labels += [label] * len(found)
-    return texts, np.array(labels)
-
-
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", **bounds) -> Model:
-    texts, labels = sample(labelled, text_col, label_col, id_col, **bounds)
-    return fit(texts, labels)
+def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", per_label: tuple[int, int] = SAMPLE, most_chars: int = SAMPLE_CHARS) -> Model:
+    return fit(*labelled_sample(docs, labels, label_col, per_label, most_chars, id_col, text_col))
 
 
 def held_out(id_col, folds: int, fold: int):
