@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,17 @@ from pyspark.sql import functions as F
 OUT_BYTES = 4 << 20
 
 
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches() -> None:
+    """Bounds Arrow batches by bytes beside the usual row count, so that long texts don't fill a worker."""
+    conf, key = SparkSession.active().conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", conf.get(key)) or 0) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -71,26 +82,6 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def batched(rows: Iterator[tuple], schema: pa.Schema, size=None, limit: int = OUT_BYTES, most: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of at most `most` rows or about `limit` bytes, whichever comes first.
-
-    size: gives the bytes of a row (none: rows alone count).
-    """
-    held, n = [], 0
-    for row in rows:
-        held.append(row)
-        n += size(row) if size else 0
-        if len(held) >= most or n >= limit:
-            yield _batch(held, schema)
-            held, n = [], 0
-    if held:
-        yield _batch(held, schema)
-
-
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
-
 def joined_text(texts: list[bytes], gap: bytes = b"\n") -> tuple[np.ndarray, np.ndarray]:
     """All texts in one byte array, each followed by `gap`; the start of each and the end of all."""
     lengths = np.fromiter((len(t) + len(gap) for t in texts), np.int64, len(texts))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import bounded_batches, text_bytes
 
 WINDOW = 10
 #: Benchmark text, in bytes, that one automaton holds; about 10 nodes for each byte.
@@ -104,18 +104,31 @@ def offsets(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 RUN = pa.list_(pa.struct([("first_word", pa.int32()), ("end_word", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _scanned(texts: pa.Array, blocks, window: int) -> pa.Array:
-    texts = text_bytes(texts)
-    found = [words(t) for t in texts]
-    ends, who = [[] for _ in texts], [set() for _ in texts]
+def _united(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs that touch or overlap as one."""
+    found: list[tuple[int, int]] = []
+    for s, e in sorted(runs):
+        if found and s <= found[-1][1]:
+            found[-1] = (found[-1][0], max(e, found[-1][1]))
+        else:
+            found.append((s, e))
+    return found
+
+
+def _scanned(column: pa.Array, blocks, window: int) -> pa.Array:
+    """One text's words are held at a time; with several automata the batch is scanned once for each."""
+    texts = text_bytes(column)
+    n, runs, who = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
     for block in blocks:
-        for k, f in enumerate(found):
-            more, ids = matches(f, block.value, window)
-            ends[k] += more
-            who[k] |= ids
-    runs = [runs_of(f, e) for f, e in zip(found, ends)]
+        for k, text in enumerate(texts):
+            found = words(text)
+            ends, ids = matches(found, block.value, window)
+            n[k] = len(found)
+            if ends:
+                runs[k] = _united(runs[k] + runs_of(found, ends))
+                who[k] |= ids
     shown = [[{"first_word": w[0], "end_word": w[1], "start": o[0], "end": o[1]} for w, o in zip(r, offsets(t, r))] for t, r in zip(texts, runs)]
-    return pa.StructArray.from_arrays([pa.array([len(f) for f in found], pa.int64()), pa.array(shown, RUN), pa.array([sorted(w) for w in who], pa.list_(pa.string()))], names=["n_words", "runs", "items"])
+    return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(shown, RUN), pa.array([sorted(w) for w in who], pa.list_(pa.string()))], names=["n_words", "runs", "items"])
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[Items]:
@@ -132,6 +145,7 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -
 
 def contamination(text, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES):
     """Column (n_words, runs, items) of the column `text`: the hit runs, with word numbers and offsets, and the items that occur."""
+    bounded_batches()
     context = benchmark.sparkSession.sparkContext
     dealt = [context.broadcast(x) for x in blocks(benchmark, item_col, item_text_col, block_bytes)]
 

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 # Elements of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript template iframe xmp noframes".split())
@@ -269,6 +271,7 @@ def main_text(page: str | None) -> str:
 
 def extracted(page: Column) -> Column:
     """Column of the main texts of the pages in column `page`."""
+    bounded_batches()
 
     @F.arrow_udf("string")
     def text(column: pa.Array) -> pa.Array:

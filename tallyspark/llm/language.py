@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, text_bytes
+from .common import Written, bounded_batches, text_bytes
 from .features import Words, chunks, mixed
 
 BUCKETS = 1 << 14
@@ -80,6 +80,7 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang") -> t
     The table that reaches the driver has `BUCKETS` numbers for each language.
     """
     rows = docs.where(F.col(label_col).isNotNull()).select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"))
+    bounded_batches()
     counts = rows.mapInArrow(_count_batches, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["label"].unique().tolist())
     table = np.full((len(languages), BUCKETS), SMOOTHING)
@@ -105,6 +106,7 @@ def plain(html: bytes) -> bytes:
 
 def text_likelihood(text: Column, table: np.ndarray, is_html: bool) -> Column:
     """Column of array<double>: the log likelihoods, by language."""
+    bounded_batches()
 
     @F.arrow_udf("array<double>")
     def scored(column: pa.Array) -> pa.Array:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OUT_BYTES, text_bytes
+from .common import OUT_BYTES, bounded_batches, text_bytes
 
 UNIT = 64
 #: MCUs (six blocks) in a row of the image, at most.
@@ -468,12 +468,14 @@ def _schema(df: DataFrame, without: str, more: str) -> tuple[str, list[str]]:
 
 def encode_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with `n_bytes` and `media`, its texts as progressive JPEG, in place of the text column."""
+    bounded_batches()
     schema, names = _schema(docs, text_col, "n_bytes long, media binary")
     return docs.mapInArrow(partial(_encode_batches, drop=docs.columns.index(text_col), names=names), schema)
 
 
 def decode_media(media: DataFrame, media_col: str = "media", tensors: bool = True) -> DataFrame:
     """`media` with `payload`, `height`, `width`, `rgb` (the tensor's bytes; null without `tensors`) and `feature` in place of the media column."""
+    bounded_batches()
     schema, names = _schema(media, media_col, "payload binary, height int, width int, rgb binary, feature string")
     return media.mapInArrow(partial(_decode_batches, drop=media.columns.index(media_col), names=names, tensors=tensors), schema)
 

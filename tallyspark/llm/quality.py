@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, text_bytes
+from .common import bounded_batches, labelled_sample, text_bytes
 from .features import Words, chunks
 
 PASSAGE = 64
@@ -96,8 +96,11 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         x[:, k + 4] = np.log1p(np.bincount(at, length > 14, total) / held)
         x[:, k + 5] = np.log1p(np.bincount(at, minlength=total))
         pair = (w.bytes[:-1].astype(np.int64) * 31 + w.bytes[1:]) % PAIR_BUCKETS
-        of = np.repeat(np.arange(total), np.diff(edge))[: len(pair)]
-        x[:, k + 6 :] = np.bincount(of * PAIR_BUCKETS + pair, minlength=total * PAIR_BUCKETS).reshape(total, PAIR_BUCKETS) / size[:, None]
+        own = np.ones(len(w.bytes), bool)
+        own[w.starts[1:] - 1] = False  # no pair reaches into the next text
+        at_pair = np.nonzero(own[: len(pair)])[0]
+        of = np.repeat(np.arange(total), np.diff(edge))[at_pair]
+        x[:, k + 6 :] = np.bincount(of * PAIR_BUCKETS + pair[at_pair], minlength=total * PAIR_BUCKETS).reshape(total, PAIR_BUCKETS) / size[:, None]
         rows.append(x)
         docs.append(doc + before)
         before += n
@@ -173,12 +176,13 @@ def scores(texts: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray, np
 
 def quality(text, model: Model):
     """Column (score, n_passages, top_weight) of the column `text`."""
+    bounded_batches()
 
     @F.arrow_udf("struct<score:double,n_passages:bigint,top_weight:double>")
     def scored(column: pa.Array) -> pa.Array:
         found = [scores(part, model) for part in chunks(text_bytes(column))]
         score, count, most = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0),) * 3
-        return pa.StructArray.from_arrays([pa.array(score, pa.float64()), pa.array(count.astype(np.int64)), pa.array(most, pa.float64())], names=["score", "n_passages", "top_weight"])
+        return pa.StructArray.from_arrays([pa.array(np.round(score, 9), pa.float64()), pa.array(count.astype(np.int64)), pa.array(most, pa.float64())], names=["score", "n_passages", "top_weight"])
 
     return scored(text)
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, batched
+from .common import Written, bounded_batches
 
 KINDS = ("assign", "access", "hex", "live")
 #: Least length of the value of each base kind.
@@ -80,6 +80,7 @@ def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
     """(id, repo, owner, digest, found): the candidates of each row; digest: of its text."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(repo_col).alias("repo"), F.col(owner_col).alias("owner"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest"))
+    bounded_batches()
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("id", "repo", "owner")}
     return rows.mapInArrow(_scan_batches, f"id {kinds['id']}, repo {kinds['repo']}, owner {kinds['owner']}, digest long, found array<struct<kind:tinyint,start:int,end:int,value:bigint>>")
 

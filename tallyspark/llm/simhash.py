@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, ascii_words, batched, text_bytes
+from .common import Written, ascii_words, bounded_batches, text_bytes
 from .components import connected_components
 
 SEED = 42
@@ -76,6 +76,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle: int, seed:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(id, digest, fp): the 64-bit fingerprint of each row's whole text, as a signed long; digest: a hash of the exact text."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest"))
+    bounded_batches()
     schema = f"id {rows.schema['id'].dataType.simpleString()}, digest long, fp long"
     return rows.mapInArrow(partial(_fingerprint_batches, shingle=shingle, seed=seed), schema)
 

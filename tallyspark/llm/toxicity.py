@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, text_bytes
+from .common import bounded_batches, labelled_sample, text_bytes
 from .features import Words, chunks, code_points
 
 BUCKETS = 1 << 18
@@ -81,9 +81,13 @@ def bags(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return *(tuple(np.concatenate(x) for x in zip(*found)) if found else none), holders
 
 
-def calibrated(scores: np.ndarray, model: Model) -> np.ndarray:
-    p = np.clip(scores, 1e-9, 1 - 1e-9)
-    return 1 / (1 + np.exp(-np.clip(model.slope * np.log(p / (1 - p)) + model.shift, -30, 30)))
+def logit(quiet: np.ndarray) -> np.ndarray:
+    """Logit of a document's score from -log of its chance of no offending sentence."""
+    return np.where(quiet > 30, quiet, np.log(np.expm1(np.clip(quiet, 1e-30, 30))))
+
+
+def calibrated(quiet: np.ndarray, model: Model) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(model.slope * logit(quiet) + model.shift, -300, 300)))
 
 
 def fit(texts: list[bytes], labels: np.ndarray, steps: int = STEPS) -> Model:
@@ -92,14 +96,14 @@ def fit(texts: list[bytes], labels: np.ndarray, steps: int = STEPS) -> Model:
     model = _weights([t for t, held in zip(texts, part) if not held], labels[~part], steps)
     y = labels[part].astype(float)
     if len(y) and 0 < y.mean() < 1:
-        p = np.clip(scores([t for t, held in zip(texts, part) if held], model)[0], 1e-9, 1 - 1e-9)
-        x = np.stack((np.log(p / (1 - p)), np.ones(len(p))), axis=1)
+        x = logit(silence([t for t, held in zip(texts, part) if held], model)[0])
+        x = np.stack((x, np.ones(len(x))), axis=1)
         prior = beta = np.array([1.0, 0.0])
         for _ in range(50):
             q = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
             slope = x.T @ (q - y) + beta - prior
             beta = beta - np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.eye(2), slope)
-        model.slope, model.shift = max(float(beta[0]), 0.1), float(beta[1])
+        model.slope, model.shift = float(np.clip(beta[0], 0.1, 3)), float(beta[1])
     return model
 
 
@@ -115,9 +119,9 @@ def _weights(texts: list[bytes], labels: np.ndarray, steps: int) -> Model:
     w, m, v = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     w[-1] = BIAS
     for step in range(1, steps + 1):
-        logit = np.bincount(sentence, w[at], len(doc)) + w[-1]
-        p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        quiet = np.bincount(doc, np.logaddexp(0, logit), n)
+        z = np.bincount(sentence, w[at], len(doc)) + w[-1]
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        quiet = np.bincount(doc, np.logaddexp(0, z), n)
         none = np.exp(-quiet)
         # d(-log P)/d(logit) of a sentence: p for a clean document, -p (1-P)/P for a toxic one.
         pull = np.where(y == 1, -none / np.maximum(1 - none, 0.02), 1.0) / n
@@ -129,8 +133,8 @@ def _weights(texts: list[bytes], labels: np.ndarray, steps: int) -> Model:
     return Model(w[:-1].astype(np.float32), float(w[-1]))
 
 
-def scores(texts: list[bytes], model: Model) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
-    """Score of each text; (start, end, score) in bytes of its offending sentences."""
+def silence(texts: list[bytes], model: Model) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
+    """-log of each text's chance of no offending sentence, the noisy-or's complement; (start, end, score) in bytes of its offending sentences."""
     every, located = [], []
     for part in chunks(texts):
         w = Words(part)
@@ -140,27 +144,28 @@ def scores(texts: list[bytes], model: Model) -> tuple[np.ndarray, list[list[tupl
             s, b = _distinct(w)
             first = np.nonzero(np.concatenate(([True], w.sentence[1:] != w.sentence[:-1])))[0]
             last = np.concatenate((first[1:] - 1, [len(w.sentence) - 1]))
-            logit = np.bincount(s, model.weights[b], len(first)) + model.bias
+            z = np.bincount(s, model.weights[b], len(first)) + model.bias
             doc = w.doc[first]
             has = np.bincount(doc, minlength=n) > 0
-            quiet = np.where(has, np.bincount(doc, np.logaddexp(0, logit), n), quiet)
-            for k in np.nonzero(logit >= np.log(LOCATE / (1 - LOCATE)))[0].tolist():
+            quiet = np.where(has, np.bincount(doc, np.logaddexp(0, z), n), quiet)
+            for k in np.nonzero(z >= np.log(LOCATE / (1 - LOCATE)))[0].tolist():
                 base = w.starts[doc[k]]
-                spots[doc[k]].append((int(w.start[first[k]] - base), int(w.end[last[k]] - base), float(1 / (1 + np.exp(-logit[k])))))
-        every.append(-np.expm1(-quiet))
+                spots[doc[k]].append((int(w.start[first[k]] - base), int(w.end[last[k]] - base), float(1 / (1 + np.exp(-z[k])))))
+        every.append(quiet)
         located += spots
     return (np.concatenate(every) if every else np.zeros(0)), located
 
 
 def toxicity(text, model: Model):
     """Column (score, sentences): sentences as (start, end, score) in code points, those that offend."""
+    bounded_batches()
     sentence = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     @F.arrow_udf("struct<score:double,sentences:array<struct<start:int,end:int,score:double>>>")
     def scored(column: pa.Array) -> pa.Array:
         texts = text_bytes(column)
-        found, located = scores(texts, model)
-        found = calibrated(found, model)
+        quiet, located = silence(texts, model)
+        found = calibrated(quiet, model)
         shown = []
         for t, spots in zip(texts, located):
             at = code_points(t, [o for s in spots for o in s[:2]]) if spots else []
