@@ -9,7 +9,7 @@ Windows don't nest: an argument is a column of the grid or arithmetic over such
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from . import periods
@@ -29,8 +29,14 @@ class Grid:
 
     def __init__(self, entity: tuple[str, ...] = ("document_id",)):
         self.entity = entity
-        self.by_year = Window.partitionBy(*entity, "kind", "part").orderBy("fiscal_year")
-        self.by_period = Window.partitionBy(*entity, "kind").orderBy("seq_index")
+
+    @property
+    def by_year(self) -> WindowSpec:
+        return Window.partitionBy(*self.entity, "kind", "part").orderBy("fiscal_year")
+
+    @property
+    def by_period(self) -> WindowSpec:
+        return Window.partitionBy(*self.entity, "kind").orderBy("seq_index")
 
     def _at(self, x: Column, window, back: int) -> Column:
         return F.max(x).over(window.rangeBetween(-back, -back))
