@@ -7,8 +7,8 @@ blocks fill a YCbCr 4:2:0 image: luma first, then Cb, then Cr; spare blocks hold
 and an APP11 segment says how many blocks are payload.
 
 Scans, as spectral selection and successive approximation have them: DC of all components
-(less one bit), AC 1-5 and 6-63 of each component (less two bits), AC refinements of either
-bit, the DC refinement. The decoder accumulates any such scans into coefficient arrays
+(less one bit), AC 1-5 and 6-63 of each component (less one bit), the AC refinement of each
+component, the DC refinement. The decoder accumulates any such scans into coefficient arrays
 (baseline Huffman tables of any shape, no restart intervals), reads the payload back from them, and
 for pixels inverse-transforms in numpy, repeats chroma to full resolution and converts to
 an RGB tensor of height x width x 3 bytes. Runs of equal codes and runs of blocks
@@ -36,7 +36,7 @@ UNIT = 64
 #: MCUs (six blocks) in a row of the image, at most.
 ROW_MCUS = 64
 MARK = b"UNITS"
-DC_LOW, AC_LOW = 1, 2
+DC_LOW, AC_LOW = 1, 1
 BANDS = ((1, 5), (6, 63))
 COMPONENTS = ((1, 2), (2, 1), (3, 1))  # (id, sampling factor either way)
 
@@ -49,9 +49,9 @@ def _zigzag() -> np.ndarray:
 
 ZIGZAG = _zigzag()
 #: Code lengths of the symbols, in the order of their codes. DC: sizes 0 to 11, four bits each. AC: one
-#: bit for a coefficient of six bits, five for the runs of ended blocks.
+#: bit for a coefficient of seven bits, five for the runs of ended blocks.
 DC_TABLE = [(4, s) for s in range(12)]
-AC_TABLE = [(1, 0x06), *((5, n << 4) for n in range(15))]
+AC_TABLE = [(1, 0x07), *((5, n << 4) for n in range(15))]
 
 
 def canonical(table: list[tuple[int, int]]) -> dict[int, tuple[int, int]]:
@@ -157,9 +157,9 @@ def encode(payload: bytes) -> bytes:
     edges = [0, 4 * across * down, 5 * across * down, total]
     low = raw & 127
     tops = (128 + low) >> AC_LOW
-    tops = np.where(raw >> 7, 63 - tops, tops)
-    coded = np.zeros((total, 64, 7), np.uint8)
-    coded[:, :, 1:] = np.unpackbits((tops << 2).astype(np.uint8)[:, :, None], axis=2)[:, :, :6]
+    tops = np.where(raw >> 7, 127 - tops, tops).astype(np.uint8)
+    # The code 0 and seven bits are one byte of the scan.
+    coded = np.unpackbits(tops[:, :, None], axis=2)
     for c, (s, e) in zip(every, zip(edges, edges[1:])):
         for first, last in BANDS:
             out.append(_scan([c], first, last, 0, AC_LOW, _packed(coded[s:e, first : last + 1].ravel())))
@@ -243,11 +243,14 @@ def _ac_first(bits: _Bits, c: np.ndarray, blocks: np.ndarray, table: tuple, firs
             stride = length + size
             n = min(end - at, (len(bits.bits) - before) // stride)
             groups = bits.bits[before : before + n * stride].reshape(n, stride)
-            same = (groups[:, :length] == [int(b) for b in f"{code:0{length}b}"]).all(axis=1)
+            same = np.ones(n, bool)
+            for i, bit in enumerate(f"{code:0{length}b}"):
+                same &= groups[:, i] == int(bit)
             n = n if same.all() else int(np.argmin(same))
             if not n:
                 raise ValueError("the scan is cut")
-            value = groups[:n, length:].astype(np.int32) @ (1 << np.arange(size - 1, -1, -1)).astype(np.int32)
+            packed = np.packbits(groups[:n, length:], axis=1).astype(np.int32)
+            value = packed[:, 0] >> (8 - size) if size <= 8 else (packed[:, 0] << 8 | packed[:, 1]) >> (16 - size)
             flat[at : at + n] = np.where(value < 1 << (size - 1), value - (1 << size) + 1, value)
             at, bits.at = at + n, before + n * stride
         elif size:
@@ -301,6 +304,25 @@ def _ac_refine(bits: _Bits, c: np.ndarray, blocks: np.ndarray, table: tuple, fir
     c[blocks, first : last + 1] = part
 
 
+@lru_cache(256)
+def _own_blocks(across: int, down: int, wide: int) -> np.ndarray:
+    """Blocks of a component that a scan of it alone holds, in order."""
+    return (np.arange(down)[:, None] * wide + np.arange(across)).ravel()
+
+
+@lru_cache(256)
+def _interleaved(across: int, down: int, parts: tuple[tuple[int, int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Block and component of each step of an interleaved scan."""
+    mcu = np.arange(across * down)
+    at, which = [], []
+    for i, (h, v, wide) in enumerate(parts):
+        for y in range(v):
+            for x in range(h):
+                at.append((mcu // across * v + y) * wide + mcu % across * h + x)
+                which.append(np.full(len(mcu), i))
+    return np.stack(at, axis=1).ravel(), np.stack(which, axis=1).ravel()
+
+
 class Image:
     """Coefficient arrays (blocks x 64, zigzag order, rows of blocks padded to whole MCUs) of each component."""
 
@@ -358,20 +380,12 @@ class Image:
         ids = [body[2 + 2 * i] for i in range(n)]
         first, last, high, low = body[1 + 2 * n], body[2 + 2 * n], body[3 + 2 * n] >> 4, body[3 + 2 * n] & 15
         bits = _Bits(data)
-        own = lambda k: (np.arange(k["own"][1])[:, None] * k["wide"] + np.arange(k["own"][0])).ravel()
         if first == 0:
             if n == 1:
-                at = own(parts[0])
+                at = _own_blocks(*parts[0]["own"], parts[0]["wide"])
                 which = np.zeros(len(at), np.int64)
             else:
-                mcu = np.arange(self.across * self.down)
-                at, which = [], []
-                for i, k in enumerate(parts):
-                    for y in range(k["v"]):
-                        for x in range(k["h"]):
-                            at.append((mcu // self.across * k["v"] + y) * k["wide"] + mcu % self.across * k["h"] + x)
-                            which.append(np.full(len(mcu), i))
-                at, which = np.stack(at, axis=1).ravel(), np.stack(which, axis=1).ravel()
+                at, which = _interleaved(self.across, self.down, tuple((k["h"], k["v"], k["wide"]) for k in parts))
             if high:
                 found = bits.take(len(at)).astype(np.int32) << low
                 for i, k in enumerate(parts):
@@ -379,7 +393,7 @@ class Image:
             else:
                 _dc_first(bits, [k["c"] for k in parts], list(zip(which.tolist(), at.tolist())), [tables[t >> 4] for t in ids], low)
         else:
-            (_ac_refine if high else _ac_first)(bits, parts[0]["c"], own(parts[0]), tables[0x10 | ids[0] & 15], first, last, low)
+            (_ac_refine if high else _ac_first)(bits, parts[0]["c"], _own_blocks(*parts[0]["own"], parts[0]["wide"]), tables[0x10 | ids[0] & 15], first, last, low)
 
     def payload(self) -> bytes:
         """The bytes that `encode` stored."""
