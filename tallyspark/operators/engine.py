@@ -134,9 +134,12 @@ def anomalies(metrics: DataFrame, samples: DataFrame | None = None) -> DataFrame
 
 
 def analyse(facts: DataFrame, documents: DataFrame, samples: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The whole engine: issues, grid, metrics, outcomes, latest outcomes and anomalies."""
+    """The whole engine: issues, grid, metrics, outcomes, latest outcomes and anomalies.
+
+    The grid is persisted, as several of the frames read it; call ``unpersist`` on it when done.
+    """
     kept, issues = facts_.validate(facts)
-    grid = with_cohort_bounds(with_metrics(facts_.grid(kept, documents)), samples)
+    grid = with_cohort_bounds(with_metrics(facts_.grid(kept, documents)), samples).persist()
     metrics = metric_rows(grid)
     outcomes = rule_outcomes(grid)
     return {"issues": issues, "grid": grid, "metrics": metrics, "outcomes": outcomes, "latest": latest(outcomes), "anomalies": anomalies(metrics, samples)}
