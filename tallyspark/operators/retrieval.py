@@ -90,3 +90,12 @@ def evaluate(hits: DataFrame, expected: DataFrame, ks: tuple[int, ...] = (1, 3,
     best = hits.join(expected, ["query", "chunk"]).groupBy("query").agg(F.min("rank").alias("best"))
     every = expected.select("query").distinct().join(best, "query", "left")
     return every.agg(F.count("*").alias("queries"), *(F.avg(F.when(F.col("best") <= k, 1.0).otherwise(0.0)).alias(f"recall_{k}") for k in ks), F.avg(F.coalesce(1 / F.col("best"), F.lit(0.0))).alias("mrr"))
+
+
+def rerank(hits: DataFrame, scorer, pool: int = 8, weight: float = 2.0) -> DataFrame:
+    """Fuses the ranking with that of `scorer` (a column of the query's and the chunk's text) over its first `pool` hits.
+
+    hits: (query, query_text, chunk, text, rank).
+    """
+    head = hits.where(F.col("rank") <= pool).withColumn("score", scorer(F.col("query_text"), F.col("text")).cast("double"))
+    return fuse((hits, 1.0), (ranked(head.drop("rank"), pool), weight))
