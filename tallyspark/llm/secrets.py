@@ -136,5 +136,6 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
     kept = F.filter("spans", lambda s: ~s["copied"])
     to_mask = spans.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), kept.alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["_id", "_digest"])
     same = docs[id_col].eqNullSafe(to_mask["_id"]) & (F.xxhash64(docs[text_col]) == to_mask["_digest"])
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(masked(F.col(text_col), F.col("_spans"), mask))
-    return docs.join(to_mask, same, "left").withColumn(text_col, text).select(*docs.columns)
+    text, found = docs[text_col], to_mask["_spans"]
+    text = F.when(found.isNull(), text).otherwise(masked(text, found, mask))
+    return docs.join(to_mask, same, "left").select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns))

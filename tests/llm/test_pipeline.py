@@ -1,5 +1,7 @@
 import collections
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tallyspark.llm import decontamination, simhash
 from tallyspark.llm.common import Written
@@ -27,3 +29,21 @@ def test_stages_in_order(spark):
     assert all(r.n_chars == len(r.text) for r in kept["secret_scan"].values())
     run = {r.doc_id: r.taken for r in corpus_pipeline.run(spark, SF).collect()}
     assert run == {k: r.taken for k, r in kept["source_mix"].items()} and decontamination is not None
+
+
+def test_stages_on_odd_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    clashing = ("id", "_id", "_digest", "_spans", "_n", "row", "size", "taken", "target", "k", "key", "shard", "spans", "fp", "component", "score")
+    odd = docs.limit(20).unionByName(docs.limit(2)).unionByName(spark.createDataFrame([(None,) * 5, (None,) * 5, (10**6, "", "en", "src0", 0), (10**6 + 1, "word " * 200_000, "en", None, 10), (10**6 + 2, "secret = abcdefgh1234", None, "src0", 21)], docs.schema))
+    for c in clashing:
+        odd = odd.withColumn(c, F.lit(c))
+    odd, empty = Written(odd, "test").df, docs.where("false")
+    rows = odd.count()
+    for name, stage in corpus_pipeline.STAGES:
+        found = Written(stage(spark, odd, SF), "test").df
+        assert len(set(found.columns)) == len(found.columns) and set(found.columns) >= set(odd.columns)
+        assert all(r.key == "key" and r._spans == "_spans" for r in found.select("key", "_spans").collect())
+        assert name in ("toxicity", "simhash_near_dedup", "decontamination") or found.count() == rows
+        if name == "secret_scan":
+            assert found.where("doc_id = 1000002").first().text == "[SECRET]"
+        assert stage(spark, empty, SF).count() == 0
