@@ -25,11 +25,11 @@ def clusters(df: DataFrame, group: list[str], at: str, gap: float = COLUMN_GAP,
     return found.where(F.col("n") >= least)
 
 
-def lines(words: DataFrame) -> DataFrame:
-    """words (page, text, x0, x1, top) with `line`: a line is what lies within 2.5 points of its first word's top.
+def lines(words: DataFrame, group: tuple[str, ...] = ("page",)) -> DataFrame:
+    """words (`group`, text, x0, x1, top) with `line`: a line is what lies within 2.5 points of its first word's top.
 
     The comparison is with the line's first word, a fold in order, so each page's words (a page is bounded by what is
-    printed on it) are walked in pandas.
+    printed on it) are walked in pandas. Words of several documents take the group ("document_id", "page").
     """
     kinds = words.schema
 
@@ -42,12 +42,14 @@ def lines(words: DataFrame) -> DataFrame:
             found.append(line)
         return page.assign(line=found)
 
-    return words.groupBy("page").applyInPandas(number, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds) + ", line long")
+    return words.groupBy(*group).applyInPandas(number, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds) + ", line long")
 
 
-def assign_columns(words: DataFrame, columns: DataFrame) -> DataFrame:
+def assign_columns(words: DataFrame, columns: DataFrame, group: tuple[str, ...] = ("page",)) -> DataFrame:
     """Each word's column: the first with left < x1 <= right on its page."""
-    inside = (words["page"] == columns["page"]) & (columns["left"] < words["x1"]) & (words["x1"] <= columns["right"])
+    inside = (columns["left"] < words["x1"]) & (words["x1"] <= columns["right"])
+    for c in group:
+        inside = (words[c] == columns[c]) & inside
     joined = words.join(columns, inside, "left")
     return joined.groupBy(*(words[c] for c in words.columns)).agg(F.min("column").alias("column"))
 
@@ -57,7 +59,7 @@ def forward_fill(df: DataFrame, group: list[str], order: list[str], value: str)
     return F.last(value, ignorenulls=True).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
 
 
-def rows_of(words: DataFrame) -> DataFrame:
-    """(page, line, text): the words of each line from left to right."""
+def rows_of(words: DataFrame, group: tuple[str, ...] = ("page",)) -> DataFrame:
+    """(`group`, line, text): the words of each line from left to right."""
     ordered = F.array_sort(F.collect_list(F.struct("x0", "text")))
-    return lines(words).groupBy("page", "line").agg(F.array_join(ordered["text"], " ").alias("text"))
+    return lines(words, group).groupBy(*group, "line").agg(F.array_join(ordered["text"], " ").alias("text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog.rules import SEVERITIES
@@ -77,3 +77,59 @@ def fact_sheet(latest: DataFrame, metrics: DataFrame) -> DataFrame:
     for part in (ok, findings, table, gaps):
         every = every.join(part, "document_id", "left")
     return every.select("document_id", F.concat_ws("\n\n", "a", "b", "c", "d").alias("sheet"))
+
+
+#: Confidence of a finding that only a threshold backs.
+RULE_CONFIDENCE = 0.6
+CONCERNS = 4
+
+
+def findings(latest: DataFrame, reliability: DataFrame | None = None, titles: DataFrame | None = None) -> DataFrame:
+    """One finding for each fired rule: its evidence cited as references, its earlier firings named.
+
+    reliability: (rule_id, score), the confidence where known; titles: (rule_id, title, rationale), else the id stands for both.
+    """
+    fired = latest.where(F.col("outcome") == FIRED)
+    for extra, columns in ((reliability, ("score",)), (titles, ("title", "rationale"))):
+        fired = fired.join(extra.select("rule_id", *columns), "rule_id", "left") if extra is not None else fired.withColumns({c: F.lit(None).cast("double" if c == "score" else "string") for c in columns})
+    title, at = F.coalesce("title", "rule_id"), F.coalesce(F.concat(F.lit(" ("), "period", F.lit(")")), F.lit(""))
+    name = lambda e: reference(F.lit("x"), e["name"], F.col("period"))
+    cited = F.array_join(F.transform(F.filter("evidence", lambda e: e["value"].isNotNull()), lambda e: F.concat(e["name"], F.lit(" {{"), name(e), F.lit("}}"))), "; ")
+    earlier = F.array_distinct(F.filter("fired_periods", lambda p: p.isNotNull() & ~p.eqNullSafe(F.col("period"))))
+    again = F.when(F.size(earlier) > 0, F.concat(F.lit(" The rule also fired in "), F.array_join(earlier, ", "), F.lit("."))).otherwise("")
+    return fired.select(
+        "document_id", F.concat(F.lit("R-"), "rule_id").alias("finding_id"), F.lit("rule").alias("origin"), F.array("rule_id").alias("rule_ids"), title.alias("title"), "pack", "severity", "severity_rank",
+        F.coalesce("score", F.lit(RULE_CONFIDENCE)).alias("confidence"), F.concat(title, at, F.when(cited != "", F.concat(F.lit(": "), cited)).otherwise(""), F.lit(".")).alias("summary"),
+        F.concat(F.coalesce("rationale", F.lit("")), again).alias("analysis"), "fired_periods",
+    )
+
+
+def in_order(found: DataFrame) -> DataFrame:
+    """`found` with `position` in its document: severest first, an agent's before a rule's, then by confidence and id."""
+    order = Window.partitionBy("document_id").orderBy(F.desc("severity_rank"), F.col("origin") != "agent", F.desc("confidence"), "finding_id")
+    return found.withColumn("position", F.row_number().over(order))
+
+
+def assembled(latest: DataFrame, found: DataFrame) -> DataFrame:
+    """One report for each document of `latest`: risk, concerns, findings in order, scorecard, integrity counts and gaps, nested."""
+    ordered = in_order(found)
+    part = ordered.groupBy("document_id").agg(risk().alias("risk"), F.array_sort(F.collect_list(F.struct("position", "finding_id", "title", "severity", "confidence", "summary", "analysis", "rule_ids"))).alias("findings"))
+    part = part.withColumn("concerns", F.slice(F.col("findings")["title"], 1, CONCERNS))
+    nested = lambda df, name: df.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(*(c for c in df.columns if c != "document_id")))).alias(name))
+    every = latest.select("document_id").distinct()
+    for df in (part, nested(scorecard(latest), "scorecard"), integrity(latest).select("document_id", F.struct("passed", "failed").alias("integrity")), nested(data_gaps(latest), "gaps")):
+        every = every.join(df, "document_id", "left")
+    return every.withColumn("risk", F.coalesce("risk", F.lit("low")))
+
+
+def metric_history(metrics: DataFrame, key: str) -> DataFrame:
+    """(document_id, history): a metric's reported periods in order, each with its reference and display."""
+    rows = metrics.where(F.col("metric") == key)
+    line = F.struct("end_date", reference(F.lit("m"), F.col("metric"), F.col("period")).alias("ref"), format_value(F.col("value"), F.col("unit")).alias("display"))
+    return rows.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: F.struct(x["ref"].alias("ref"), x["display"].alias("display"))).alias("history"))
+
+
+def rule_history(outcomes: DataFrame) -> DataFrame:
+    """(document_id, rule_id, history): every outcome of a rule in order, with its period."""
+    line = F.struct("end_date", "is_anchor", "period", "outcome")
+    return outcomes.groupBy("document_id", "rule_id").agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: F.struct(x["period"].alias("period"), x["outcome"].alias("outcome"))).alias("history"))

@@ -125,6 +125,20 @@ def severity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _outcomes(spark, sf_dir).where("outcome = 'fired'").groupBy("severity_rank").agg(F.count("*").alias("n"))
 
 
+@query(RULE_SQL + """ SELECT entity, finding_id, severity_rank, confidence, summary, CAST(row_number() OVER (PARTITION BY entity ORDER BY severity_rank DESC, confidence DESC, finding_id) AS INTEGER) AS position FROM (
+  SELECT entity, 'R-' || seq_index AS finding_id, severity_rank, CASE WHEN seq_index % 3 = 0 THEN 0.9 ELSE 0.6 END::DOUBLE AS confidence, seq_index || ' (' || fiscal_year || '): tax {{x:tax@' || fiscal_year || '}}.' AS summary FROM o WHERE outcome = 'fired')""")
+def rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fired quarter as a finding, in the order of a report; some rules have a learned confidence."""
+    o, text = _outcomes(spark, sf_dir), lambda c: F.col(c).cast("string")
+    latest = o.select(
+        F.col("entity").alias("document_id"), text("seq_index").alias("rule_id"), F.lit("core").alias("pack"), F.lit("high").alias("severity"), "severity_rank", "outcome", text("fiscal_year").alias("period"),
+        F.array(F.struct(F.lit("tax").alias("name"), text("tax").alias("value"))).alias("evidence"), F.array().cast("array<string>").alias("fired_periods"),
+    )
+    known = o.where("seq_index % 3 = 0").select(text("seq_index").alias("rule_id"), F.lit(0.9).alias("score")).distinct()
+    found = report.in_order(report.findings(latest, known))
+    return found.select(F.col("document_id").alias("entity"), "finding_id", "severity_rank", "confidence", "summary", "position")
+
+
 @query(RULE_SQL + """ SELECT entity, string_agg(DISTINCT m, ',' ORDER BY m) AS missing FROM (
   SELECT entity, unnest([CASE WHEN rg IS NULL THEN 'revenue_growth' END, CASE WHEN cg IS NULL THEN 'receivables_growth' END]) AS m FROM o WHERE outcome = 'insufficient_data') WHERE m IS NOT NULL GROUP BY entity""")
 def data_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:

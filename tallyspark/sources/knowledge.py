@@ -55,3 +55,26 @@ def chunks(docs: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     rows = sections(docs).select("doc_id", "title", "heading", F.posexplode(parts).alias("n", "text"))
     suffix = F.when(F.col("n") > 0, F.concat(F.lit("-"), (F.col("n") + 1).cast("string"))).otherwise("")
     return rows.select(F.concat("doc_id", F.lit("#"), slug(F.col("heading")), suffix).alias("chunk_id"), "doc_id", "title", "heading", "text")
+
+
+def sections_of(rows: DataFrame, wanted: DataFrame, headings: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks of the documents that `wanted` (doc_id) names, of some headings only if any are given: a lookup, nothing is ranked."""
+    found = rows.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    return found.where(F.lower("heading").isin(*(h.lower() for h in headings))) if headings else found
+
+
+def links(references: DataFrame) -> DataFrame:
+    """(doc_id, rules, metrics) from (kind, name, doc_id): which rules and metrics name a document."""
+    named = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("name"))))
+    return references.where("doc_id is not null").groupBy("doc_id").agg(named("rule").alias("rules"), named("metric").alias("metrics"))
+
+
+def missing_documents(references: DataFrame, docs: DataFrame) -> DataFrame:
+    """Documents that a rule or metric names and nobody has written."""
+    return references.where("doc_id is not null").select("doc_id").distinct().join(docs.select("doc_id"), "doc_id", "left_anti")
+
+
+def read_questions(spark: SparkSession, path: str) -> DataFrame:
+    """(query, query_text, expect, kinds) of an evaluation set in JSON lines; the text is the query's key."""
+    rows = spark.read.schema("query string, expect array<string>, kinds array<string>").json(path)
+    return rows.where("query is not null").select("query", F.col("query").alias("query_text"), "expect", F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"))

@@ -135,6 +135,8 @@ def test_label_matching(spark):
 def test_layout(spark):
     words = spark.createDataFrame([(1, "a", 0.0, 5.0, 10.0), (1, "b", 6.0, 9.0, 11.0), (1, "c", 0.0, 5.0, 12.4), (1, "d", 0.0, 5.0, 13.0)], "page int, text string, x0 double, x1 double, top double")
     assert sorted((r.line, r.text) for r in layout.rows_of(words).collect()) == [(0, "a c b"), (1, "d")]
+    two = words.selectExpr("'x' AS document_id", "*").unionByName(words.where("text = 'd'").selectExpr("'y' AS document_id", "*"))
+    assert sorted((r.document_id, r.line, r.text) for r in layout.rows_of(two, ("document_id", "page")).collect()) == [("x", 0, "a c b"), ("x", 1, "d"), ("y", 0, "d")]
     columns = spark.createDataFrame([(1, 0, 0.0, 5.0), (1, 1, 5.0, 9.0)], "page int, column int, left double, right double")
     assert sorted((r.text, r.column) for r in layout.assign_columns(words, columns).collect()) == [("a", 0), ("b", 1), ("c", 0), ("d", 0)]
 
