@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import estimate_tokens, tokens
+from ..functions.text import STOP_WORDS, estimate_tokens, expanded, stem, words
 
 # Saturation and length weight of BM25, constant of the rank fusion, pools.
 K1, B = 1.2, 0.75
@@ -14,10 +15,15 @@ POOL = 20
 
 
 def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    """(chunk, term, tf, length): term counts of each chunk."""
-    words = chunks.select(F.col(id_col).alias("chunk"), tokens(F.col(text_col)).alias("words"))
-    each = words.select("chunk", F.size("words").alias("length"), F.explode("words").alias("term"))
-    return each.groupBy("chunk", "length", "term").agg(F.count("*").alias("tf"))
+    """(chunk, term, tf, length): term counts of each chunk.
+
+    Words are counted before they are stemmed, so each is stemmed once for a chunk; from there on rows stay with their chunk.
+    """
+    counted = chunks.select(F.col(id_col).alias("chunk"), F.explode(words(F.col(text_col))).alias("word")).groupBy("chunk", "word").agg(F.count("*").alias("n"))
+    wider = counted.repartition("chunk").select("chunk", "n", F.explode(expanded(F.col("word"))).alias("word")).where(~F.col("word").isin(*STOP_WORDS))
+    each = wider.select("chunk", "n", stem(F.col("word")).alias("term"))
+    found = each.groupBy("chunk", "term").agg(F.sum("n").alias("tf"))
+    return found.withColumn("length", F.sum("tf").over(Window.partitionBy("chunk")))
 
 
 def bm25(queries: DataFrame, index: DataFrame, n_chunks: Column, average: Column) -> DataFrame:
@@ -34,10 +40,11 @@ def bm25(queries: DataFrame, index: DataFrame, n_chunks: Column, average: Column
 
 
 def bm25_search(queries: DataFrame, chunks: DataFrame, query_col: str = "query", query_text: str = "query_text", id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    index = postings(chunks, id_col, text_col)
-    size = chunks.select(F.count("*").alias("n"), F.avg(F.size(tokens(F.col(text_col)))).alias("average")).first()
+    """`bm25` of all chunks. The postings are persisted, as frequencies, lengths and scores read them; a lost executor's part is computed again."""
+    index = postings(chunks, id_col, text_col).persist(StorageLevel.MEMORY_AND_DISK)
+    n, length = chunks.count(), index.agg(F.sum("tf")).first()[0]
     asked = postings(queries, query_col, query_text).select(F.col("chunk").alias("query"), "term", F.col("tf").alias("qtf"))
-    return bm25(asked, index, F.lit(float(size["n"])), F.lit(float(size["average"] or 1)))
+    return bm25(asked, index, F.lit(float(n)), F.lit(float(length or 1) / max(n, 1)))
 
 
 def ranked(scores: DataFrame, limit: int = POOL, by: str = "query", item: str = "chunk") -> DataFrame:
