@@ -246,7 +246,7 @@ def tokenize_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BM25_SQL = f"""
-WITH texts AS (SELECT 2 * doc_id AS chunk, text FROM documents UNION ALL SELECT 2 * item_id + 1, text FROM benchmark WHERE item_id % 4 = 0), {WORDS_SQL},
+WITH texts AS (SELECT 2 * doc_id AS chunk, text FROM documents UNION ALL SELECT 2 * item_id + 1, text FROM benchmark), {WORDS_SQL},
 counts AS (SELECT chunk, term, count(*) AS tf FROM stemmed GROUP BY ALL),
 post AS (SELECT *, sum(tf) OVER (PARTITION BY chunk) AS len FROM counts WHERE chunk % 2 = 0),
 size AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(tf) FROM post) / CAST((SELECT count(*) FROM documents) AS DOUBLE) AS average),
@@ -257,14 +257,14 @@ hits AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, ch
 
 
 def _bm25(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
-    asked = table(spark, sf_dir, "benchmark").where("item_id % 4 = 0").select(F.col("item_id").alias("query"), F.col("text").alias("query_text"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("query_text"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     return retrieval.ranked(retrieval.bm25_search(asked, docs).withColumn("score", rounded(F.col("score"))), limit)
 
 
-@query(BM25_SQL + " SELECT CAST(query AS BIGINT) AS query, CAST(rank AS INTEGER) AS rank, round(score, 4) AS score FROM hits WHERE rank <= 10")
+@query(BM25_SQL + " SELECT CAST(query AS BIGINT) AS query, CAST(rank AS INTEGER) AS rank, score FROM hits WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bm25(spark, sf_dir, 10).select("query", "rank", F.round("score", 4).alias("score"))
+    return _bm25(spark, sf_dir, 10).select("query", "rank", "score")
 
 
 COSINE_SQL = """
