@@ -248,8 +248,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     groups = simhash_groups(docs, id_col, text_col, **options)
     group = [F.col("component"), F.when(F.col("component").isNull(), F.col("fp")).alias("alone")]
-    rows = groups.groupBy(*group, "id", "digest").agg(F.count("*").alias("n"))
-    first = rows.groupBy("component", "alone").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "digest", "n")).alias("first"))
+    return first_of_groups(docs, groups, group, id_col, text_col)
+
+
+def first_of_groups(docs: DataFrame, groups: DataFrame, group: list, id_col: str, text_col: str) -> DataFrame:
+    """The row of `docs` with the smallest (id, digest) of each group of `groups` (id, digest and what `group` reads)."""
+    keys = [f"group{k}" for k in range(len(group))]
+    rows = groups.groupBy(*(g.alias(k) for g, k in zip(group, keys)), "id", "digest").agg(F.count("*").alias("n"))
+    first = rows.groupBy(*keys).agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "digest", "n")).alias("first"))
     first = first.select(F.col("first.id").alias("_id"), F.col("first.digest").alias("_digest"), F.col("first.n").alias("_n"))
     keep = Written(first, "simhash-kept").df
     same = docs[id_col].eqNullSafe(keep["_id"]) & (F.xxhash64(docs[text_col]) == keep["_digest"])
