@@ -59,6 +59,8 @@ NAMES = set(
 COMMENT = {"comment", "comments", "commentlist", "discussion", "disqus", "replies", "reply", "respond"}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+#: What ends a raw element; nothing else inside it is a token.
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for tag in RAW}
 ATTRIBUTE = re.compile(r"(class|id|role|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -91,7 +93,7 @@ class Node:
 def parse(page: str) -> Node:
     root = at = Node("body", None)
     links = 0
-    skip, end = "", 0
+    end = 0
 
     def add(text: str) -> None:
         if text:
@@ -101,11 +103,7 @@ def parse(page: str) -> Node:
             if links:
                 at.link_chars += n
 
-    for m in TOKEN.finditer(page):
-        if skip:
-            if m[2] and m[1] and m[2].lower() == skip:
-                skip, end = "", m.end()
-            continue
+    while m := TOKEN.search(page, end):
         add(html.unescape(page[end : m.start()]))
         end = m.end()
         tag = (m[2] or "").lower()
@@ -123,7 +121,8 @@ def parse(page: str) -> Node:
                 at, links = node.parent, 0
             continue
         if tag in RAW:
-            skip = tag
+            close = RAW_END[tag].search(page, end)
+            end = close.end() if close else len(page)
             continue
         at.tags += 1
         if tag == "br" or tag == "hr":
@@ -147,8 +146,7 @@ def parse(page: str) -> Node:
         node = Node(tag, at, m[3])
         at.parts.append(node)
         at = node
-    if not skip:
-        add(html.unescape(page[end:]))
+    add(html.unescape(page[end:]))
     return root
 
 

@@ -52,3 +52,10 @@ def test_query_takes_the_article(spark):
         inner = re.sub(r"</?b>", "", inner.replace("<br>", " "))
         blocks = [" ".join(html.unescape(x).split()) for x in re.split("<[^>]+>", inner)]
         assert r.text == "\n\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+@pytest.mark.parametrize("script", ["for(var i=0;i<n;i++){f(i)}", "if(a<b)c='it\\'s'", "x=\"<p title='\"", "var s='</p>',t='<div'", "<!-- if (a<b) -->"])
+def test_scripts_end_at_their_end_tag(script):
+    want = "\n\n".join([PROSE.strip()] * 2)
+    assert main_text(page(f"<script>{script}</script><article><p>{PROSE}</p><SCRIPT>{script}</Script ><p>{PROSE}</p></article>")) == want
+    assert main_text(page(f"<article><p>{PROSE}</p></article><script>{script}")) == PROSE.strip()
