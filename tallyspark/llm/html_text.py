@@ -13,8 +13,9 @@ NLC = C - LC and the body's LCb and Cb, its density is
 
 (zero counts taken as 1, the last logarithm at least 0.1): characters per tag, adjusted for links. A
 node's density sum adds its children's densities. The threshold is the least density on the path
-from the body to the node of the largest sum; under every topmost node that reaches it the
-node of the largest sum is main text, widened to the ``article`` or ``main`` around it.
+from the body to the node of the largest sum; under every node that reaches it the node of the
+largest sum is main text, and so are paragraphs and headings beside it. Where a page has ``article`` or
+``main`` elements with text, the topmost of them are the main text instead.
 
 Blocks of text in page order, white space as one space, are joined by a blank line.
 
@@ -46,6 +47,8 @@ ENDS = {
 }
 #: What bounds the search for an element to end.
 BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "option": {"select"}}
+#: Elements of one block of text.
+BLOCKS = set("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 DROPPED = set("head nav header footer aside form menu dialog button select input fieldset svg math canvas audio video object embed iframe noscript template script style title textarea".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 #: Words of a class or id that name what is no main text.
@@ -158,6 +161,10 @@ def _walk(root: Node) -> list[Node]:
     return found
 
 
+def _is_main(node: Node) -> bool:
+    return node.tag in ("article", "main") and not node.names & COMMENT or node.role == "main"
+
+
 def _leaves(node: Node, chars: dict[int, int], whole: int, has_main: bool) -> bool:
     if node.tag in DROPPED or node.role in ROLES:
         return not node.main
@@ -173,8 +180,7 @@ def prune(root: Node) -> None:
     nodes = _walk(root)
     chars: dict[int, int] = {}
     for node in reversed(nodes):
-        own = node.tag in ("article", "main") and not node.names & COMMENT or node.role == "main"
-        node.main = own or any(c.main for c in node.children())
+        node.main = _is_main(node) or any(c.main for c in node.children())
         chars[id(node)] = node.chars + sum(chars[id(c)] for c in node.children())
     for node in nodes:
         node.parts = [p for p in node.parts if isinstance(p, str) or not _leaves(p, chars, chars[id(root)], root.main)]
@@ -201,40 +207,75 @@ def weigh(root: Node) -> list[Node]:
     return nodes
 
 
-def _best(root: Node) -> Node:
-    return max(_walk(root), key=lambda n: n.sum)
+def _aside(node: Node) -> bool:
+    """Whether an element around `node` says that it is no main text."""
+    up = node.parent
+    while up is not None:
+        if up.tag in DROPPED or up.role in ROLES or up.names & COMMENT:
+            return True
+        up = up.parent
+    return False
 
 
-def select(root: Node) -> list[Node]:
-    """The nodes whose subtrees are main text, in page order."""
-    weigh(root)
-    node = best = _best(root)
-    threshold = best.density
+def _mains(nodes: list[Node]) -> list[Node]:
+    """The topmost article and main elements with text; those in asides or comments only where there are no others."""
+    found, inside = [], set()
+    for node in nodes:
+        if node.parent is not None and id(node.parent) in inside:
+            inside.add(id(node))
+        elif _is_main(node):
+            inside.add(id(node))
+            if node.chars:
+                found.append(node)
+    return [n for n in found if not _aside(n)] or found
+
+
+def _marked(nodes: list[Node]) -> list[Node]:
+    """What the densities mark: under each node that reaches the threshold the node of the largest sum."""
+    root, best = nodes[0], {}
+    for node in reversed(nodes):
+        best[id(node)] = max([node, *(best[id(c)] for c in node.children())], key=lambda n: n.sum)
+    node = best[id(root)]
+    threshold = node.density
     while node is not None:
         threshold = min(threshold, node.density)
         node = node.parent
-    chosen: list[Node] = []
-
-    def visit(node: Node) -> None:
-        stack = [node]
-        while stack:
-            node = stack.pop()
-            if node.density >= threshold and node.chars:
-                found = _best(node)
-                outer = found if found.sum else node
-                up = outer
-                while up is not None:
-                    if up.tag in ("article", "main") or up.role == "main":
-                        outer = up
-                        break
-                    up = up.parent
-                if outer not in chosen:
-                    chosen.append(outer)
-            else:
-                stack += reversed(node.children())
-
-    visit(root)
-    return chosen
+    chosen: dict[int, Node] = {}
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if id(node) in chosen:
+            continue
+        if node.chars and (node is root or node.density >= threshold and node.density > 0):
+            found = best[id(node)] if best[id(node)].sum else node
+            chosen[id(found)] = found
+            if found is node:
+                continue
+        stack += reversed(node.children())
+    return list(chosen.values())
+
+
+def select(root: Node) -> list[Node]:
+    """The nodes whose subtrees are main text, in page order."""
+    nodes = weigh(root)
+    mains = _mains(nodes)
+    if mains:
+        return mains
+    chosen = {id(n): n for n in _marked(nodes)}
+    # Single blocks have low densities; those beside marked nodes belong to them, but for lists of links.
+    for parent in {id(n.parent): n.parent for n in chosen.values() if n.parent is not None}.values():
+        for c in parent.children():
+            if c.tag in BLOCKS and c.chars and 2 * c.link_chars < c.chars:
+                chosen[id(c)] = c
+    found: list[Node] = []
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if id(node) in chosen:
+            found.append(node)
+        else:
+            stack += reversed(node.children())
+    return found
 
 
 def blocks(root: Node) -> list[str]:

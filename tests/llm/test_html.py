@@ -59,3 +59,19 @@ def test_scripts_end_at_their_end_tag(script):
     want = "\n\n".join([PROSE.strip()] * 2)
     assert main_text(page(f"<script>{script}</script><article><p>{PROSE}</p><SCRIPT>{script}</Script ><p>{PROSE}</p></article>")) == want
     assert main_text(page(f"<article><p>{PROSE}</p></article><script>{script}")) == PROSE.strip()
+
+
+FIVE = f"<p>{PROSE}</p>" * 5
+WHOLE = {
+    "two containers": (f"<div>{FIVE}</div><div>{FIVE}</div>", [PROSE.strip()] * 10),
+    "two articles": (f"<article>{FIVE}</article><div><article><p>Short.</p></article></div>", [PROSE.strip()] * 5 + ["Short."]),
+    "heading and lead beside the container": (f"<h1>Title</h1><p>{PROSE}</p><div>{FIVE}</div>", ["Title", *[PROSE.strip()] * 6]),
+    "longer list outside a short article": (f"<article><p>Short.</p></article><div>{FIVE}</div>", ["Short."]),
+    "article teasers in an aside": (f"<main>{FIVE}</main><aside><article><p>{PROSE}</p></article></aside>", [PROSE.strip()] * 5),
+}
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_all_main_text_is_kept(name):
+    body, want = WHOLE[name]
+    assert main_text(page(NAV + body)).split("\n\n") == want
