@@ -165,15 +165,16 @@ def _is_main(node: Node) -> bool:
     return node.tag in ("article", "main") and not node.names & COMMENT or node.role == "main"
 
 
-def _leaves(node: Node, chars: dict[int, int], whole: int, has_main: bool) -> bool:
+def _leaves(node: Node, chars: dict[int, int], whole: int) -> bool:
+    if node.main:
+        return False
     if node.tag in DROPPED or node.role in ROLES:
-        return not node.main
+        return True
+    # A name alone, as of a wrapper "with-sidebar", takes no half of the article (or page) around it away, and no
+    # comment word two thirds: a thread may be longer than what it comments on.
     if node.names & COMMENT:
-        return not node.main
-    if node.tag in ("article", "main") or not node.names & NAMES or node.main:
-        return False
-    # Without article or main a name alone, as of a wrapper "with-sidebar", takes no half of the page away.
-    return has_main or 2 * chars[id(node)] < whole
+        return 3 * chars[id(node)] < 2 * whole
+    return node.tag not in ("article", "main") and bool(node.names & NAMES) and 2 * chars[id(node)] < whole
 
 
 def prune(root: Node) -> None:
@@ -182,8 +183,13 @@ def prune(root: Node) -> None:
     for node in reversed(nodes):
         node.main = _is_main(node) or any(c.main for c in node.children())
         chars[id(node)] = node.chars + sum(chars[id(c)] for c in node.children())
+    # The text of the article or main around each node's children, else of the page.
+    whole = {id(root): chars[id(root)]}
     for node in nodes:
-        node.parts = [p for p in node.parts if isinstance(p, str) or not _leaves(p, chars, chars[id(root)], root.main)]
+        around = whole[id(node)]
+        for c in node.children():
+            whole[id(c)] = chars[id(c)] if _is_main(c) and chars[id(c)] else around
+        node.parts = [p for p in node.parts if isinstance(p, str) or not _leaves(p, chars, around)]
 
 
 def weigh(root: Node) -> list[Node]:

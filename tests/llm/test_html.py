@@ -75,3 +75,11 @@ WHOLE = {
 def test_all_main_text_is_kept(name):
     body, want = WHOLE[name]
     assert main_text(page(NAV + body)).split("\n\n") == want
+
+
+@pytest.mark.parametrize("name", ["post-body share-enabled", "widget-content", "related-story", "search-page", "with-sidebar", "comments-open", "discussion"])
+def test_names_of_wrappers_take_no_main_text(name):
+    want = "\n\n".join([PROSE.strip()] * 5)
+    assert main_text(page(f"{NAV}<article><div class='{name}'>{FIVE}</div></article>")) == want
+    assert main_text(page(f"{NAV}<div id='{name}'><div>{FIVE}</div></div>")) == want
+    assert main_text(page(f"<article><div class='{name}'>{FIVE}<div class=share>Share</div><div class=comments>I disagree</div></div></article>")) == want
