@@ -4,9 +4,9 @@ A scan of every whole text finds candidates: three base kinds (assigned values,
 keys, long hex runs) and opaque tokens (runs of 32 or more characters of mixed classes and
 high entropy outside the base spans). The hash of each candidate's value is aggregated
 over the corpus: distinct repositories, distinct owners. A value that `copied_owners` or
-more owners, or `copied_repos` or more repositories, hold is a copied example; a value of
+more owners hold is a copied example, however many repositories of fewer owners hold it; a value of
 one owner is live-looking. Base spans always stay; an opaque token becomes a span of kind
-``live`` only where it is live-looking.
+``live`` only where it is no copied example (its field `live` says whether one owner has it).
 
 Spans are in code points, end exclusive.
 
@@ -39,7 +39,6 @@ OPAQUE = re.compile(r"[A-Za-z0-9+/_-]{32,}")
 #: Bits of entropy per character of an opaque token, at least.
 ENTROPY = 3.5
 COPIED_OWNERS = 3
-COPIED_REPOS = 10
 
 CANDIDATES = pa.list_(pa.struct([("kind", pa.int8()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.int64())]))
 
@@ -97,13 +96,13 @@ def ownership(scanned: DataFrame) -> DataFrame:
     return by_repo.join(by_owner, "value")
 
 
-def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", copied_owners: int = COPIED_OWNERS, copied_repos: int = COPIED_REPOS) -> DataFrame:
+def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", copied_owners: int = COPIED_OWNERS) -> DataFrame:
     """(id, digest, spans): one row per row of `docs`; digest: of its text; spans as (start, kind, end, n_repos, n_owners, copied, live) in order."""
     held = Written(scan(docs, id_col, text_col, repo_col, owner_col).select("*", F.monotonically_increasing_id().alias("row")), "secret-scan").df
-    copied = (F.col("n_owners") >= copied_owners) | (F.col("n_repos") >= copied_repos)
+    copied = F.col("n_owners") >= copied_owners
     known = ownership(held).select("value", "n_repos", "n_owners", copied.alias("copied"), (~copied & (F.col("n_owners") == 1)).alias("live"))
     each = held.where(F.size("found") > 0).select("row", F.explode("found").alias("f")).select("row", "f.*")
-    each = each.join(known, "value").where((F.col("kind") < KINDS.index("live")) | F.col("live"))
+    each = each.join(known, "value").where((F.col("kind") < KINDS.index("live")) | ~F.col("copied"))
     spans = each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "n_repos", "n_owners", "copied", "live"))).alias("spans"))
     none = F.array().cast(spans.schema["spans"].dataType)
     return held.select("id", "digest", "row").join(spans, "row", "left").select("id", "digest", F.coalesce("spans", none).alias("spans"))

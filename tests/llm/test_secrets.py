@@ -60,3 +60,13 @@ def test_masks_overlaps_once(spark):
     got = secrets.redact(docs(spark, rows))
     assert sorted(r.text for r in got.collect()) == ["a [SECRET]' b", "other text"] and got.columns == ["doc_id", "text", "source", "spans", "value"]
     assert secrets.redact(docs(spark, rows).limit(0)).count() == 0
+
+
+def test_only_owners_make_a_copied_example(spark):
+    other = OPAQUE[::-1]
+    rows = [(k, f"my {OPAQUE} and {KEY}", "one", "x", 1) for k in range(12)] + [(20 + k, f"my {other}", f"owner{k % 2}", "x", 1) for k in range(12)] + [(40 + k, f"{k} {HEX} {OPAQUE[1:]}z", f"owner{k}", "x", 1) for k in range(3)]
+    got = {r.id: [(secrets.KINDS[s.kind], s.n_repos, s.n_owners, s.copied, s.live) for s in r.spans] for r in secrets.secret_spans(docs(spark, rows)).collect()}
+    assert got[0] == [("live", 12, 1, False, True), ("access", 12, 1, False, True)] and got[20] == [("live", 12, 2, False, False)]
+    assert got[40] == [("hex", 3, 3, True, False)]
+    clean = {r.doc_id: r.text for r in secrets.redact(docs(spark, rows)).collect()}
+    assert clean[0] == clean[11] == "my [SECRET] and [SECRET]" and clean[20] == "my [SECRET]" and clean[40] == rows[24][1]
