@@ -13,9 +13,13 @@ NLC = C - LC and the body's LCb and Cb, its density is
 
 (zero counts taken as 1, the last logarithm at least 0.1): characters per tag, adjusted for links. A
 node's density sum adds its children's densities. The threshold is the least density on the path
-from the body to the node of the largest sum; under every node that reaches it the node of the
-largest sum is main text, and so are paragraphs and headings beside it. Where a page has ``article`` or
-``main`` elements with text, the topmost of them are the main text instead.
+to the node of the largest sum: with the body for subtrees of prose (a paragraph, or several blocks of
+text), without it for single blocks, such as a bare notice. Under every node that reaches it the node of
+the largest sum is main text, and so are paragraphs and headings beside it. Where a page has ``article``
+or ``main`` elements with text, the topmost of them are the main text instead.
+
+In a tag a quote opens a value only right behind ``=``, as in ``title="a > b"``; elsewhere, as in
+``title=don't``, it is a letter like any other, and so is one that nothing closes.
 
 Blocks of text in page order, white space as one space, are joined by a blank line.
 
@@ -61,10 +65,12 @@ NAMES = set(
 )
 COMMENT = {"comment", "comments", "commentlist", "discussion", "disqus", "replies", "reply", "respond"}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+#: A value behind the equals sign of an attribute.
+_VALUE = r"(?:\"[^\"]*\"|'[^']*'|[^\s>]*+)"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+{_VALUE})*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 #: What ends a raw element; nothing else inside it is a token.
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for tag in RAW}
-ATTRIBUTE = re.compile(r"(class|id|role|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/>]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*+)))?", re.S)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -236,27 +242,42 @@ def _mains(nodes: list[Node]) -> list[Node]:
     return [n for n in found if not _aside(n)] or found
 
 
+def _prose(nodes: list[Node]) -> set[int]:
+    """The nodes whose subtrees have a paragraph (or other element of one block), or several blocks of text."""
+    blocks: dict[int, int] = {}
+    for node in reversed(nodes):
+        own = bool(node.chars) and any(isinstance(p, str) and p.strip() for p in node.parts)
+        blocks[id(node)] = 2 if node.chars and node.tag in BLOCKS else own + sum(blocks[id(c)] for c in node.children())
+    return {k for k, n in blocks.items() if n > 1}
+
+
 def _marked(nodes: list[Node]) -> list[Node]:
     """What the densities mark: under each node that reaches the threshold the node of the largest sum."""
-    root, best = nodes[0], {}
+    root, best, prose = nodes[0], {}, _prose(nodes)
     for node in reversed(nodes):
         best[id(node)] = max([node, *(best[id(c)] for c in node.children())], key=lambda n: n.sum)
     node = best[id(root)]
-    threshold = node.density
+    low = high = node.density
+    # Single blocks have no tags to divide by, so they are held against the blocks of the best node too.
+    parts = [c.density for c in node.children() if c.density > 0]
     while node is not None:
-        threshold = min(threshold, node.density)
+        low, high = min(low, node.density), high if node is root else min(high, node.density)
         node = node.parent
+    high = max(high, sum(parts) / max(len(parts), 1))
+    # The body itself is taken whole only for text that stands in no other element.
+    whole = any(isinstance(p, str) and p.strip() for p in root.parts) or not any(c.density >= low > 0 for c in root.children())
     chosen: dict[int, Node] = {}
     stack = [root]
     while stack:
         node = stack.pop()
         if id(node) in chosen:
             continue
-        if node.chars and (node is root or node.density >= threshold and node.density > 0):
+        if node.chars and (node is root or node.density >= (low if id(node) in prose else high) and node.density > 0):
             found = best[id(node)] if best[id(node)].sum else node
-            chosen[id(found)] = found
-            if found is node:
-                continue
+            if found is not root or whole:
+                chosen[id(found)] = found
+                if found is node:
+                    continue
         stack += reversed(node.children())
     return list(chosen.values())
 
@@ -268,10 +289,15 @@ def select(root: Node) -> list[Node]:
     if mains:
         return mains
     chosen = {id(n): n for n in _marked(nodes)}
-    # Single blocks have low densities; those beside marked nodes belong to them, but for lists of links.
+    around = set()
+    for node in chosen.values():
+        while (node := node.parent) is not None and id(node) not in around:
+            around.add(id(node))
+    # Short prose has low densities; what stands beside marked nodes belongs to them, but for lists of links.
+    prose = _prose(nodes)
     for parent in {id(n.parent): n.parent for n in chosen.values() if n.parent is not None}.values():
         for c in parent.children():
-            if c.tag in BLOCKS and c.chars and 2 * c.link_chars < c.chars:
+            if c.chars and id(c) in prose and id(c) not in around and 2 * c.link_chars < c.chars:
                 chosen[id(c)] = c
     found: list[Node] = []
     stack = [root]

@@ -1,9 +1,11 @@
 import html
+import math
+import random
 import re
 
 import pytest
 
-from tallyspark.llm.html_text import main_text
+from tallyspark.llm.html_text import main_text, parse, weigh
 from tallyspark.llm.queries import op5_html_extraction
 
 SF = "/root/testdata/sf0.001"
@@ -64,6 +66,10 @@ def test_scripts_end_at_their_end_tag(script):
 FIVE = f"<p>{PROSE}</p>" * 5
 WHOLE = {
     "two containers": (f"<div>{FIVE}</div><div>{FIVE}</div>", [PROSE.strip()] * 10),
+    "two containers of unequal prose": (f"<div>{FIVE}</div><div><p>{PROSE[:90]}</p><p>Some words more.</p></div>", [PROSE.strip()] * 5 + [PROSE[:90].strip(), "Some words more."]),
+    "an apostrophe in a tag": (f"<article><p title=don't>{PROSE}</p><p>second</p></article>", [PROSE.strip(), "second"]),
+    "a quote that nothing closes": (f"<article><p title='{PROSE}>first</p><p title = \"a > b\">second</p><p a=\"x>third</p></article>", ["first", "second", "third"]),
+    "names inside other attributes": (f"<article><div data-class=ad title='id=menu'>{FIVE}</div></article>", [PROSE.strip()] * 5),
     "two articles": (f"<article>{FIVE}</article><div><article><p>Short.</p></article></div>", [PROSE.strip()] * 5 + ["Short."]),
     "heading and lead beside the container": (f"<h1>Title</h1><p>{PROSE}</p><div>{FIVE}</div>", ["Title", *[PROSE.strip()] * 6]),
     "longer list outside a short article": (f"<article><p>Short.</p></article><div>{FIVE}</div>", ["Short."]),
@@ -83,3 +89,67 @@ def test_names_of_wrappers_take_no_main_text(name):
     assert main_text(page(f"{NAV}<article><div class='{name}'>{FIVE}</div></article>")) == want
     assert main_text(page(f"{NAV}<div id='{name}'><div>{FIVE}</div></div>")) == want
     assert main_text(page(f"<article><div class='{name}'>{FIVE}<div class=share>Share</div><div class=comments>I disagree</div></div></article>")) == want
+
+
+def unmarked(source, menus):
+    """A page whose elements no longer say what they are."""
+    source = re.sub(r"\s(?:class|id|role)=(\"[^\"]*\"|'[^']*'|[^\s>]*)", "", source, flags=re.I)
+    return re.sub(rf"<(/?)(article|main{menus})\b", r"<\1div", source, flags=re.I)
+
+
+def test_density_finds_the_text_without_markers(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    want = [main_text(p) for p in pages]
+    same = lambda menus: sum(main_text(unmarked(p, menus)) == w for p, w in zip(pages, want)) / len(pages)
+    assert same("") >= 0.99 and same("|nav|header|footer|aside") >= 0.9
+    found = [set(main_text(unmarked(p, "|nav|header|footer|aside")).split("\n\n")) for p in pages]
+    assert all(set(w.split("\n\n")) <= f for w, f in zip(want, found) if w)
+
+
+def slow_counts(node, links=0):
+    """(characters, tags, link characters, link tags) of a subtree of (tag, children and texts)."""
+    total = [0, 0, 0, 0]
+    for part in node[1]:
+        if isinstance(part, str):
+            n = len("".join(part.split()))
+            total[0] += n
+            total[2] += n if links else 0
+        else:
+            inside = slow_counts(part, links + (part[0] == "a"))
+            total = [a + b for a, b in zip(total, inside)]
+            total[1] += 1
+            total[3] += part[0] == "a"
+    return total
+
+
+def slow_density(node, body):
+    c, t, lc, lt = slow_counts(node)
+    if not c:
+        return 0.0
+    base = math.log(c * max(lc, 1) / max(c - lc, 1) + body[2] / max(body[0], 1) * c + math.e)
+    return c / max(t, 1) * max(math.log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1)), 0) / max(math.log(base), 0.1)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_densities_equal_a_slow_computation(seed):
+    r = random.Random(seed)
+
+    def tree(depth):
+        parts = []
+        for _ in range(r.randrange(1, 5)):
+            kind = r.random()
+            parts.append(tree(depth - 1) if kind < 0.6 and depth else ("a", ["link " * r.randrange(1, 4)]) if kind < 0.75 else "some words " * r.randrange(1, 20))
+        return ("div", parts)
+
+    def source(node):
+        return f"<{node[0]}>" + "".join(p if isinstance(p, str) else source(p) for p in node[1]) + f"</{node[0]}>"
+
+    made = ("body", [tree(4)])
+    nodes = weigh(parse("".join(source(p) for p in made[1])))
+    body, queue = slow_counts(made), [made]
+    for node in queue:
+        queue += [p for p in node[1] if not isinstance(p, str) and p[0] != "a"]
+    assert len(queue) == len(nodes)
+    for slow, node in zip(queue, nodes):
+        assert node.density == pytest.approx(slow_density(slow, body))
+        assert node.sum == pytest.approx(sum(slow_density(p, body) for p in slow[1] if not isinstance(p, str) and p[0] != "a"))
