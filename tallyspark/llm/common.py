@@ -57,19 +57,34 @@ class Written:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_label: tuple[int, int], most_chars: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[bytes], np.ndarray]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_label: tuple[int, int], most_bytes: tuple[int, int], id_col: str = "doc_id", text_col: str = "text") -> tuple[list[bytes], np.ndarray]:
     """Texts and labels of a bounded sample: of the rows of `labels` with label 0 and 1 the
-    `per_label` lowest by a hash of the id, without texts over `most_chars` characters.
+    `per_label` lowest by a hash of the id, and of their texts, in that order, each that still
+    fits into `most_bytes` of its label.
 
-    The sample's ids are chosen from `labels` alone; only they (at most as many rows as the
-    bounds say) are broadcast to the scan of `docs`, so no text is shuffled.
+    An id with several labels has the lowest of them; of rows of `docs` that share an id one of the
+    shortest text counts. The sample's ids are chosen from `labels` alone; only they (at most
+    as many rows as the bounds say) are broadcast to two scans of `docs`, one for the sizes
+    of their texts and one for the texts that fit, so no text is shuffled.
     """
-    rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.xxhash64(id_col).alias("h"))
+    rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.xxhash64(id_col).alias("h")).where("id is not null and label in (0, 1)")
+    rows = rows.groupBy("id", "h").agg(F.min("label").alias("label"))
     low, high = (rows.where(F.col("label") == label).orderBy("h", "id").limit(n) for label, n in enumerate(per_label))
-    chosen = F.broadcast(low.unionByName(high).dropDuplicates(["id"]))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= most_chars)
-    found = texts.join(chosen, "id").select("label", "h", "id", "text").toPandas().sort_values(["h", "id", "text"], ignore_index=True)
-    return [t.encode() for t in found["text"]], found["label"].to_numpy()
+    chosen = low.unionByName(high)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sized = texts.select("id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).join(F.broadcast(chosen), "id")
+    sized = sized.groupBy("label", "h", "id").agg(F.min("size").alias("size")).toPandas().sort_values(["h", "id"], ignore_index=True)
+    fits, left = [], dict(enumerate(most_bytes))
+    for row in sized.itertuples():
+        if row.size <= left[row.label]:
+            left[row.label] -= row.size
+            fits.append((row.id, row.label, row.h, row.size))
+    if not fits:
+        return [], np.zeros(0, np.int64)
+    ids = docs.sparkSession.createDataFrame(fits, f"id {chosen.schema['id'].dataType.simpleString()}, label int, h long, size long")
+    same = texts.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    found = same.join(F.broadcast(ids), ["id", "size"]).groupBy("label", "h", "id").agg(F.min("text").alias("text")).toPandas().sort_values(["h", "id"], ignore_index=True)
+    return [(t or "").encode() for t in found["text"]], found["label"].to_numpy()
 
 
 def ascii_words(text: bytes) -> list[bytes]:

@@ -30,6 +30,25 @@ def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[list[bytes]
         yield held
 
 
+def pieces(text: bytes, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, bytes]]:
+    """(offset, bytes) of a text in pieces of at most `limit` bytes, so that memory doesn't grow with the text.
+
+    A piece ends at the end of a sentence; one without any ends behind a word, and one that is a
+    single word anywhere.
+    """
+    at = 0
+    while len(text) - at > limit:
+        ends = [text.rfind(c, at, at + limit) + 1 for c in (b".", b"!", b"?", b"\n")]
+        end = max(ends)
+        if end <= at:
+            end = max(text.rfind(c, at, at + limit) + 1 for c in (b" ", b"\t", b",", b"-"))
+        if end <= at:
+            end = at + limit
+        yield at, text[at:end]
+        at = end
+    yield at, text[at:]
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(29))) * _MIX
     return h ^ (h >> np.uint64(32))

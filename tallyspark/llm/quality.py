@@ -7,8 +7,8 @@ a tanh and a logistic projection of the encoding, weighs the passages; the docum
 the logistic of a learned projection of their weighted mean. All layers are learned together
 from document labels.
 
-The model is fitted with numpy on a bounded sample of labelled rows (`SAMPLE` of either
-label, the lowest by a hash of the id, texts up to `SAMPLE_CHARS` characters) and has a few thousand numbers; every
+The model is fitted with numpy on a bounded sample of labelled rows (`SAMPLE` rows and `SAMPLE_BYTES`
+of text of either label, the lowest by a hash of the id, whole texts of any length that the rest of the bound still holds) and has a few thousand numbers; every
 row is scored over its whole text.
 
 Defined cases: a null or empty text is one passage without words; rows that repeat a text
@@ -30,7 +30,7 @@ from .features import Words, chunks
 
 PASSAGE = 64
 SAMPLE = (3000, 3000)
-SAMPLE_CHARS = 20_000
+SAMPLE_BYTES = (8 << 20, 8 << 20)
 HIDDEN, GATE = 24, 12
 STEPS = 300
 RATE = 0.02
@@ -187,5 +187,5 @@ def quality(text, model: Model):
     return scored(text)
 
 
-def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "quality", id_col: str = "doc_id", per_label: tuple[int, int] = SAMPLE, most_chars: int = SAMPLE_CHARS) -> Model:
-    return fit(*labelled_sample(docs, labels, label_col, per_label, most_chars, id_col, text_col))
+def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "quality", id_col: str = "doc_id", per_label: tuple[int, int] = SAMPLE, most_bytes: tuple[int, int] = SAMPLE_BYTES) -> Model:
+    return fit(*labelled_sample(docs, labels, label_col, per_label, most_bytes, id_col, text_col))

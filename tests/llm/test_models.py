@@ -1,8 +1,12 @@
+import math
+import random
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.llm import language, quality, toxicity
+from tallyspark.llm import common, features, language, quality, toxicity
 from tallyspark.llm.queries import op7_quality, op8_toxicity, op10_language_id
 
 SF = "/root/testdata/sf0.01"
@@ -41,11 +45,89 @@ def test_noisy_or_finds_the_sentence():
     assert toxicity.calibrated(quiet, model)[0] > 0.5 > toxicity.calibrated(quiet, model)[1:].max()
     (s, e, _), *rest = spots[0]
     assert text[s:e].decode() == "You VILE2 one" and not rest and not spots[1]
-    none = [np.exp(-toxicity.silence([part], model)[0][0]) for part in (b"fine words", b"vile2 one")]
-    assert np.exp(-toxicity.silence([b"fine words. vile2 one"], model)[0][0]) == pytest.approx(none[0] * none[1])
+    once, twice = (toxicity.silence([part], model)[0][0] for part in (b"fine words. you are a vile2 thing!", b"you are a vile2 thing! fine words. You are a VILE2 thing."))
+    assert once == twice > 0.3
     assert toxicity.logit(np.array([1e-6, 1.0, 50.0])) == pytest.approx([np.log(1e-6), np.log(np.e - 1), 50], rel=1e-4)
 
 
+def word_hash(word):
+    return features.Words([word]).hash[0]
+
+
+def slow_noisy_or(text, weights, bias):
+    """(-log of the chance that no sentence offends, the sentences that count) by sets of words."""
+    quiet, top, found, known = 0.0, None, [], set()
+    for sentence in re.split(rb"[.!?\n]", text):
+        said = re.sub(rb"[^0-9a-z\x80-\xff]", b" ", sentence.lower()).split()
+        held = {word_hash(w) for w in said} | {("first", n, w[:n]) for w in said for n in (4, 5, 6) if len(w) > n}
+        z = bias + sum(weights.get(f, 0.0) for f in held)
+        if said:
+            top = z if top is None else max(z, top)
+        if said and 1 / (1 + math.exp(-z)) >= toxicity.HEARD:
+            found.append(sentence)
+            key = tuple(re.sub(rb"[^0-9a-z\x80-\xff]", b" ", sentence.lower()).strip().split(b" "))
+            quiet += 0 if key in known else math.log1p(math.exp(z))
+            known.add(key)
+    return quiet or math.log1p(math.exp(bias if top is None else top)), found
+
+
+def test_noisy_or_equals_a_slow_computation(monkeypatch):
+    r = random.Random(5)
+    vocabulary = [("w" * r.randrange(1, 4) + str(r.randrange(10**6)) + "é" * r.randrange(2)).encode() for _ in range(60)]
+    weights = {word_hash(w): r.uniform(-2, 6) for w in vocabulary[:40]}
+    model = toxicity.Model(np.array(sorted(weights)), np.array([weights[h] for h in sorted(weights)]), -4.0, 1.0, 0.0)
+    texts = [b"".join(r.choice(vocabulary) + r.choice([b" ", b", ", b" ", b". ", b"!", b"\n"]) for _ in range(r.randrange(0, 200))) for _ in range(60)] + [b"", b"..!"]
+    for limit in (None, 300):
+        if limit:  # long texts are cut at the ends of sentences
+            monkeypatch.setattr(toxicity, "pieces", lambda t: features.pieces(t, limit))
+        quiet, located = toxicity.silence(texts, model)
+        for text, q, spots in zip(texts, quiet, located):
+            want, found = slow_noisy_or(text, weights, -4.0)
+            assert q == pytest.approx(want)
+            assert bool(spots) == bool(toxicity.calibrated(np.array([want]), model)[0] >= 0.5) or found
+            assert all(any(text[a:b] in s for s in found) for a, b, _ in spots)
+
+
+def test_long_texts_are_cut_at_sentences():
+    text = b"One two. Three four! " * 50 + b"w" * 500 + b" end"
+    for limit in (20, 64, 100):
+        parts = list(features.pieces(text, limit))
+        assert b"".join(p for _, p in parts) == text and all(len(p) <= limit and text[a : a + len(p)] == p for a, p in parts)
+        assert all(p.endswith((b".", b"!", b"w", b" ")) for _, p in parts[:-1])
+
+
+def test_length_makes_no_text_toxic(spark):
+    """Clean texts joined to 10 MB stay clean; one sentence of a toxic text in their middle is found."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels.where(~toxicity.held_out("doc_id", 5, 0)))
+    rows = docs.join(labels.where(toxicity.held_out("doc_id", 5, 0)), "doc_id").select("text", "toxic").collect()
+    texts, toxic = [(r.text or "").encode() for r in rows], np.array([r.toxic for r in rows])
+    quiet, located = toxicity.silence(texts, model)
+    score = toxicity.calibrated(quiet, model)
+    assert auc(toxic, score) > 0.9 and ((score >= 0.5) == toxic).mean() > 0.96
+    assert all(spots for s, spots in zip(score, located) if s >= 0.5)
+    joined = b"\n".join(t for t, s, y in zip(texts, score, toxic) if s < 0.5 and not y)
+    for size in (100_000, 1_000_000, 10_000_000):
+        long = (joined * (size // len(joined) + 1))[:size]
+        assert toxicity.calibrated(toxicity.silence([long], model)[0], model)[0] < 0.5
+    worst = int(np.argmax(score))
+    start, end, _ = max(located[worst], key=lambda s: s[2])
+    offence = texts[worst][start:end]
+    quiet, located = toxicity.silence([long[:5_000_000] + b".\n" + offence + b".\n" + long[5_000_000:]], model)
+    assert toxicity.calibrated(quiet, model)[0] >= 0.5 and located[0]
+
+
+def test_the_sample_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(k, "x" * (10 * k + 1), k % 2) for k in range(40)] + [(3, "y", 1), (50, None, 0), (51, "long " * 10_000, 0)], "doc_id long, text string, toxic int")
+    labels = docs.select("doc_id", "toxic").unionByName(spark.createDataFrame([(3, 0), (None, 1), (7, None)], "doc_id long, toxic int"))
+    texts, y = common.labelled_sample(docs, labels, "toxic", (100, 100), (2000, 900))
+    assert sum(len(t) for t, k in zip(texts, y) if k == 0) <= 2000 and sum(len(t) for t, k in zip(texts, y) if k == 1) <= 900
+    assert b"" in texts and len(texts) == len(y) > 20 and not any(b"long" in t for t in texts)
+    assert b"y" in texts and y[texts.index(b"y")] == 0  # the lowest of two labels, the shortest of two texts
+    whole, _ = common.labelled_sample(docs, labels, "toxic", (100, 100), (10**6, 10**6))
+    assert len(whole) == 42 and any(len(t) == 50_000 for t in whole)
+
+
 def test_gradients_of_attention():
     """The fitted direction lowers the loss, and attention sums to one in each document."""
     texts = [(b"good words of prose. " * 30 if k % 2 else b"### $$$ ### junk " * 30) + b" tail" * (k % 7) for k in range(40)]
