@@ -1,37 +1,46 @@
 """Benchmark decontamination with an Aho-Corasick automaton over normalised text.
 
 Texts are normalised alike: A-Z in lower case, words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``
-joined by single spaces, a space at either end. The patterns are all windows of 10
-consecutive words of the benchmark's items (an item of fewer words, but not none, is one
-pattern), each with its spaces, so a match is a match of whole words. One automaton holds
-every pattern and each text is scanned once; the end of a match gives its last word, and
-words map back to offsets in the original text.
-
-The automaton goes to the executors as the items it is built from. It holds `block_bytes` of
-benchmark text; a larger benchmark is dealt into as many automata, one pass each, whose
-hits are united, so no size is left out.
+joined by single spaces, a space at either end. A window is 10 consecutive words of an item (all
+of an item with fewer words, but not none). One automaton over all items scans each text once: its
+patterns are the short items and, of the longer ones, every seventh run of four words, one of which lies
+in any window; that makes it small enough for megabytes of benchmark. Where such a run is met, the
+windows of the text around it are looked up by hash among those of the items and compared word by word.
+Ends of matches give word numbers, and words map back to offsets in the original text.
+
+The benchmark goes to the executors as the items it is built from, in a broadcast of at most
+`MOST_BYTES` (checked by an aggregation before anything is collected); a worker builds the automaton once. A
+larger benchmark is met by a join instead (`by_join`): the windows of texts and items, as two 64-bit
+hashes each, are shuffled; nothing is broadcast and no size is left out.
 
 Defined cases: a null text or item has no words and no windows; repeated items share
-patterns and each count by id (null ids by no id); repeated documents each have their row; empty tables give
-empty results (no benchmark: no hits); columns beside id and text are not read.
+windows and each count by id (null ids by no id); repeated documents each have their row; empty tables give
+empty results (no benchmark: no hits); columns beside id and text are carried along, and one of the
+result's name is replaced.
 """
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+import uuid
+from collections.abc import Iterator
+from functools import lru_cache, partial
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_bytes
+from .common import OUT_BYTES, Written, bounded_batches, text_bytes
+from .features import mixed
 
 WINDOW = 10
-#: Benchmark text, in bytes, that one automaton holds; about 10 nodes for each byte.
-BLOCK_BYTES = 256 << 10
+#: Benchmark text, in bytes, that the automaton takes; it needs some 50 times as much in each worker.
+MOST_BYTES = 4 << 20
+#: Words of a pattern of longer items.
+ANCHOR = 4
 
 _WORD = [b for b in range(256) if b >= 0x80 or chr(b).isalnum()]
 TABLE = bytes((b + 32 if 65 <= b <= 90 else b) if b in _WORD else 32 for b in range(256))
@@ -47,47 +56,117 @@ def line(found: list[bytes]) -> str:
     return (b" " + b" ".join(found) + b" ").decode("latin-1")
 
 
-Items = tuple[tuple[str, bytes], ...]
+def hashes(found: list[bytes], seed: int = 0) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in found), np.uint64, len(found))
 
 
-@lru_cache(1)
-def automaton(items: Items, window: int) -> tuple[ahocorasick.Automaton | None, tuple[str, ...]]:
-    """The automaton of all windows, with (words, numbers of items) at each; the items' ids."""
-    owners: dict[str, tuple[int, set[int]]] = {}
-    for k, (_, text) in enumerate(items):
-        found = words(text)
-        for i in range(max(1, len(found) - window + 1) if found else 0):
-            part = found[i : i + window]
-            owners.setdefault(line(part), (len(part), set()))[1].add(k)
-    built = ahocorasick.Automaton()
-    for pattern, (n, who) in owners.items():
-        built.add_word(pattern, (n, tuple(sorted(who))))
-    built.make_automaton()
-    return (built if owners else None), tuple(i for i, _ in items)
-
-
-def matches(found: list[bytes], items: Items, window: int) -> tuple[list[tuple[int, int]], set[str]]:
-    """(end in the line, number of words) of each match of one automaton, and the ids of its items."""
-    built, ids = automaton(items, window)
-    ends, who = [], set()
-    if found and built is not None:
-        for end, (n, hit) in built.iter(line(found)):
-            ends.append((end, n))
-            who.update(hit)
-    return ends, {ids[k] for k in who if ids[k] is not None}
-
-
-def runs_of(found: list[bytes], ends: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Runs of hit words as (first, end)."""
-    if not ends:
+def window_hashes(each: np.ndarray, n: int, starts: np.ndarray | None = None) -> np.ndarray:
+    """A hash of the n words from each start (of every window) by the words' hashes."""
+    starts = np.arange(len(each) - n + 1) if starts is None else starts
+    sums = np.zeros(len(starts), np.uint64)
+    for k in range(n):
+        sums += mixed(each[starts + k] + np.uint64(k))
+    return mixed(sums + np.uint64(n))
+
+
+class Automaton:
+    """The items' automaton and windows."""
+
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int):
+        self.window, self.ids = window, [i for i, _ in items]
+        #: Of the patterns: whether it is part of longer items; words and owners of the item that it is.
+        patterns: dict[str, list] = {}
+        anchor = min(ANCHOR, window)
+        self.words: list[bytes] = []
+        starts, owners = [], []
+        for k, (_, text) in enumerate(items):
+            found = words(text)
+            if not found:
+                continue
+            if len(found) < window:
+                patterns.setdefault(line(found), [False, len(found), []])[2].append(k)
+                continue
+            for i in range(0, len(found) - anchor + 1, window - anchor + 1):
+                patterns.setdefault(line(found[i : i + anchor]), [True, anchor, []])[0] = True
+            starts.append(len(self.words) + np.arange(len(found) - window + 1))
+            owners.append(np.full(len(starts[-1]), k))
+            self.words += found
+        start, owner = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, owners))
+        for self.seed in range(64):
+            each = hashes(self.words, self.seed)
+            h = window_hashes(each, window, start)
+            check = window_hashes(hashes(self.words, self.seed + 64), window, start)
+            order = np.lexsort((owner, check, h))
+            new = np.concatenate(([True], np.diff(h[order]) != 0)) if len(h) else np.zeros(0, bool)
+            if (new[1:] | (np.diff(check[order]) == 0)).all():
+                break  # different windows have different hashes
+        #: Hash, first place and, from `at` on, owners of each distinct window.
+        self.hash, self.place, self.owner = h[order][new], start[order][new], owner[order]
+        self.at = np.append(np.nonzero(new)[0], len(order))
+        self.built = ahocorasick.Automaton()
+        for pattern, value in patterns.items():
+            self.built.add_word(pattern, tuple(value))
+        self.built.make_automaton()
+        self.empty = not patterns
+
+    def scan(self, found: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """Runs of hit words as (first, end), and the ids of the items that occur."""
+        if not found or self.empty:
+            return [], set()
+        matched = list(self.built.iter(line(found)))
+        if not matched:
+            return [], set()
+        # Where in the line the space behind each word stands.
+        after = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
+        last = np.searchsorted(after, np.fromiter((end for end, _ in matched), np.int64, len(matched)))
+        spots, who = [], set()
+        around = np.zeros(len(found) + 1, np.int64)
+        for at, (_, (is_part, n, owners)) in zip(last.tolist(), matched):
+            if owners:
+                spots.append((at - n + 1, n))
+                who.update(owners)
+            if is_part:
+                around[max(0, at - self.window + 1)] += 1
+                around[at - n + 2] -= 1
+        starts = np.nonzero(np.cumsum(around)[: max(0, len(found) - self.window + 1)])[0]
+        if len(starts) and len(self.hash):
+            h = window_hashes(hashes(found, self.seed), self.window, starts)
+            k = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+            same = self.hash[k] == h
+            for start, j in zip(starts[same].tolist(), k[same].tolist()):
+                place = self.place[j]
+                if found[start : start + self.window] == self.words[place : place + self.window]:
+                    spots.append((start, self.window))
+                    who.update(self.owner[self.at[j] : self.at[j + 1]].tolist())
+        return runs_of(len(found), spots), {self.ids[k] for k in who if self.ids[k] is not None}
+
+
+class Shared:
+    """The items in a broadcast, told apart by a token, so that no worker hashes them."""
+
+    def __init__(self, broadcast, window: int):
+        self.broadcast, self.window, self.token = broadcast, window, uuid.uuid4().hex
+
+    def __hash__(self) -> int:
+        return hash(self.token)
+
+    def __eq__(self, other) -> bool:
+        return self.token == other.token
+
+
+@lru_cache(2)
+def automaton(shared: Shared) -> Automaton:
+    return Automaton(shared.broadcast.value, shared.window)
+
+
+def runs_of(n: int, spots: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs, as (first, end), of the words of a text of n that lie in one of the spots (first, number of words)."""
+    if not spots:
         return []
-    # Where in the line the space behind each word stands.
-    after = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
-    at, n = np.array(ends, np.int64).T
-    last = np.searchsorted(after, at)
-    change = np.zeros(len(found) + 1, np.int64)
-    np.add.at(change, last - n + 1, 1)
-    np.add.at(change, last + 1, -1)
+    first, many = np.array(spots, np.int64).T
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, first, 1)
+    np.add.at(change, first + many, -1)
     hit = np.concatenate(([False], np.cumsum(change[:-1]) > 0, [False]))
     turns = np.nonzero(hit[1:] != hit[:-1])[0]
     return list(zip(turns[::2].tolist(), turns[1::2].tolist()))
@@ -104,58 +183,102 @@ def offsets(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 RUN = pa.list_(pa.struct([("first_word", pa.int32()), ("end_word", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _united(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Runs that touch or overlap as one."""
-    found: list[tuple[int, int]] = []
-    for s, e in sorted(runs):
-        if found and s <= found[-1][1]:
-            found[-1] = (found[-1][0], max(e, found[-1][1]))
-        else:
-            found.append((s, e))
-    return found
+RESULT = "struct<n_words:bigint,runs:array<struct<first_word:int,end_word:int,start:int,end:int>>,items:array<string>>"
 
 
-def _scanned(column: pa.Array, blocks, window: int) -> pa.Array:
-    """One text's words are held at a time; with several automata the batch is scanned once for each."""
-    texts = text_bytes(column)
-    n, runs, who = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
-    for block in blocks:
-        for k, text in enumerate(texts):
-            found = words(text)
-            ends, ids = matches(found, block.value, window)
-            n[k] = len(found)
-            if ends:
-                runs[k] = _united(runs[k] + runs_of(found, ends))
-                who[k] |= ids
-    shown = [[{"first_word": w[0], "end_word": w[1], "start": o[0], "end": o[1]} for w, o in zip(r, offsets(t, r))] for t, r in zip(texts, runs)]
-    return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(shown, RUN), pa.array([sorted(w) for w in who], pa.list_(pa.string()))], names=["n_words", "runs", "items"])
-
-
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[Items]:
-    """The benchmark's items dealt into blocks of bounded size; an item is never cut."""
-    found, held, size = [], [], 0
-    for item, text in benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("binary")).where(F.col(text_col).isNotNull()).toLocalIterator():
-        if held and size + len(text) > block_bytes:
-            found.append(tuple(held))
-            held, size = [], 0
-        held.append((item, bytes(text)))
-        size += len(text)
-    return [*found, tuple(held)]
-
-
-def contamination(text, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES):
-    """Column (n_words, runs, items) of the column `text`: the hit runs, with word numbers and offsets, and the items that occur."""
+def _shown(text: bytes, runs: list[tuple[int, int]]) -> list[dict]:
+    return [{"first_word": w[0], "end_word": w[1], "start": o[0], "end": o[1]} for w, o in zip(runs, offsets(text, runs))]
+
+
+def _result(n: list[int], shown: list, items: list) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(shown, RUN), pa.array(items, pa.list_(pa.string()))], names=["n_words", "runs", "items"])
+
+
+def _scanned(column: pa.Array, built: Automaton) -> pa.Array:
+    """One text's words are held at a time."""
+    n, shown, items = [], [], []
+    for text in text_bytes(column):
+        found = words(text)
+        runs, who = built.scan(found)
+        n.append(len(found))
+        shown.append(_shown(text, runs))
+        items.append(sorted(who))
+    return _result(n, shown, items)
+
+
+def contamination(text, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, most_bytes: int = MOST_BYTES):
+    """Column (n_words, runs, items) of the column `text`: the hit runs, with word numbers and offsets, and the items that occur.
+
+    Raises ValueError for a benchmark over `most_bytes`; `contaminated` takes any.
+    """
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("binary").alias("text")).where("text is not null")
+    size = items.agg(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("item"), F.lit(0)))).first()[0] or 0
+    if size > most_bytes:
+        raise ValueError(f"the benchmark has {size} bytes; the automaton takes {most_bytes}")
     bounded_batches()
-    context = benchmark.sparkSession.sparkContext
-    dealt = [context.broadcast(x) for x in blocks(benchmark, item_col, item_text_col, block_bytes)]
+    shared = Shared(benchmark.sparkSession.sparkContext.broadcast([(r["item"], bytes(r["text"])) for r in items.collect()]), window)
 
-    @F.arrow_udf("struct<n_words:bigint,runs:array<struct<first_word:int,end_word:int,start:int,end:int>>,items:array<string>>")
+    @F.arrow_udf(RESULT)
     def scanned(texts: pa.Array) -> pa.Array:
-        return _scanned(texts, dealt, window)
+        return _scanned(texts, automaton(shared))
 
     return scanned(text)
 
 
+def _windows(found: list[bytes], sizes: list[int]) -> tuple[np.ndarray, ...]:
+    """(first word, number of words, two hashes) of the windows of the sizes."""
+    one, two = hashes(found, 1), hashes(found, 2)
+    rows = [(np.arange(len(found) - n + 1), np.full(len(found) - n + 1, n), window_hashes(one, n), window_hashes(two, n)) for n in sizes if n <= len(found)]
+    return tuple(np.concatenate(x) for x in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
+
+
+def _window_batches(batches: Iterator[pa.RecordBatch], sizes: list[int] | None, window: int) -> Iterator[pa.RecordBatch]:
+    """(key, at, n, h1, h2) of each text's windows of the sizes; without sizes, of each item's own."""
+    for b in batches:
+        for k, text in enumerate(text_bytes(b.column(1))):
+            found = words(text)
+            at, n, one, two = _windows(found, [min(window, len(found))] if sizes is None and found else sizes or [])
+            for i in range(0, len(at), OUT_BYTES // 32):
+                part = slice(i, i + OUT_BYTES // 32)
+                key = b.column(0).take(pa.array(np.full(len(at[part]), k)))
+                yield pa.RecordBatch.from_arrays([key, pa.array(at[part].astype(np.int32)), pa.array(n[part].astype(np.int32)), pa.array(one[part].view(np.int64)), pa.array(two[part].view(np.int64))], names=["key", "at", "n", "h1", "h2"])
+
+
+def by_join(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, name: str = "contamination") -> DataFrame:
+    """What `contaminated` gives, for a benchmark of any size: windows meet in a join on their hashes."""
+    bounded_batches()
+    kept = [c for c in docs.columns if c != name]
+    rows = Written(docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("doc"), F.col(f"`{text_col}`").alias("text"), F.monotonically_increasing_id().alias("row")), "contamination-rows").df
+    found = "key {}, at int, n int, h1 long, h2 long"
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
+    items = Written(items.mapInArrow(partial(_window_batches, sizes=None, window=window), found.format("string")).select(F.col("key").alias("item"), "n", "h1", "h2").distinct(), "contamination-items").df
+    sizes = sorted(r["n"] for r in items.select("n").distinct().collect())  # at most `window` of them
+    texts = rows.select("row", "text").mapInArrow(partial(_window_batches, sizes=sizes, window=window), found.format("long")).withColumnRenamed("key", "row")
+    window_key = ["n", "h1", "h2"]
+    hits = Written(texts.join(items.select(window_key).distinct(), window_key, "left_semi"), "contamination-hits").df
+    spots = hits.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("spots"))
+    owned = hits.select("row", *window_key).distinct().join(items.where("item is not null"), window_key).select("row", "item").distinct()
+    owned = owned.groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"))
+
+    @F.arrow_udf(RESULT)
+    def shown(texts: pa.Array, spots: pa.Array, items: pa.Array) -> pa.Array:
+        n, runs = [], []
+        for text, held in zip(text_bytes(texts), spots.to_pylist()):
+            n.append(len(words(text)))
+            runs.append(_shown(text, runs_of(n[-1], [(s["at"], s["n"]) for s in held or []])))
+        return _result(n, runs, [x or [] for x in items.to_pylist()])
+
+    return rows.join(spots, "row", "left").join(owned, "row", "left").select("doc.*", shown("text", "spots", "items").alias(name))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", name: str = "contamination", most_bytes: int = MOST_BYTES, **options) -> DataFrame:
+    """`docs` with the column `name` (n_words, runs, items), by the automaton where the benchmark fits into it and by a join where not."""
+    try:
+        return docs.withColumn(name, contamination(F.col(f"`{text_col}`"), benchmark, most_bytes=most_bytes, **options))
+    except ValueError:
+        return by_join(docs, benchmark, text_col, name=name, **options)
+
+
 def hit_words(runs):
     return F.aggregate(runs, F.lit(0).cast("long"), lambda n, r: n + r["end_word"] - r["first_word"])
 
@@ -166,4 +289,5 @@ def item_digest(items):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs` whose text has no hit."""
-    return docs.where(F.size(contamination(F.col(text_col), benchmark, **options)["runs"]) == 0)
+    found = contaminated(docs, benchmark, text_col, "_hits of the benchmark", **options)
+    return found.where(F.size(F.col("`_hits of the benchmark`")["runs"]) == 0).select(*(F.col(f"`{c}`") for c in docs.columns))

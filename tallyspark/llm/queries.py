@@ -100,8 +100,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = decontamination.contamination(F.col("text"), table(spark, sf_dir, "benchmark"))
-    found = table(spark, sf_dir, "documents").select("doc_id", hits.alias("c"))
+    found = decontamination.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), name="c")
     n_hit = decontamination.hit_words(F.col("c.runs"))
     return found.select("doc_id", "c.n_words", n_hit.alias("n_hit"), F.size("c.items").cast("long").alias("n_items"), decontamination.item_digest(F.col("c.items")).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,14 +39,14 @@ TEXTS = [
 
 def columns(spark, docs, items, **options):
     bench = spark.createDataFrame(items, "item_id int, text string")
-    found = docs.select("doc_id", d.contamination(F.col("text"), bench, **options).alias("c")).select("doc_id", "c.*")
+    found = d.contaminated(docs, bench, name="c", **options).select("doc_id", "c.*")
     return {r.doc_id: (r.n_words, sum(x.end_word - x.first_word for x in r.runs), len(r.items), hashlib.sha256(",".join(r.items).encode()).hexdigest(), bool(r.runs)) for r in found.collect()}
 
 
-@pytest.mark.parametrize("block_bytes", [1, 40, 1 << 18])
-def test_against_brute_force(spark, block_bytes):
+@pytest.mark.parametrize("most_bytes", [0, d.MOST_BYTES])
+def test_against_brute_force(spark, most_bytes):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id int, text string")
-    got = columns(spark, docs, ITEMS, block_bytes=block_bytes)
+    got = columns(spark, docs, ITEMS, most_bytes=most_bytes)
     owned = [i for i in ITEMS if i[0] is not None]
     for k, t in enumerate(TEXTS):
         want = brute(t, owned)
@@ -74,3 +76,45 @@ def test_empty_and_clashing(spark):
     kept = d.decontaminate(docs, bench)
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "None"]
     assert d.decontaminate(docs, bench.limit(0)).count() == 4 and d.decontaminate(docs.limit(0), bench).count() == 0
+
+
+def test_automaton_and_join_equal_brute_force_on_random_texts(spark):
+    """Few words, so that windows start anywhere, overlap, repeat in items and end with them."""
+    r = random.Random(7)
+    text = lambda n, words=5: " ".join("abcdefgh"[r.randrange(words)] for _ in range(n))
+    items = [(k, text(r.choice([1, 3, 4, 9, 10, 11, 13, 24, 40]))) for k in range(60)]
+    texts = [text(r.randrange(80), 6) for _ in range(40)] + [text(20, 8) + " " + items[k][1] + " " + text(20, 8) for k in range(0, 60, 3)]
+    texts += [" ".join(items[k][1].split()[3:13]) for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    want = {k: brute(t, items) for k, t in enumerate(texts)}
+    assert columns(spark, docs, items) == want and columns(spark, docs, items, most_bytes=0) == want
+    assert {w[1] for w in want.values()} > {0, 10}
+
+
+def test_a_larger_benchmark_costs_little_more():
+    """5 MB of benchmark take no more than twice the time of 100 KB to scan, and one build."""
+    r = random.Random(1)
+    made = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(2, 9))) for _ in range(30_000)]
+    draw = lambda n: " ".join(made[min(int(r.expovariate(1 / 2000)), 29_999)] for _ in range(n)).encode()
+    items = [(str(k), draw(60)) for k in range(15_000)]
+    texts = [d.words(draw(400) + b" " + items[k][1][:200]) for k in range(400)]
+    small, large = d.Automaton(items[:300], 10), d.Automaton(items, 10)
+
+    def cost(built):
+        best = []
+        for _ in range(3):
+            began = time.process_time()
+            for t in texts:
+                built.scan(t)
+            best.append(time.process_time() - began)
+        return min(best)
+
+    assert sum(len(t) for _, t in items) > 4_500_000 and cost(large) < 2 * cost(small) + 0.1
+
+
+def test_the_size_is_checked_before_the_broadcast(spark):
+    bench = spark.createDataFrame(ITEMS, "item_id int, text string")
+    with pytest.raises(ValueError):
+        d.contamination(F.col("text"), bench, most_bytes=10)
+    docs = spark.createDataFrame([(1, "short item", 5)], "doc_id int, text string, `a.b` int")
+    assert d.decontaminate(docs, bench, most_bytes=0).columns == ["doc_id", "text", "a.b"] and d.decontaminate(docs.limit(0), bench, most_bytes=0).count() == 0
