@@ -1,6 +1,6 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
-The mix is counted in blocks of equal tokens. Blocks go to sources by highest quotients
+The mix is counted in blocks of `block_tokens` words. Blocks go to sources by highest quotients
 (votes: the sources' target words), then within a source to its shards (votes: the shards'
 words), so every shard has an integer quota. A shard is a seeded hash class of a source's
 documents, read in seeded order as one stream of words; the stream is cut into blocks, of
@@ -8,12 +8,17 @@ which whole passes and a seeded systematic sample make up the quota. A document'
 the part of its words that lies in chosen blocks, which is a difference of two closed
 forms, so blocks are never rows.
 
-A large source has many shards (one for each `rows_per_shard` rows), so none is a hot group.
-To the driver go one row per source and one per shard: counts only. Targets that exceed
+A source whose target is under `FINEST` blocks is counted in finer blocks of its own (its target in
+`FINEST` parts), so that it comes near its target; the blocks of the others stay as they are.
+
+A source has a shard for each `rows_per_shard` rows, `MOST_SHARDS` at most, so none is a hot group (a shard's window
+sorts four numbers a row). Rows are dealt by id and text, so neither null nor repeated ids make one; only rows alike in
+both stay together. To the driver goes one row per source, counts only (some 100 bytes); shards are apportioned on the
+executors, a source's shards in one group of at most `MOST_SHARDS` rows. Targets that exceed
 `cap` times their source's words are cut to that, the excess is shared again by weight.
 
 Defined cases: a null text has size 0 and is never taken; null sources are one source, the
-last; repeated rows are documents of their own; ids may be null; an empty table gives an
+last; repeated rows are documents of their own (alike in all, it is open which of them is which); ids may be null; an empty table gives an
 empty result; columns beside id, text and source are not read.
 """
 
@@ -23,6 +28,7 @@ import heapq
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,9 +38,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 CAP = 3
 BLOCK_TOKENS = 256
-#: A block holds at most this part of the smallest target.
+#: Blocks that a source's target has at least.
 FINEST = 400
 ROWS_PER_SHARD = 4096
+MOST_SHARDS = 4096
+#: Sources up to which their table (some 100 bytes each) is broadcast; beyond it is joined like any other.
+MOST_BROADCAST = 20_000
 SEED = 17
 
 
@@ -85,8 +94,20 @@ def sainte_lague(votes, seats: int, most=None) -> np.ndarray:
 
 
 def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, *carry) -> DataFrame:
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), *carry)
+    """(id, digest, source, size); digest: of the text."""
+    quoted = lambda c: F.col(f"`{c}`")
+    size = F.coalesce(F.regexp_count(quoted(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select(quoted(id_col).alias("id"), F.xxhash64(quoted(text_col)).alias("digest"), quoted(source_col).alias("source"), size.alias("size"), *carry)
+
+
+def source_quotas(words: list[int], aims: list[float], block_tokens: int, cap: int) -> list[tuple[int, int]]:
+    """(tokens of a block, number of blocks) of each source: equal blocks by highest quotients; sources too small for them have blocks of their own."""
+    blocks = [block_tokens if a >= FINEST * block_tokens else max(1, int(a / FINEST)) for a in aims]
+    large = [k for k, b in enumerate(blocks) if b == block_tokens]
+    most = [cap * -(-n // b) for n, b in zip(words, blocks)]
+    seats = sainte_lague([aims[k] for k in large], round(sum(aims[k] for k in large) / block_tokens), [most[k] for k in large]).tolist() if large else []
+    found = {k: int(n) for k, n in zip(large, seats)}
+    return [(b, found.get(k, min(m, round(a / b)))) for k, (a, b, m) in enumerate(zip(aims, blocks, most))]
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: int = CAP, block_tokens: int = BLOCK_TOKENS, rows_per_shard: int = ROWS_PER_SHARD, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -100,31 +121,32 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sources = sorted(sources, key=lambda r: (r["source"] is None, r["source"]))
     words = [r["words"] for r in sources]
     aims = targets(words, [weights[k % len(weights)] for k in range(len(sources))], sum(words), cap)
-    block = max(1, min(block_tokens, int(min((a for a in aims if a > 0), default=1) / FINEST)))
-    in_blocks = lambda n: -(-n // block)
-    quotas = sainte_lague(aims, round(sum(aims) / block), [cap * in_blocks(n) for n in words]).tolist() if sources else []
+    quotas = source_quotas(words, aims, block_tokens, cap)
 
-    rows = [(k, r["source"], math.ceil(r["rows"] / rows_per_shard), r["words"], a) for k, (r, a) in enumerate(zip(sources, aims))]
+    rows = [(k, r["source"], min(MOST_SHARDS, math.ceil(r["rows"] / rows_per_shard)), r["words"], a, b, q) for k, (r, a, (b, q)) in enumerate(zip(sources, aims, quotas))]
     source_type = sized.schema["source"].dataType.simpleString()
-    by_source = spark.createDataFrame(rows, f"k long, name {source_type}, shards long, source_size long, target double")
+    by_source = spark.createDataFrame(rows, f"k long, name {source_type}, shards long, source_size long, target double, block long, quota long")
+    if len(rows) <= MOST_BROADCAST:
+        by_source = F.broadcast(by_source)
 
     def place(rows: DataFrame) -> DataFrame:
-        found = rows.join(by_source, rows["source"].eqNullSafe(by_source["name"])).withColumn("order", F.xxhash64(F.lit(seed), "id"))
-        return found.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), "shards"))
-
-    held: dict[int, list] = {}
-    for r in place(sized).groupBy("k", "shard").agg(F.sum("size").alias("words")).collect():
-        held.setdefault(r["k"], []).append((r["shard"], r["words"]))
-    shards = []
-    for k, own in sorted(held.items()):
-        own.sort()
-        n = [in_blocks(w) for _, w in own]
-        for (shard, _), m, q in zip(own, n, sainte_lague([w for _, w in own], quotas[k], [cap * m for m in n]).tolist()):
-            shards.append((k, shard, m, q // m if m else 0, q % m if m else 0, int(np.random.default_rng([seed, k, shard]).integers(max(m, 1)))))
-    by_shard = spark.createDataFrame(shards, "k long, shard long, blocks long, passes long, rest long, start long")
-
-    stream = Window.partitionBy("k", "shard").orderBy("order", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = place(sizes(docs, id_col, text_col, source_col, F.struct(*carry).alias("row")) if carry else sized)
+        found = rows.join(by_source, rows["source"].eqNullSafe(by_source["name"])).withColumn("order", F.xxhash64(F.lit(seed), "id", "digest"))
+        return found.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "id", "digest"), "shards"))
+
+    shards = place(sized).groupBy("k", "shard", "block", "quota").agg(F.sum("size").alias("words"))
+
+    def apportioned(shards: pd.DataFrame) -> pd.DataFrame:
+        """The quota of each of one source's shards."""
+        shards = shards.sort_values("shard", ignore_index=True)
+        own = -(-shards["words"].to_numpy() // shards["block"].to_numpy())
+        quota = sainte_lague(shards["words"].to_numpy(), int(shards["quota"].iloc[0]), cap * own)
+        return pd.DataFrame({"k": shards["k"], "shard": shards["shard"], "blocks": own, "passes": quota // np.maximum(own, 1), "rest": quota % np.maximum(own, 1)})
+
+    by_shard = shards.groupBy("k").applyInPandas(apportioned, "k long, shard long, blocks long, passes long, rest long")
+    by_shard = Written(by_shard.withColumn("start", F.pmod(F.xxhash64(F.lit(seed + 2), "k", "shard"), F.greatest("blocks", F.lit(1)))), "mix-shards").df
+
+    stream = Window.partitionBy("k", "shard").orderBy("order", "id", "digest", "size").rowsBetween(Window.unboundedPreceding, 0)
+    placed = place(sizes(docs, id_col, text_col, source_col, F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row")) if carry else sized)
     placed = placed.withColumn("end", F.sum("size").over(stream)).join(by_shard, ["k", "shard"])
 
     def chosen(j):
@@ -132,8 +154,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     def before(x):
         """Words that the mix takes from the first x words of the shard's stream."""
-        j = F.floor(x / block)
-        return F.col("passes") * x + block * chosen(j) + (x - j * block) * (chosen(j + 1) - chosen(j))
+        j = F.floor(x / F.col("block"))
+        return F.col("passes") * x + F.col("block") * chosen(j) + (x - j * F.col("block")) * (chosen(j + 1) - chosen(j))
 
     taken = (before(F.col("end")) - before(F.col("end") - F.col("size"))).cast("long")
     return placed.select("id", "size", "source_size", "target", taken.alias("taken"), *(["row"] if carry else []))

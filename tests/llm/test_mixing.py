@@ -87,3 +87,17 @@ def test_empty_tables_and_texts(spark):
     assert [r.taken for r in mixed(docs(spark, [(1, "", "a", "x", 1), (2, None, "b", "x", 1)]))] == [0, 0]
     twice = mixed(docs(spark, [(1, "a b c", "s", "x", 1)] * 2))
     assert sorted(r.taken for r in twice) == [3, 3]
+
+
+def test_one_small_source_changes_no_other():
+    words = [400_000, 300_000, 50]
+    alone, beside = (mixing.source_quotas(words[:n], [5e5, 2e5, 20.0][:n], 256, 3) for n in (2, 3))
+    assert beside[:2] == alone and [b for b, _ in beside] == [256, 256, 1] and beside[2][1] == 20
+    assert sum(n for _, n in alone) == round(7e5 / 256)
+
+
+def test_rows_without_ids_are_spread(spark):
+    rows = [(None if k % 2 else 7, f"text number {k} of {k % 9}", "s", "x", 1) for k in range(400)]
+    got = mixed(docs(spark, rows), rows_per_shard=20)
+    assert len(got) == 400 and sum(r.taken for r in got) == pytest.approx(got[0].target, rel=0.02)
+    assert sorted((r.id or 0, r.size, r.taken) for r in got) == sorted((r.id or 0, r.size, r.taken) for r in mixed(docs(spark, rows).repartition(5), rows_per_shard=20))
