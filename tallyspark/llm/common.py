@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +35,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where it is unset (tests on one machine) a local folder takes its place.
+    Only where it is unset and all of Spark is one process on one machine a local folder takes its place.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tallyspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: Tables in the shared folder that nothing has dropped yet.
+_WRITTEN: list[Written] = []
+
+
 class Written:
     """A DataFrame written as Parquet to the shared folder, so that nothing below
     it is computed twice and a lost executor costs no more than the reading task."""
@@ -49,12 +57,37 @@ class Written:
     def __init__(self, df: DataFrame, label: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
+        _WRITTEN.append(self)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        if self in _WRITTEN:
+            _WRITTEN.remove(self)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[Written], Written]]:
+    """Drops the tables written inside the block at its end, but for those given to what it yields."""
+    before, kept = set(map(id, _WRITTEN)), set()
+
+    def keep(written: Written) -> Written:
+        kept.add(id(written))
+        return written
+
+    try:
+        yield keep
+    finally:
+        for written in [w for w in _WRITTEN if id(w) not in before | kept]:
+            written.drop()
+
+
+def release() -> None:
+    """Drops all tables that operators have written and that their results still read: call it when those are no longer needed."""
+    for written in list(_WRITTEN):
+        written.drop()
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_label: tuple[int, int], most_bytes: tuple[int, int], id_col: str = "doc_id", text_col: str = "text") -> tuple[list[bytes], np.ndarray]:

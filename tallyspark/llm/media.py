@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 from .common import OUT_BYTES, bounded_batches, text_bytes
 
 UNIT = 64
-#: MCUs (six blocks) in a row of the image, at most.
+#: MCUs (six blocks) in a row of the image, unless it would have over `MOST_ROWS` rows (100 MB), which the format's 16 bits of height bound.
 ROW_MCUS = 64
+MOST_ROWS = 4095
 MARK = b"UNITS"
 DC_LOW, AC_LOW = 1, 1
 BANDS = ((1, 5), (6, 63))
@@ -101,7 +102,7 @@ def _packed(bits: np.ndarray) -> bytes:
 @lru_cache(256)
 def _layout(mcus: int) -> tuple[int, int, np.ndarray]:
     """MCUs across and down; the number of each block, luma then Cb then Cr, in interleaved order."""
-    across = min(mcus, ROW_MCUS)
+    across = max(min(mcus, ROW_MCUS), -(-mcus // MOST_ROWS))
     down = -(-mcus // across)
     y = np.arange(4 * across * down).reshape(down, 2, across, 2).transpose(0, 2, 1, 3).reshape(-1, 4)
     cb = y.size + np.arange(across * down)[:, None]
@@ -475,23 +476,26 @@ def _decode_batches(batches: Iterator[pa.RecordBatch], drop: int, names: list[st
         yield from _flushed(rows, b, [pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.string()], names, drop)
 
 
-def _schema(df: DataFrame, without: str, more: str) -> tuple[str, list[str]]:
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != without]
-    return ", ".join([*kept, more]), [f.name for f in df.schema if f.name != without] + [x.split()[0] for x in more.split(", ")]
+def _mapped(df: DataFrame, without: str, more: str, stage) -> DataFrame:
+    """What `stage` makes of `df`: the columns `more` in place of `without` and of those of their own names."""
+    bounded_batches()
+    fresh = [x.split()[0] for x in more.split(", ")]
+    kept = [f for f in df.schema if f.name != without and f.name not in fresh]
+    # Numbered on the way, as names with dots can't be given to a mapped function.
+    rows = df.select(*(F.col(f"`{f.name}`").alias(f"c{k}") for k, f in enumerate(kept)), F.col(f"`{without}`").alias("old"))
+    schema = ", ".join([*(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(kept)), more])
+    names = [f"c{k}" for k in range(len(kept))] + fresh
+    return rows.mapInArrow(partial(stage, drop=len(kept), names=names), schema).toDF(*(f.name for f in kept), *fresh)
 
 
 def encode_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with `n_bytes` and `media`, its texts as progressive JPEG, in place of the text column."""
-    bounded_batches()
-    schema, names = _schema(docs, text_col, "n_bytes long, media binary")
-    return docs.mapInArrow(partial(_encode_batches, drop=docs.columns.index(text_col), names=names), schema)
+    """`docs` with `n_bytes` and `media`, its texts as progressive JPEG, in place of the text column; columns of those names are replaced."""
+    return _mapped(docs, text_col, "n_bytes long, media binary", _encode_batches)
 
 
 def decode_media(media: DataFrame, media_col: str = "media", tensors: bool = True) -> DataFrame:
-    """`media` with `payload`, `height`, `width`, `rgb` (the tensor's bytes; null without `tensors`) and `feature` in place of the media column."""
-    bounded_batches()
-    schema, names = _schema(media, media_col, "payload binary, height int, width int, rgb binary, feature string")
-    return media.mapInArrow(partial(_decode_batches, drop=media.columns.index(media_col), names=names, tensors=tensors), schema)
+    """`media` with `payload`, `height`, `width`, `rgb` (the tensor's bytes; null without `tensors`) and `feature` in place of the media column; columns of those names are replaced."""
+    return _mapped(media, media_col, "payload binary, height int, width int, rgb binary, feature string", partial(_decode_batches, tensors=tensors))
 
 
 def media_digest(media: DataFrame) -> DataFrame:

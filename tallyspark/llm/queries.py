@@ -68,10 +68,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.media_digest(media.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    read = media.decode_media(stored, tensors=False)
+    read = media.decode_media(stored)
     return read.select(
         "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.substring("payload", -media.UNIT, media.UNIT)).alias("tail_crc32"), "media_bytes", "media_sha256", "feature",
+        "height", "width", F.length("rgb").cast("long").alias("rgb_bytes"), F.sha2("rgb", 256).alias("rgb_sha256"),
     )
 
 

@@ -54,7 +54,7 @@ def _opaque(value: str) -> bool:
 
 
 def candidates(text: str | None) -> list[tuple[int, int, int, str]]:
-    """(kind, start, end, value) by start, then kind."""
+    """(kind, start, end, value) by start, then kind. A value is the same whatever the kind it was found as."""
     if not text:
         return []
     found = []
@@ -64,10 +64,14 @@ def candidates(text: str | None) -> list[tuple[int, int, int, str]]:
     if "AKIA" in text:
         found += [(1, m.start(), m.end(), m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= LEAST["access"]]
     found += [(2, m.start(), m.end(), m[0]) for m in HEX.finditer(text)]
+    base, at, reach = sorted((s, e) for _, s, e, _ in found), 0, 0
     for m in OPAQUE.finditer(text):
-        if _opaque(m[0]) and not any(s < m.end() and m.start() < e for _, s, e, _ in found if _ != 3):
+        while at < len(base) and base[at][0] < m.end():
+            reach = max(reach, base[at][1])
+            at += 1
+        if reach <= m.start() and _opaque(m[0]):
             found.append((3, m.start(), m.end(), m[0]))
-    return sorted(found)
+    return sorted(found, key=lambda c: (c[1], c[0]))
 
 
 def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +138,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
     spans = secret_spans(docs, id_col, text_col, **options)
     kept = F.filter("spans", lambda s: ~s["copied"])
     to_mask = spans.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), kept.alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["_id", "_digest"])
-    same = docs[id_col].eqNullSafe(to_mask["_id"]) & (F.xxhash64(docs[text_col]) == to_mask["_digest"])
-    text, found = docs[text_col], to_mask["_spans"]
+    own = lambda c: docs[f"`{c}`"]
+    same = own(id_col).eqNullSafe(to_mask["_id"]) & (F.xxhash64(own(text_col)) == to_mask["_digest"])
+    text, found = own(text_col), to_mask["_spans"]
     text = F.when(found.isNull(), text).otherwise(masked(text, found, mask))
-    return docs.join(to_mask, same, "left").select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns))
+    return docs.join(to_mask, same, "left").select(*((text if c == text_col else own(c)).alias(c) for c in docs.columns))

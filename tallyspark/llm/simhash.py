@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, ascii_words, bounded_batches, text_bytes
+from .common import Written, ascii_words, bounded_batches, scratch, text_bytes
 from .components import connected_components
 
 SEED = 42
@@ -231,9 +231,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, digest, fp, component): the smallest id reachable over links between fingerprints, itself included."""
     docs_fp = Written(fingerprints(docs, id_col, text_col, shingle, seed), "simhash-fp").df
     nodes = docs_fp.groupBy("fp").agg(F.min("id").alias("node"))
-    found = connected_components(links(nodes.where("node is not null"), bits, block))
-    # Written, so that the rows of a very common fingerprint meet their one row in a join that Spark can split.
-    named = Written(nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component")), "simhash-named").df
+    with scratch() as keep:
+        found = connected_components(links(nodes.where("node is not null"), bits, block))
+        # Written, so that the rows of a very common fingerprint meet their one row in a join that Spark can split.
+        named = keep(Written(nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component")), "simhash-named")).df
     return docs_fp.join(named, "fp").select("id", "digest", "fp", "component")
 
 
@@ -246,19 +247,24 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null id comes after all others; a group without any id is the rows of one fingerprint.
     """
-    groups = simhash_groups(docs, id_col, text_col, **options)
     group = [F.col("component"), F.when(F.col("component").isNull(), F.col("fp")).alias("alone")]
-    return first_of_groups(docs, groups, group, id_col, text_col)
+    with scratch() as keep:
+        groups = simhash_groups(docs, id_col, text_col, **options)
+        first = keep(first_of_groups(groups, group)).df
+    return rows_of(docs, first, id_col, text_col)
 
 
-def first_of_groups(docs: DataFrame, groups: DataFrame, group: list, id_col: str, text_col: str) -> DataFrame:
-    """The row of `docs` with the smallest (id, digest) of each group of `groups` (id, digest and what `group` reads)."""
+def first_of_groups(groups: DataFrame, group: list) -> Written:
+    """(_id, _digest, _n): the smallest (id, digest) of each group of `groups` (id, digest and what `group` reads), and how many rows have it."""
     keys = [f"group{k}" for k in range(len(group))]
     rows = groups.groupBy(*(g.alias(k) for g, k in zip(group, keys)), "id", "digest").agg(F.count("*").alias("n"))
     first = rows.groupBy(*keys).agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "digest", "n")).alias("first"))
-    first = first.select(F.col("first.id").alias("_id"), F.col("first.digest").alias("_digest"), F.col("first.n").alias("_n"))
-    keep = Written(first, "simhash-kept").df
-    same = docs[id_col].eqNullSafe(keep["_id"]) & (F.xxhash64(docs[text_col]) == keep["_digest"])
+    return Written(first.select(F.col("first.id").alias("_id"), F.col("first.digest").alias("_digest"), F.col("first.n").alias("_n")), "simhash-kept")
+
+
+def rows_of(docs: DataFrame, keep: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of `docs` for each of `keep` (_id, _digest, _n)."""
+    same = docs[f"`{id_col}`"].eqNullSafe(keep["_id"]) & (F.xxhash64(docs[f"`{text_col}`"]) == keep["_digest"])
     # Only rows that repeat both id and text need to be thinned out.
     repeated = docs.join(keep.where("_n > 1"), same, "left_semi").dropDuplicates([id_col, text_col])
     return docs.join(keep.where("_n = 1"), same, "left_semi").unionByName(repeated)

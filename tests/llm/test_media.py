@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.llm import media
 from tallyspark.llm.queries import op4_progressive_jpeg
@@ -84,3 +85,21 @@ def test_awkward_rows(spark):
     assert by[1, 0].payload == bytes(64) == by[2, 0].payload and by[3, 1].payload == by[4, 1].payload and by[3, 1].rgb == by[4, 1].rgb
     assert bytes(by[3, 140000].payload).rstrip(b"\0") == ("é" * 70000).encode() and len(by[3, 140000].rgb) == by[3, 140000].height * by[3, 140000].width * 3
     assert media.decode_media(media.encode_texts(docs.limit(0)).drop("rgb")).count() == 0
+
+
+def test_very_long_texts_stay_within_the_format():
+    for mcus in (1, 63, 64, 65, 64 * 4095, 64 * 4095 + 1, 5_000_000):
+        across, down = max(min(mcus, media.ROW_MCUS), -(-mcus // media.MOST_ROWS)), 0
+        down = -(-mcus // across)
+        assert 16 * down <= 65_535 and 16 * across <= 65_535 and across * down >= mcus
+    across, down, order = media._layout(64 * 4095 + 1)
+    assert (across, down) == (65, 4033) and len(order) == 6 * across * down and (np.sort(order) == np.arange(len(order))).all()
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([("abc", "m", 5, "x")], "text string, media string, n_bytes int, `a.b` string")
+    stored = media.encode_texts(docs)
+    assert stored.columns == ["a.b", "n_bytes", "media"] and stored.first().n_bytes == 3
+    read = media.decode_media(stored.withColumn("rgb", F.lit("x")).withColumn("payload", F.lit(1)))
+    row = read.first()
+    assert row.payload == b"abc" + bytes(61) and len(row.rgb) == row.height * row.width * 3

@@ -1,9 +1,10 @@
 import collections
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyspark.llm import decontamination, simhash
+from tallyspark.llm import common, decontamination, simhash
 from tallyspark.llm.common import Written
 from tallyspark.llm.queries import op9_decontamination
 
@@ -33,7 +34,7 @@ def test_stages_in_order(spark):
 
 def test_stages_on_odd_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    clashing = ("id", "_id", "_digest", "_spans", "_n", "row", "size", "taken", "target", "k", "key", "shard", "spans", "fp", "component", "score")
+    clashing = ("id", "_id", "_digest", "_spans", "_n", "row", "size", "taken", "target", "k", "key", "shard", "spans", "fp", "component", "score", "a.b")
     odd = docs.limit(20).unionByName(docs.limit(2)).unionByName(spark.createDataFrame([(None,) * 5, (None,) * 5, (10**6, "", "en", "src0", 0), (10**6 + 1, "word " * 200_000, "en", None, 10), (10**6 + 2, "secret = abcdefgh1234", None, "src0", 21)], docs.schema))
     for c in clashing:
         odd = odd.withColumn(c, F.lit(c))
@@ -47,3 +48,22 @@ def test_stages_on_odd_tables(spark):
         if name == "secret_scan":
             assert found.where("doc_id = 1000002").first().text == "[SECRET]"
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_run_leaves_no_table_of_a_stage_behind(spark):
+    common.release()
+    run = corpus_pipeline.run(spark, SF)
+    labels = sorted(w.path.rsplit("/", 1)[1].rsplit("-", 1)[0] for w in common._WRITTEN)
+    assert labels == ["mix-shards", "mix-sizes", "pipeline-secret_scan"]
+    assert run.count() > 0
+    common.release()
+    assert not common._WRITTEN
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("Context", (), {"master": "local-cluster[3,2,1000]"})
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session)

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -70,3 +72,23 @@ def test_only_owners_make_a_copied_example(spark):
     assert got[40] == [("hex", 3, 3, True, False)]
     clean = {r.doc_id: r.text for r in secrets.redact(docs(spark, rows)).collect()}
     assert clean[0] == clean[11] == "my [SECRET] and [SECRET]" and clean[20] == "my [SECRET]" and clean[40] == rows[24][1]
+
+
+def test_many_tokens_in_one_text_take_linear_time():
+    r = random.Random(3)
+    token = lambda: "".join(r.choice("abcdefghijkABCDEFGHIJK0123456789") for _ in range(36))
+    text = " ".join(f"token = {token()} {token()} {HEX[:24 + k % 8]}" for k in range(20_000))
+    began = time.process_time()
+    found = secrets.candidates(text)
+    assert time.process_time() - began < 10 and [f[1] for f in found] == sorted(f[1] for f in found)
+    spans = [f for f in found if f[0] < 3]
+    assert len(spans) >= 40_000 and len(found) > len(spans)
+    head = secrets.candidates(text[:4000])
+    slow = [f for f in head if f[0] == 3]
+    assert slow and not any(s < o[2] and o[1] < e for o in slow for k, s, e, _ in head if k != 3)
+
+
+def test_redact_takes_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "token = abcdef123", "s", "x")], "doc_id long, text string, source string, `a.b` string")
+    got = secrets.redact(docs)
+    assert got.columns == docs.columns and got.first()["a.b"] == "x" and "abcdef" not in got.first().text
