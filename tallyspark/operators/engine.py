@@ -62,9 +62,7 @@ def with_cohort_bounds(grid: DataFrame, samples: DataFrame | None = None) -> Dat
             grid = grid.withColumn(name, F.lit(fallback).cast(AMOUNT))
             continue
         keys = ["sector", "size_bucket", "kind"]
-        own = grid.select("document_id", *keys).distinct()
-        peers = own.alias("o").join(samples.where(F.col("metric") == metric).alias("s"), [*keys]).where("s.document_id <> o.document_id")
-        found = peers.groupBy("o.document_id", *keys).agg(F.count("s.value").alias("_n"), F.percentile(F.col("s.value").cast("double"), F.lit(p / 100)).alias("_p"))
+        found = statistics.peer_percentile(grid, samples.where(F.col("metric") == metric), keys, "document_id", "value", p).withColumnsRenamed({"n": "_n", "percentile": "_p"})
         grid = grid.join(found, ["document_id", *keys], "left").withColumn(name, F.when(F.col("_n") >= statistics.TRUSTED_COHORT, amount(F.col("_p"))).otherwise(F.lit(fallback).cast(AMOUNT))).drop("_n", "_p")
     return grid
 
@@ -123,23 +121,33 @@ def anomalies(metrics: DataFrame, samples: DataFrame | None = None) -> DataFrame
     found = own.select("document_id", "metric", "period", F.lit("history").alias("basis"), "better", F.col("value").cast("double").alias("value"), statistics.median(F.col("sample")).alias("reference"), "score", F.size("sample").alias("n"))
     if samples is not None:
         keys = ["metric", "sector", "size_bucket", "kind"]
-        at = free.where("is_anchor").alias("a").join(samples.alias("s"), keys).where("s.document_id <> a.document_id")
-        value, peer = F.col("a.value").cast("double"), F.col("s.value").cast("double")
-        ranked = at.groupBy("a.document_id", "metric", "a.period", "a.better", "a.value").agg(F.count("*").alias("n"), ((F.count_if(peer < value) + F.count_if(peer == value) / 2) / F.count("*")).alias("score"), F.median(peer).alias("reference"))
+        at = free.where("is_anchor").select("document_id", *keys, "period", "better", "value")
+        ranked = statistics.peer_mid_rank(at, samples, keys, "document_id", "value").withColumnRenamed("mid_rank", "score")
         ranked = ranked.where((F.col("n") >= statistics.TRUSTED_COHORT) & ((F.col("score") <= statistics.TAIL) | (F.col("score") >= 1 - statistics.TAIL)))
+        middle = statistics.peer_percentile(ranked, samples, keys, "document_id", "value", 50).select("document_id", *keys, F.col("percentile").alias("reference"))
+        ranked = ranked.join(middle, ["document_id", *keys])
         found = found.unionByName(ranked.select("document_id", "metric", "period", F.lit("cohort").alias("basis"), "better", F.col("value").cast("double").alias("value"), "reference", "score", F.col("n").cast("int").alias("n")))
     high = F.col("value") > F.col("reference")
     adverse = F.when(F.col("better") == "higher", ~high).when(F.col("better") == "lower", high)
     return found.select("document_id", "metric", "period", "basis", F.when(high, "high").otherwise("low").alias("direction"), adverse.alias("adverse"), "value", "reference", "score", "n")
 
 
-def analyse(facts: DataFrame, documents: DataFrame, samples: DataFrame | None = None) -> dict[str, DataFrame]:
+def ordered(found: DataFrame) -> DataFrame:
+    """Anomalies with `position` in their document: adverse ones first, then by metric and basis."""
+    order = Window.partitionBy("document_id").orderBy(F.desc(F.coalesce("adverse", F.lit(False))), "metric", "basis")
+    return found.withColumn("position", F.row_number().over(order))
+
+
+def analyse(facts: DataFrame, documents: DataFrame, samples: DataFrame | None = None, peers: bool = False) -> dict[str, DataFrame]:
     """The whole engine: issues, grid, metrics, outcomes, latest outcomes and anomalies.
 
-    The grid is persisted, as several of the frames read it; call ``unpersist`` on it when done.
+    peers: the documents at hand are each other's cohorts, where no `samples` are given. The grid is persisted, as several of
+    the frames read it; call ``unpersist`` on it when done.
     """
     kept, issues = facts_.validate(facts)
-    grid = with_cohort_bounds(with_metrics(facts_.grid(kept, documents)), samples).persist()
+    grid = with_metrics(facts_.grid(kept, documents)).persist()
     metrics = metric_rows(grid)
+    samples = baselines(metrics) if peers and samples is None else samples
+    grid = with_cohort_bounds(grid, samples)
     outcomes = rule_outcomes(grid)
     return {"issues": issues, "grid": grid, "metrics": metrics, "outcomes": outcomes, "latest": latest(outcomes), "anomalies": anomalies(metrics, samples)}

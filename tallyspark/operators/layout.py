@@ -47,11 +47,12 @@ def lines(words: DataFrame, group: tuple[str, ...] = ("page",)) -> DataFrame:
 
 def assign_columns(words: DataFrame, columns: DataFrame, group: tuple[str, ...] = ("page",)) -> DataFrame:
     """Each word's column: the first with left < x1 <= right on its page."""
+    words = words.withColumn("_word", F.monotonically_increasing_id())
     inside = (columns["left"] < words["x1"]) & (words["x1"] <= columns["right"])
     for c in group:
         inside = (words[c] == columns[c]) & inside
     joined = words.join(columns, inside, "left")
-    return joined.groupBy(*(words[c] for c in words.columns)).agg(F.min("column").alias("column"))
+    return joined.groupBy(*(words[c] for c in words.columns)).agg(F.min("column").alias("column")).drop("_word")
 
 
 def forward_fill(df: DataFrame, group: list[str], order: list[str], value: str) -> Column:

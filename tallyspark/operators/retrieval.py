@@ -12,14 +12,18 @@ from ..functions.text import STOP_WORDS, estimate_tokens, expanded, stem, words
 K1, B = 1.2, 0.75
 RRF = 60
 POOL = 20
+HEADING_WEIGHT = 2
 
 
-def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    """(chunk, term, tf, length): term counts of each chunk.
+def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", headings: tuple[str, ...] = ()) -> DataFrame:
+    """(chunk, term, tf, length): term counts of each chunk; words of its `headings` (title, heading) count `HEADING_WEIGHT` times.
 
     Words are counted before they are stemmed, so each is stemmed once for a chunk; from there on rows stay with their chunk.
     """
-    counted = chunks.select(F.col(id_col).alias("chunk"), F.explode(words(F.col(text_col))).alias("word")).groupBy("chunk", "word").agg(F.count("*").alias("n"))
+    every = words(F.col(text_col))
+    if headings:
+        every = F.concat(F.coalesce(every, F.array().cast("array<string>")), F.flatten(F.array_repeat(words(F.concat_ws(" ", *headings)), HEADING_WEIGHT)))
+    counted = chunks.select(F.col(id_col).alias("chunk"), F.explode(every).alias("word")).groupBy("chunk", "word").agg(F.count("*").alias("n"))
     wider = counted.repartition("chunk").select("chunk", "n", F.explode(expanded(F.col("word"))).alias("word")).where(~F.col("word").isin(*STOP_WORDS))
     each = wider.select("chunk", "n", stem(F.col("word")).alias("term"))
     found = each.groupBy("chunk", "term").agg(F.sum("n").alias("tf"))
@@ -39,9 +43,9 @@ def bm25(queries: DataFrame, index: DataFrame, n_chunks: Column, average: Column
     return weighted.join(index, "term").groupBy("query", "chunk").agg(F.sum(part).alias("score"))
 
 
-def bm25_search(queries: DataFrame, chunks: DataFrame, query_col: str = "query", query_text: str = "query_text", id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
+def bm25_search(queries: DataFrame, chunks: DataFrame, query_col: str = "query", query_text: str = "query_text", id_col: str = "chunk_id", text_col: str = "text", headings: tuple[str, ...] = ()) -> DataFrame:
     """`bm25` of all chunks. The postings are persisted, as frequencies, lengths and scores read them; a lost executor's part is computed again."""
-    index = postings(chunks, id_col, text_col).persist(StorageLevel.MEMORY_AND_DISK)
+    index = postings(chunks, id_col, text_col, headings).persist(StorageLevel.MEMORY_AND_DISK)
     n, length = chunks.count(), index.agg(F.sum("tf")).first()[0]
     asked = postings(queries, query_col, query_text).select(F.col("chunk").alias("query"), "term", F.col("tf").alias("qtf"))
     return bm25(asked, index, F.lit(float(n)), F.lit(float(length or 1) / max(n, 1)))

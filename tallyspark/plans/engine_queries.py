@@ -37,7 +37,7 @@ def derived_facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 @query()
 def engine_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest outcome of every rule that applies, over the derived facts."""
-    found = engine.analyse(*derived_facts(spark, sf_dir))
+    found = engine.analyse(*derived_facts(spark, sf_dir), peers=True)
     return found["latest"].select("document_id", "rule_id", "outcome", "severity", F.array_join("missing", ",").alias("missing"), F.array_join("fired_periods", ",").alias("fired_periods"))
 
 
@@ -50,7 +50,5 @@ def engine_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def engine_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Against each document's own history and its cohort without itself."""
-    facts, documents = derived_facts(spark, sf_dir)
-    metrics = engine.metric_rows(engine.with_metrics(facts_.grid(facts, documents)))
-    found = engine.anomalies(metrics, engine.baselines(metrics))
+    found = engine.analyse(*derived_facts(spark, sf_dir), peers=True)["anomalies"]
     return found.select("document_id", "metric", "basis", "direction", rounded(F.col("score")).alias("score"), "n")

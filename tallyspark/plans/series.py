@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..catalog.rules import Rule
 from ..functions import periods, statistics, timeseries
 from ..functions.text import group_indian
 from ..functions.timeseries import Grid, divide
-from ..operators import report
+from ..operators import engine, facts, report
 from .base import over_quarters, quarters, query, rounded, table
 
 G = Grid(("entity",))
@@ -87,11 +88,26 @@ o AS (
     CASE WHEN tax < 0.035 * revenue THEN 4 ELSE 3 END AS severity_rank FROM g)""")
 
 
-def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Receivables outpace revenue; critical where the tax is low.
+OUTPACE = Rule(
+    "QTR-001", "core", "high", lambda t: (t.cg - t.rg > 0.20) & (t.receivables > 0.05 * t.revenue), ("cg", "rg"),
+    escalate=((lambda t: t.tax < 0.035 * t.revenue, "critical"),), kinds=(periods.QUARTER,),
+)
+
+
+def _engine_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule's outcome for each entity and quarter, by the engine."""
     q = quarters(spark, sf_dir).withColumn("rg", G.growth(_double("revenue"))).withColumn("cg", G.growth(_double("receivables")))
-    fired = (F.col("cg") - F.col("rg") > 0.20) & (F.col("receivables") > 0.05 * F.col("revenue"))
-    q = q.withColumn("outcome", F.when(fired, "fired").when(~fired, "passed").otherwise("insufficient_data"))
-    return q.withColumn("severity_rank", F.when(F.col("tax") < 0.035 * F.col("revenue"), 4).otherwise(3))
+    named = {"document_id": F.col("entity"), "sector": F.lit("manufacturing"), "doc_type": F.lit("annual_report"), "observed": F.lit(True), "is_anchor": F.lit(False)}
+    end = periods.end_date(F.col("kind"), F.col("fiscal_year"), F.col("part"), F.lit(3))
+    return engine.rule_outcomes(q.withColumns(named | {"end_date": end}), {OUTPACE.id: OUTPACE})
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes beside the figures that they were found from."""
+    value = lambda name: F.get(F.filter("evidence", lambda e: e["name"] == name), F.lit(0))["value"].cast("double")
+    found = _engine_outcomes(spark, sf_dir).select(F.col("document_id").alias("entity"), (F.col("fiscal_year") * 4 + F.col("part") - 1).cast("int").alias("seq_index"), "fiscal_year", "outcome", "severity_rank", value("rg").alias("rg"), value("cg").alias("cg"))
+    return found.join(quarters(spark, sf_dir).select(*KEYS, "revenue", "tax", "receivables"), list(KEYS))
 
 
 @query(RULE_SQL + " SELECT entity, seq_index, outcome, severity_rank, round(cg, 6) AS receivables_growth, round(rg, 6) AS revenue_growth FROM o")
@@ -101,11 +117,10 @@ def rule_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(RULE_SQL + """ SELECT entity, arg_max(outcome, seq_index) AS outcome, arg_max(severity_rank, seq_index) AS severity_rank,
-  coalesce(string_agg(CAST(CASE WHEN outcome = 'fired' THEN seq_index END AS VARCHAR), ',' ORDER BY seq_index), '') AS fired_periods FROM o GROUP BY entity""")
+  coalesce(string_agg(CASE WHEN outcome = 'fired' THEN 'Q' || part || 'FY' || lpad(CAST(fiscal_year % 100 AS VARCHAR), 2, '0') END, ',' ORDER BY seq_index), '') AS fired_periods FROM o GROUP BY entity""")
 def rule_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = F.max_by(F.struct("outcome", "severity_rank"), "seq_index")
-    fired = F.array_sort(F.collect_list(F.when(F.col("outcome") == "fired", F.col("seq_index"))))
-    return _outcomes(spark, sf_dir).groupBy("entity").agg(last.alias("last"), F.array_join(fired.cast("array<string>"), ",").alias("fired_periods")).select("entity", "last.*", "fired_periods")
+    found = engine.latest(_engine_outcomes(spark, sf_dir))
+    return found.select(F.col("document_id").alias("entity"), "outcome", "severity_rank", F.array_join("fired_periods", ",").alias("fired_periods"))
 
 
 @query(RULE_SQL + """ SELECT fiscal_year::INTEGER AS fiscal_year, CAST(count(*) FILTER (outcome = 'fired') AS BIGINT) AS fired, CAST(count(*) FILTER (outcome = 'passed') AS BIGINT) AS passed,
@@ -175,18 +190,22 @@ def history_z(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(over_quarters(""", y AS (SELECT entity, CAST(fiscal_year AS INTEGER) AS fiscal_year, CAST(sum(revenue) AS BIGINT) AS revenue FROM quarters GROUP BY ALL HAVING count(*) = 4)
-SELECT entity, string_agg(fiscal_year || '=' || revenue, ';' ORDER BY fiscal_year) AS by_year FROM y GROUP BY entity"""))
+SELECT entity, string_agg('FY' || lpad(CAST(fiscal_year % 100 AS VARCHAR), 2, '0') || '=' || CAST(CAST(round(revenue * 100.0 / 1e9, 1) AS DECIMAL(18, 1)) AS VARCHAR) || '%', ';' ORDER BY fiscal_year) AS by_year FROM y GROUP BY entity"""))
 def metric_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     years = quarters(spark, sf_dir).groupBy("entity", "fiscal_year").agg(F.sum("revenue").alias("revenue"), F.count("*").alias("n")).where("n = 4")
-    entries = F.array_sort(F.collect_list(F.struct("fiscal_year", "revenue")))
-    return years.groupBy("entity").agg(F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["fiscal_year"], e["revenue"])), ";").alias("by_year"))
+    year = F.col("fiscal_year").cast("int")
+    metrics = years.select(
+        F.col("entity").alias("document_id"), F.lit("revenue_share").alias("metric"), F.lit("ratio").alias("unit"), F.lit(True).alias("headline"), periods.label(F.lit(periods.YEAR), year, F.lit(None).cast("int")).alias("period"),
+        periods.end_date(F.lit(periods.YEAR), year, F.lit(None).cast("int"), F.lit(3)).alias("end_date"), timeseries.divide(F.col("revenue").cast(timeseries.AMOUNT), F.lit(10**9)).cast(timeseries.AMOUNT).alias("value"),
+    )
+    entries = F.transform(F.map_entries("values"), lambda e: F.concat_ws("=", e["key"], F.replace(e["value"], F.lit(","), F.lit(""))))
+    return report.metric_table(metrics).select(F.col("document_id").alias("entity"), F.array_join(entries, ";").alias("by_year"))
 
 
 @query(over_quarters("""
-SELECT entity, seq_index, CASE WHEN y < 1e9 THEN 'small' WHEN y < 2e9 THEN 'mid' WHEN y IS NOT NULL THEN 'large' END AS size_bucket FROM (SELECT *, revenue * 365 / 91.0 AS y FROM quarters)"""))
+SELECT entity, seq_index, CASE WHEN y < 500 THEN 'small' WHEN y < 5000 THEN 'mid' WHEN y IS NOT NULL THEN 'large' END AS size_bucket FROM (SELECT *, revenue / 4e5 * 365 / 91.0 AS y FROM quarters)"""))
 def size_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    yearly = F.col("revenue") * 365 / F.lit(91.0)
-    return quarters(spark, sf_dir).select(*KEYS, F.when(yearly < 1e9, "small").when(yearly < 2e9, "mid").when(yearly.isNotNull(), "large").alias("size_bucket"))
+    return quarters(spark, sf_dir).select(*KEYS, facts.size_bucket(_double("revenue") / 4e5, F.lit(91.0)).alias("size_bucket"))
 
 
 @query("""

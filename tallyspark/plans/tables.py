@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import statistics, text
-from ..operators import labels, layout, learning, reconcile, retrieval
+from ..operators import evidence, labels, layout, learning, reconcile, retrieval
+from ..sources import filings
 from .base import query, rounded, table
 
 
@@ -42,24 +43,23 @@ def mid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH g AS (SELECT c_mktsegment, c_nationkey, count(*) AS n, quantile_cont(c_acctbal, 0.9) AS p FROM customer GROUP BY 1, 2)
-SELECT c_custkey, c_acctbal > CASE WHEN n >= 8 THEN p ELSE 5000 END AS above, CAST(n AS BIGINT) AS cohort FROM customer JOIN g USING (c_mktsegment, c_nationkey)""")
+WITH g AS (SELECT a.c_custkey, any_value(a.c_acctbal) AS own, count(b.c_custkey) AS n, quantile_cont(b.c_acctbal, 0.9) AS p FROM customer a LEFT JOIN customer b ON a.c_mktsegment = b.c_mktsegment AND a.c_nationkey = b.c_nationkey AND a.c_custkey <> b.c_custkey GROUP BY 1)
+SELECT c_custkey, own > CASE WHEN n >= 8 THEN p ELSE 5000 END AS above, CAST(n AS BIGINT) AS peers FROM g""")
 def cohort_percentile_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Above the cohort's 90th percentile, or a fixed bound where the cohort is under 8."""
+    """Above the 90th percentile of the cohort without the own value, or a fixed bound where the cohort is under 8."""
     c, keys = table(spark, sf_dir, "customer"), ["c_mktsegment", "c_nationkey"]
-    bounds = c.groupBy(*keys).agg(F.count("*").alias("cohort"), F.percentile("c_acctbal", F.lit(0.9)).alias("p"))
-    bound = F.when(F.col("cohort") >= statistics.TRUSTED_COHORT, F.col("p")).otherwise(5000.0)
-    return c.join(bounds, keys).select("c_custkey", (F.col("c_acctbal") > bound).alias("above"), "cohort")
+    peers = statistics.peer_percentile(c, c, keys, "c_custkey", "c_acctbal", 90)
+    bound = F.when(F.col("n") >= statistics.TRUSTED_COHORT, F.col("percentile")).otherwise(5000.0)
+    return c.join(peers, ["c_custkey", *keys], "left").select("c_custkey", (F.col("c_acctbal") > bound).alias("above"), F.coalesce("n", F.lit(0)).cast("long").alias("peers"))
 
 
 @query("""
-SELECT c_custkey, round(r, 6) AS score FROM (SELECT c_custkey, c_acctbal,
-  (rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) - 1 + count(*) OVER (PARTITION BY c_nationkey, c_acctbal) / 2.0) / count(*) OVER (PARTITION BY c_nationkey) AS r,
-  count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer) WHERE n >= 8 AND (r <= 0.05 OR r >= 0.95)""")
+SELECT c_custkey, round(r, 6) AS score FROM (SELECT a.c_custkey, count(b.c_custkey) AS n, (count(*) FILTER (b.c_acctbal < a.c_acctbal) + count(*) FILTER (b.c_acctbal = a.c_acctbal) / 2.0) / count(*) AS r
+  FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey <> b.c_custkey GROUP BY 1) WHERE n >= 8 AND (r <= 0.05 OR r >= 0.95)""")
 def cohort_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values in either tail of a cohort of 8 or more."""
+    """Values in either tail of 8 or more others of their cohort."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
-    ranked = statistics.group_mid_rank(c, ["c_nationkey"], "c_acctbal").join(c.groupBy("c_nationkey").agg(F.count("*").alias("n")), "c_nationkey")
+    ranked = statistics.peer_mid_rank(c, c, ["c_nationkey"], "c_custkey", "c_acctbal")
     r = F.col("mid_rank")
     return ranked.where((F.col("n") >= statistics.TRUSTED_COHORT) & ((r <= statistics.TAIL) | (r >= 1 - statistics.TAIL))).select("c_custkey", rounded(r).alias("score"))
 
@@ -124,7 +124,10 @@ def _by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(RULES_SQL + " SELECT CAST(rule_id AS BIGINT) AS rule_id, CAST(confirms AS BIGINT) AS confirms, CAST(dismisses AS BIGINT) AS dismisses, round((3 + confirms) / (5.0 + confirms + dismisses), 6) AS score FROM c")
 def reliability_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_rule(spark, sf_dir).withColumn("score", rounded(learning.reliability(F.col("confirms"), F.col("dismisses"))))
+    u = F.col("user_id").cast("long")
+    feedback = _feedback(spark, sf_dir).select(F.lit(1).alias("analysis_id"), F.col("user_id").alias("finding_id"), F.col("ts").alias("created_at"), F.col("event_id").alias("id"), "verdict")
+    findings = table(spark, sf_dir, "events").select(F.lit(1).alias("analysis_id"), F.col("user_id").alias("finding_id"), F.array(u % 7, 7 + u % 5).alias("rule_ids")).distinct()
+    return learning.rule_reliability(feedback, findings).withColumn("score", rounded(F.col("score")))
 
 
 @query(RULES_SQL + " SELECT CAST(rule_id AS BIGINT) AS chunk, round(least(1.0, greatest(-0.5, 0.2 * confirms - 0.1 * dismisses)), 6) AS boost FROM c")
@@ -133,13 +136,16 @@ def chunk_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS d, count(*) AS days, sum(CAST(o_totalprice * 100 AS BIGINT)) AS v FROM orders GROUP BY 1, 2)
-SELECT o_orderkey, CAST(s.days AS BIGINT) AS days FROM orders o JOIN (SELECT o_custkey, max(days) AS days FROM s GROUP BY 1) s USING (o_custkey)""")
+WITH s AS (SELECT DISTINCT l_orderkey AS k, CAST(l_shipdate AS DATE) AS s, CAST(date_trunc('month', l_shipdate) + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE) AS e FROM lineitem),
+i AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n, CAST(date_trunc('month', l_shipdate + to_days(l_linenumber * 9)) + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE) AS d FROM lineitem)
+SELECT i.k, i.n, d::VARCHAR AS at, min(s)::VARCHAR AS start, CAST(max(date_diff('day', s, e)) AS INTEGER) AS days FROM i LEFT JOIN s ON s.k = i.k AND e = d GROUP BY ALL""")
 def instant_to_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each instant takes the longest of the spans that its entity has."""
-    o = table(spark, sf_dir, "orders")
-    spans = o.groupBy("o_custkey", F.date_trunc("month", "o_orderdate").alias("d")).agg(F.count("*").alias("days"))
-    return o.join(spans.groupBy("o_custkey").agg(F.max("days").alias("days")), "o_custkey").select("o_orderkey", "days")
+    """A balance at a date takes the longest of its entity's spans that end on that date, and none where none does."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.to_date("l_shipdate").alias("s"))
+    spans = lines.select("k", F.col("s").alias("start_date"), F.last_day("s").alias("end_date")).distinct().withColumn("period", F.struct("start_date"))
+    instants = lines.select("k", "n", F.last_day(F.date_add("s", (F.col("n") * 9).cast("int"))).alias("end_date")).distinct()
+    found = instants.join(filings.longest_ending(spans, ("k",)), ["k", "end_date"], "left")
+    return found.select("k", "n", F.col("end_date").cast("string").alias("at"), F.col("period.start_date").cast("string").alias("start"), F.datediff("end_date", "period.start_date").alias("days"))
 
 
 @query("""
@@ -152,11 +158,12 @@ def range_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.assign_columns(words, columns).select("c_custkey", F.col("column").alias("col"))
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+@query("SELECT o_orderkey FROM orders WHERE o_orderpriority <> '1-URGENT' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def uncovered_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    covered = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    dismissed = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf_dir, "orders").join(covered, "o_custkey", "left_anti").join(dismissed, "o_orderkey", "left_anti").select("o_orderkey")
+    """Orders as fired rules of their customers: those neither covered by an urgent sibling nor dismissed by a returned line."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("rule_id"), "o_orderpriority")
+    returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("rule_id")).distinct()
+    return evidence.uncovered(o, o.where("o_orderpriority = '1-URGENT'"), o.join(returned, "rule_id")).select(F.col("rule_id").alias("o_orderkey"))
 
 
 @query("""
@@ -233,7 +240,57 @@ cut AS (SELECT *, CASE WHEN p LIKE '%ingly' AND length(p) >= 9 THEN left(p, leng
     WHEN p LIKE '%ed' AND length(p) >= 6 THEN left(p, length(p) - 2) WHEN p LIKE '%ly' AND length(p) >= 6 THEN left(p, length(p) - 2) ELSE p END AS c FROM stems),
 stemmed AS (SELECT *, CASE WHEN p IS NULL THEN w WHEN c LIKE '%e' AND length(c) > 4 THEN left(c, length(c) - 1) ELSE c END AS term FROM cut)"""
 _STOPS = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
-_EXPANSIONS = ", ".join(f"('{k}', '{v}')" for k, v in text.EXPANSIONS.items())
+#: Written out again, so that the comparison can see what the library's list leaves out.
+_EXPANSIONS = """
+  ('dso', 'days sales outstanding receivables'),
+  ('dio', 'days inventory outstanding'),
+  ('dpo', 'days payables outstanding'),
+  ('ccc', 'cash conversion cycle'),
+  ('cfo', 'cash flow operating activities'),
+  ('fcf', 'free cash flow'),
+  ('pat', 'profit after tax'),
+  ('pbt', 'profit before tax'),
+  ('ebitda', 'earnings before interest tax depreciation amortisation operating profit'),
+  ('ebit', 'operating profit'),
+  ('eps', 'earnings per share'),
+  ('roce', 'return capital employed'),
+  ('roe', 'return equity'),
+  ('roa', 'return assets'),
+  ('etr', 'effective tax rate'),
+  ('capex', 'capital expenditure'),
+  ('cwip', 'capital work progress'),
+  ('rpt', 'related party transactions'),
+  ('rpts', 'related party transactions'),
+  ('ofs', 'offer sale'),
+  ('gcp', 'general corporate purposes'),
+  ('ipo', 'initial public offer'),
+  ('drhp', 'draft red herring prospectus offer document'),
+  ('rhp', 'red herring prospectus offer document'),
+  ('icdr', 'issue capital disclosure requirements'),
+  ('lodr', 'listing obligations disclosure requirements'),
+  ('kam', 'key audit matters'),
+  ('kams', 'key audit matters'),
+  ('caro', 'companies auditor report order'),
+  ('npa', 'non performing assets'),
+  ('npas', 'non performing assets'),
+  ('gnpa', 'gross non performing assets'),
+  ('nnpa', 'net non performing assets'),
+  ('crar', 'capital risk weighted assets ratio'),
+  ('nim', 'net interest margin'),
+  ('ecl', 'expected credit loss'),
+  ('nbfc', 'non banking financial company'),
+  ('msme', 'micro small medium enterprises'),
+  ('epc', 'engineering procurement construction'),
+  ('sez', 'special economic zone'),
+  ('waca', 'weighted average cost acquisition'),
+  ('kpi', 'key performance indicators'),
+  ('kpis', 'key performance indicators'),
+  ('qib', 'qualified institutional buyers'),
+  ('qibs', 'qualified institutional buyers'),
+  ('esop', 'employee stock options share based payments'),
+  ('esops', 'employee stock options share based payments'),
+  ('yoy', 'year on year'),
+  ('qoq', 'quarter on quarter')"""
 WORDS_SQL = f"""
 raw AS (SELECT chunk, unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?:[.''][a-z0-9]+)*')) AS r FROM texts),
 wider AS (SELECT chunk, unnest(CASE WHEN v IS NULL THEN [r] ELSE list_concat([r], string_split(v, ' ')) END) AS w FROM raw LEFT JOIN (VALUES {_EXPANSIONS}) x(k, v) ON k = r),
@@ -262,9 +319,9 @@ def _bm25(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
     return retrieval.ranked(retrieval.bm25_search(asked, docs).withColumn("score", rounded(F.col("score"))), limit)
 
 
-@query(BM25_SQL + " SELECT CAST(query AS BIGINT) AS query, CAST(rank AS INTEGER) AS rank, score FROM hits WHERE rank <= 10")
+@query(BM25_SQL + " SELECT CAST(query AS BIGINT) AS query, CAST(chunk AS BIGINT) AS chunk, CAST(rank AS INTEGER) AS rank, score FROM hits WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bm25(spark, sf_dir, 10).select("query", "rank", "score")
+    return _bm25(spark, sf_dir, 10).select("query", "chunk", "rank", "score")
 
 
 COSINE_SQL = """

@@ -118,6 +118,11 @@ def _element(text: str) -> tuple[str, int, str | None]:
     return name.lstrip("-"), -1 if name.startswith("-") else 1, pick or None
 
 
+def longest_ending(spans: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
+    """(keys, end_date, period): of the spans (keys, start_date, end_date, period) that end on a date the longest."""
+    return spans.groupBy(*keys, "end_date").agg(F.max_by("period", F.datediff("end_date", "start_date")).alias("period"))
+
+
 def to_facts(elements: DataFrame, fye: int = 3) -> DataFrame:
     """(path, key, kind, fiscal_year, part, value): element values by period, signed and summed.
 
@@ -125,7 +130,7 @@ def to_facts(elements: DataFrame, fye: int = 3) -> DataFrame:
     """
     plain = elements.where("error is null and not dimensional").withColumn("number", F.col("text").try_cast(AMOUNT)).where("number is not null")
     spans = plain.where("start_date is not null").select("path", "start_date", "end_date").distinct().withColumn("period", periods.from_dates(F.col("start_date"), F.col("end_date"), F.lit(fye))).where("period is not null")
-    longest = spans.groupBy("path", "end_date").agg(F.max_by("period", F.datediff("end_date", "start_date")).alias("period"))
+    longest = longest_ending(spans)
     ordered = F.array_sort(F.collect_list(F.struct("ordinal", "number")))["number"]
     values = plain.groupBy("path", "context", "start_date", "end_date", "element").agg(ordered.alias("numbers"))
     mapped = values.join(F.broadcast(mapping(elements.sparkSession)), "element")
