@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +68,24 @@ def with_cohort_bounds(grid: DataFrame, samples: DataFrame | None = None) -> Dat
     return grid
 
 
+def sound_rules(grid: DataFrame, rules: dict[str, Rule] = RULES) -> tuple[dict[str, Rule], dict[str, str]]:
+    """(rules whose conditions the grid can answer, reason by id of the others): one that reads an unknown column or has a type that does not fit is left out alone.
+
+    Only plans are analysed; nothing runs.
+    """
+    good, bad, terms = {}, {}, Terms(Grid())
+    for key, r in rules.items():
+        try:
+            conditions = [r.when(terms), *(c(terms) for c, _ in r.escalate)]
+            kinds = {f.dataType.simpleString() for f in grid.select(*(c.alias(f"c{k}") for k, c in enumerate(conditions)), *(F.col(n) for n in r.needs)).schema[: len(conditions)]}
+            if kinds - {"boolean", "void"}:
+                raise AnalysisException(f"a condition is {', '.join(sorted(kinds))}")
+            good[key] = r
+        except AnalysisException as found:
+            bad[key] = str(found).splitlines()[0]
+    return good, bad
+
+
 def rule_outcomes(grid: DataFrame, rules: dict[str, Rule] = RULES, packs: tuple[str, ...] | None = None) -> DataFrame:
     """One row for each document, rule and period it applies to: outcome, severity, evidence, missing.
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..catalog.items import items_frame
 from ..functions import periods
-from ..functions.text import bare_figures, format_value, references
+from ..functions.text import FIGURE, REFERENCE, bare_figures, format_value, references
 from .report import reference
 
 BRACES = r"\{\{([^{}]*)\}\}"
@@ -18,7 +19,8 @@ PLAN_GROUPS, SUMMARY_FINDINGS = 5, 3
 def index(facts: DataFrame, metrics: DataFrame, outcomes: DataFrame) -> DataFrame:
     """(document_id, ref, display): facts, metrics, then the evidence of rules where neither has the reference."""
     period = F.when(F.col("kind").isNotNull(), periods.label(F.col("kind"), F.col("fiscal_year"), F.col("part")))
-    a = facts.select("document_id", reference(F.lit("f"), F.col("key"), period).alias("ref"), F.coalesce("text", F.col("value").cast("string")).alias("display"), F.lit(0).alias("priority"))
+    facts = facts.join(F.broadcast(items_frame(facts.sparkSession).select("key", "unit")), "key", "left")
+    a = facts.select("document_id", reference(F.lit("f"), F.col("key"), period).alias("ref"), F.coalesce("text", format_value(F.col("value"), F.col("unit"))).alias("display"), F.lit(0).alias("priority"))
     b = metrics.select("document_id", reference(F.lit("m"), F.col("metric"), F.col("period")).alias("ref"), format_value(F.col("value"), F.col("unit")).alias("display"), F.lit(1).alias("priority"))
     c = outcomes.select("document_id", "period", F.explode("evidence").alias("e")).select("document_id", reference(F.lit("x"), F.col("e.name"), F.col("period")).alias("ref"), F.col("e.value").alias("display"), F.lit(2).alias("priority"))
     every = a.unionByName(b).unionByName(c.where("display is not null"))
@@ -80,6 +82,28 @@ def link_figures(texts: DataFrame, evidence: DataFrame) -> DataFrame:
     return found.where("n = 1").drop("n")
 
 
+def linked(texts: DataFrame, evidence: DataFrame, preferred: DataFrame | None = None, scope: DataFrame | None = None, skip: Column | None = None) -> DataFrame:
+    """`texts` with `linked`: bare figures in prose give way to the one reference that displays them.
+
+    scope: (document_id, ref) that may be cited at all; preferred: (document_id, ref) that come first where several display a figure; skip: array of
+    figures, normalised, that stay. References that stand already are kept as they are.
+    """
+    shown = evidence.join(scope, ["document_id", "ref"], "left_semi") if scope is not None else evidence
+    first = preferred.select("document_id", "ref", F.lit(1).alias("_first")) if preferred is not None else None
+    shown = shown.join(first, ["document_id", "ref"], "left") if first is not None else shown.withColumn("_first", F.lit(None).cast("int"))
+    shown = shown.withColumn("k", figure_key(F.col("display"))).where("k is not null").groupBy("document_id", "k").agg(F.collect_set(F.when(F.col("_first") == 1, F.col("ref"))).alias("_preferred"), F.collect_set("ref").alias("_every"))
+    one = F.when(F.size("_preferred") > 0, F.when(F.size("_preferred") == 1, F.get("_preferred", F.lit(0)))).when(F.size("_every") == 1, F.get("_every", F.lit(0)))
+    figures = texts.select("document_id", "text_id", F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_replace("text", REFERENCE, ""), F.lit(f"({FIGURE})"), F.lit(1)))).alias("figure"))
+    figures = figures.where(~F.array_contains(skip, normalised(F.col("figure")))) if skip is not None else figures
+    found = figures.withColumn("k", figure_key(F.col("figure"))).join(shown.withColumn("ref", one).where("ref is not null"), ["document_id", "k"])
+    pairs = found.groupBy("document_id", "text_id").agg(F.map_from_entries(F.collect_list(F.struct("figure", "ref"))).alias("_refs"))
+    # The text in pieces: references and figures, each behind what stands before it.
+    piece = rf"(?s)(.*?)(\{{\{{[^{{}}]*\}}\}}|{FIGURE.removeprefix('(?i)')}|\z)"
+    parts = F.arrays_zip(*(F.regexp_extract_all("text", F.lit(f"(?i){piece}"), F.lit(g)).alias(n) for g, n in ((1, "before"), (2, "token"))))
+    put = F.transform(parts, lambda p: F.concat(p["before"], F.coalesce(F.concat(F.lit("{{"), F.get(F.array(F.col("_refs")[p["token"]]), F.lit(0)), F.lit("}}")), p["token"])))
+    return texts.join(pairs, ["document_id", "text_id"], "left").withColumn("linked", F.when(F.col("_refs").isNull(), F.col("text")).otherwise(F.array_join(put, ""))).drop("_refs")
+
+
 def uncovered(fired: DataFrame, covered: DataFrame, dismissed: DataFrame) -> DataFrame:
     """Fired rules that no finding covers and none has dismissed."""
     keys = ["document_id", "rule_id"]

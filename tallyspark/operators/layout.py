@@ -55,6 +55,43 @@ def assign_columns(words: DataFrame, columns: DataFrame, group: tuple[str, ...]
     return joined.groupBy(*(words[c] for c in words.columns)).agg(F.min("column").alias("column")).drop("_word")
 
 
+def find_columns(words: DataFrame, values: Column, group: tuple[str, ...] = ("page",)) -> DataFrame:
+    """(`group`, column, left, right, header): columns of values and the header words whose middle lies above them.
+
+    words: (`group`, text, x0, x1, top); values: which of them are values. A column is a cluster of the values' right edges; its header reaches
+    from the column before it to a little beyond its own edge. Header words meet columns in a join on the interval.
+    """
+    rows = words.withColumn("_is_value", values)
+    valued = rows.where("_is_value")
+    edges = clusters(valued.select(*group, "x1"), list(group), "x1")
+    met = valued.alias("v").join(edges.alias("e"), (F.col("x1") >= F.col("low")) & (F.col("x1") <= F.col("high")) & _same(group, "v", "e"))
+    sized = met.groupBy(*(F.col(f"e.{c}").alias(c) for c in group), F.col("low").alias("_low")).agg(F.median("x1").alias("right"), F.max(F.col("x1") - F.col("x0")).alias("width"), F.min("top").alias("_top"))
+    order = Window.partitionBy(*group).orderBy("right")
+    before = F.lag("right").over(order)
+    sized = sized.select(
+        *group, F.row_number().over(order).alias("column"), F.when(before.isNull(), F.col("right") - F.col("width") - 12).otherwise(F.greatest(before + 2, F.col("right") - F.col("width") - 30)).alias("left"),
+        F.when(before.isNull(), F.col("right") - F.col("width") - 45).otherwise(before + 2).alias("_from"), "right", F.min("_top").over(Window.partitionBy(*group)).alias("_top"),
+    )
+    middle = (F.col("x0") + F.col("x1")) / 2
+    above = sized.alias("c").join(rows.where("not _is_value").alias("w"), (middle > F.col("c._from")) & (middle <= F.col("c.right") + 12) & (F.col("w.top") < F.col("c._top")) & _same(group, "c", "w"), "left")
+    text = F.array_join(F.array_sort(F.collect_list(F.struct("w.top", "w.x0", "w.text")))["text"], " ")
+    return above.groupBy(*(F.col(f"c.{c}").alias(c) for c in group), "column", "left", "right").agg(text.alias("header"))
+
+
+def _same(group: tuple[str, ...], a: str, b: str) -> Column:
+    held = F.lit(True)
+    for c in group:
+        held = held & (F.col(f"{a}.{c}") == F.col(f"{b}.{c}"))
+    return held
+
+
+def continued(pages: DataFrame, run: tuple[str, ...] = ("document_id", "statement"), page: str = "page", taken: tuple[str, ...] = ("columns", "scale")) -> tuple[DataFrame, DataFrame]:
+    """(pages, issues): a page without columns or scale of its own takes those of the page before it in its run; one that has none to take is an issue."""
+    filled = pages.withColumns({c: forward_fill(pages, list(run), [page], c) for c in taken})
+    lacks = F.when(F.col(taken[0]).isNull(), "no period columns found").when(F.col(taken[1]).isNull(), "currency unit not stated")
+    return filled.where(lacks.isNull()), filled.where(lacks.isNotNull()).select(*run, page, lacks.alias("reason"))
+
+
 def forward_fill(df: DataFrame, group: list[str], order: list[str], value: str) -> Column:
     """The last known value up to the row."""
     return F.last(value, ignorenulls=True).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))

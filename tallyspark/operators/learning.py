@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..catalog.rules import Rule
+from . import engine
+from . import facts as facts_
+
 # Pseudo-counts of the prior, steps and bounds of a boost.
 PRIOR_CONFIRMS, PRIOR_ALL = 3, 5
 BOOST_CONFIRM, BOOST_DISMISS, BOOST_LOW, BOOST_HIGH = 0.2, 0.1, -0.5, 1.0
@@ -42,6 +48,18 @@ def chunk_boosts(feedback: DataFrame, findings: DataFrame) -> DataFrame:
     return found.select("chunk", boost(F.col("confirms"), F.col("dismisses")).alias("boost"))
 
 
+def in_order(reliability: DataFrame) -> DataFrame:
+    """Rules by how often they were judged, then by id."""
+    return reliability.orderBy(F.desc(F.col("confirms") + F.col("dismisses")), "rule_id")
+
+
+def run_candidate(facts: DataFrame, documents: DataFrame, rule: Rule) -> DataFrame:
+    """`backtest` of one candidate rule over all stored documents in one plan, with the fixed bounds in place of cohorts."""
+    kept, _ = facts_.validate(facts)
+    grid = engine.with_cohort_bounds(engine.with_metrics(facts_.grid(kept, documents)))
+    return backtest(engine.latest(engine.rule_outcomes(grid, {rule.id: replace(rule, status="active")})))
+
+
 def backtest(latest_outcomes: DataFrame) -> DataFrame:
     """Of a candidate rule's latest outcomes over all documents: how many fired, passed, and lacked data."""
     return latest_outcomes.groupBy("rule_id").agg(F.count("*").alias("documents"), *(F.count_if(F.col("outcome") == o).alias(o) for o in ("fired", "passed", "insufficient_data")))

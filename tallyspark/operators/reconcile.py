@@ -56,6 +56,18 @@ def merge_restated(facts: DataFrame, keys: tuple[str, ...] = ("company", "key",
     return rows.where("_n = 1").drop("_n", "_changed")
 
 
+def compatible(filings: DataFrame, group: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """(group, order, reason) of the filings (also isin, bse_code, nse_symbol, name, basis, fye_month) that can't be merged with the first of their group."""
+    columns = ("isin", "bse_code", "nse_symbol", "name", "basis", "fye_month")
+    head = F.first(F.struct(*columns)).over(Window.partitionBy(*group).orderBy(*order))
+    rows = filings.select(*group, *order, F.struct(*columns).alias("own"), head.alias("first"))
+    reason = (
+        F.when(~F.coalesce(same_company("own", "first"), F.lit(False)), "another company").when(~F.col("own.basis").eqNullSafe(F.col("first.basis")), "standalone and consolidated figures")
+        .when(~F.col("own.fye_month").eqNullSafe(F.col("first.fye_month")), "another fiscal year end")
+    )
+    return rows.select(*group, *order, reason.alias("reason")).where("reason is not null")
+
+
 def same_company(a: str, b: str, identifiers: tuple[str, ...] = ("isin", "bse_code", "nse_symbol"), name: str = "name") -> Column:
     """The first identifier that both sides have decides, else the name without regard to case."""
     both = [F.when(F.col(f"{a}.{i}").isNotNull() & F.col(f"{b}.{i}").isNotNull(), F.col(f"{a}.{i}") == F.col(f"{b}.{i}")) for i in identifiers]

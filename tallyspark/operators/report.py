@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..catalog.items import items_frame
 from ..catalog.rules import SEVERITIES
 from ..functions.text import format_value
 
@@ -64,8 +65,23 @@ def ordered_findings(latest: DataFrame) -> DataFrame:
     return latest.orderBy(F.desc(F.col("outcome") == FIRED), F.desc("severity_rank"), "rule_id")
 
 
-def fact_sheet(latest: DataFrame, metrics: DataFrame) -> DataFrame:
-    """(document_id, sheet): lines of integrity, findings, metrics and gaps, sections apart by blank lines."""
+def label_of(key: Column) -> Column:
+    """Words of an item's or metric's key, the first with a capital."""
+    words = F.replace(key, F.lit("_"), F.lit(" "))
+    return F.concat(F.upper(F.substring(words, 1, 1)), F.substr(words, F.lit(2)))
+
+
+def describe_missing(ref: Column) -> Column:
+    """A missing fact as "Label (period)"; what is no fact stays as it is."""
+    key, period = F.split_part(F.substr(ref, F.lit(3)), F.lit("@"), F.lit(1)), F.split_part(ref, F.lit("@"), F.lit(2))
+    return F.when(ref.startswith("f:"), F.concat(label_of(key), F.when(period != "", F.concat(F.lit(" ("), period, F.lit(")"))).otherwise(""))).otherwise(ref)
+
+
+def fact_sheet(latest: DataFrame, metrics: DataFrame, documents: DataFrame | None = None, anomalies: DataFrame | None = None, facts: DataFrame | None = None) -> DataFrame:
+    """(document_id, sheet): sections of lines, apart by blank lines: header, integrity, findings, anomalies, metrics, document facts and gaps.
+
+    documents: (document_id, company, sector, doc_type); anomalies as `engine.ordered` gives them; facts: of which those without a period are shown.
+    """
     line = lambda rows, text, section, order: rows.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, text.alias("line")))), lambda x: x["line"]), "\n").alias(section))
     ok = integrity(latest).select("document_id", F.concat_ws(" ", F.lit("Integrity:"), "passed", F.lit("passed,"), "failed", F.lit("failed")).alias("a"))
     fired = latest.where(F.col("outcome") == FIRED)
@@ -73,10 +89,22 @@ def fact_sheet(latest: DataFrame, metrics: DataFrame) -> DataFrame:
     shown = metrics.where("headline and is_anchor")
     table = line(shown, F.concat_ws(" ", F.lit("-"), "metric", format_value(F.col("value"), F.col("unit"))), "c", [F.col("metric").alias("o")])
     gaps = line(latest.where(F.col("outcome") == INSUFFICIENT), F.concat(F.lit("- "), F.col("rule_id"), F.lit(": "), F.array_join("missing", ", ")), "d", [F.col("rule_id").alias("o")])
+    sections = {"a": ok, "b": findings, "c": table, "d": gaps}
+    if documents is not None:
+        at = latest.groupBy("document_id").agg(F.max_by("period", "severity_rank").alias("_period"), F.count("*").alias("_rules"))
+        head = documents.join(at, "document_id", "left")
+        sections["0"] = head.select("document_id", F.concat_ws("\n", F.concat_ws(" | ", F.concat(F.lit("Company: "), "company"), F.concat(F.lit("sector "), "sector"), "doc_type"), F.concat(F.lit("Rules: "), F.col("_rules").cast("string"), F.lit(" apply"))).alias("0"))
+    if anomalies is not None:
+        text = F.concat_ws(" ", F.lit("-"), "metric", "period", "direction", F.concat(F.lit("against its "), "basis"), F.when(F.col("adverse"), "(adverse)").otherwise(""))
+        sections["b2"] = line(anomalies, F.rtrim(text), "b2", [F.col("position").alias("o")])
+    if facts is not None:
+        units = F.broadcast(items_frame(facts.sparkSession).select("key", "unit"))
+        own = facts.where("kind is null").join(units, "key", "left")
+        sections["c2"] = line(own, F.concat_ws(" ", F.lit("-"), label_of(F.col("key")), F.coalesce("text", format_value(F.col("value"), F.col("unit")))), "c2", [F.col("key").alias("o")])
     every = latest.select("document_id").distinct()
-    for part in (ok, findings, table, gaps):
+    for part in sections.values():
         every = every.join(part, "document_id", "left")
-    return every.select("document_id", F.concat_ws("\n\n", "a", "b", "c", "d").alias("sheet"))
+    return every.select("document_id", F.concat_ws("\n\n", *(f"`{k}`" for k in sorted(sections))).alias("sheet"))
 
 
 #: Confidence of a finding that only a threshold backs.

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import periods, printed
 from ..functions.text import parse_amount
 from . import labels
 from .layout import islands
@@ -152,3 +153,21 @@ def item_amounts(parts: DataFrame, group: tuple[str, ...] = ("document_id", "key
     other = F.filter("_told", lambda t: t["value"] != F.col("_first"))["label"]
     value = F.when(F.col("_own") == 0, F.col("_all")).when(F.col("_adds"), F.col("_direct")).otherwise(F.col("_first"))
     return found.select(*group, value.alias("value"), F.when((F.col("_own") > 0) & ~F.col("_adds"), other).otherwise(F.array().cast("array<string>")).alias("ignored"))
+
+
+def column_periods(columns: DataFrame, fye: Column) -> DataFrame:
+    """`columns` with `period`: (kind, fiscal_year, part) of what each column of printed values covers; null where nothing tells.
+
+    columns: (document_id, statement, start_date, end_date, hint, ...). A stated start decides, then the hint; balance sheets and columns without
+    a hint take the longest period that another statement has to their date, else the year where their month closes one. So the statements of
+    flows are read first and balance sheets then.
+    """
+    is_balance = F.col("statement") == "balance_sheet"
+    stated = F.when(~is_balance & F.col("start_date").isNotNull(), periods.from_dates(F.col("start_date"), F.col("end_date"), fye))
+    hinted = F.when(~is_balance, printed.period_ending(F.col("end_date"), F.col("hint"), fye))
+    rows = columns.withColumn("_own", F.coalesce(stated, hinted))
+    kind, year, part = (F.col("_own")[c] for c in ("kind", "fiscal_year", "part"))
+    own = rows.where("_own is not null").select("document_id", "end_date", periods.start_date(kind, year, part, fye).alias("start_date"), F.col("_own").alias("period"))
+    known = own.groupBy("document_id", "end_date").agg(F.max_by("period", F.datediff("end_date", "start_date")).alias("_known"))
+    year = F.when(F.month("end_date") == fye, printed.period_ending(F.col("end_date"), F.lit("year"), fye))
+    return rows.join(known, ["document_id", "end_date"], "left").withColumn("period", F.coalesce("_own", "_known", year)).select(*columns.columns, "period")

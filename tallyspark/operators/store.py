@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +20,41 @@ def save_report(latest: DataFrame, path: str) -> None:
     append(rows.withColumn("created_at", F.current_timestamp()), path)
 
 
-def record_samples(samples: DataFrame, path: str) -> None:
-    """Cohort samples of the documents at hand replace their earlier ones; running it again changes nothing."""
-    samples.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_id").parquet(path)
+#: Partitions of a table of samples, by a hash of the document.
+BUCKETS = 64
+
+
+def save_findings(findings: DataFrame, candidates: DataFrame, path: str) -> None:
+    """Appends findings and candidate rules, both with their analysis_id, to tables of their own beneath `path`."""
+    for name, rows in (("findings", findings), ("rule_versions", candidates.withColumn("status", F.lit("proposed")))):
+        append(rows.withColumn("created_at", F.current_timestamp()), f"{path}/{name}")
+
+
+def record_samples(samples: DataFrame, path: str, documents: DataFrame | None = None) -> None:
+    """Cohort samples of the documents at hand replace their earlier ones; running it again changes nothing.
+
+    documents: (document_id) of all that were analysed, so that those without samples lose their old ones; else those of
+    `samples`. Rows lie in `BUCKETS` partitions by a hash of the document; the touched ones are merged beside the table,
+    then overwritten, so no reader's files go while they are read.
+    """
+    spark = samples.sparkSession
+    bucket = F.pmod(F.xxhash64("document_id"), F.lit(BUCKETS)).cast("int")
+    known = (samples if documents is None else documents).select("document_id").distinct()
+    touched = [r["bucket"] for r in known.select(bucket.alias("bucket")).distinct().collect()]  # at most BUCKETS
+    fresh = samples.withColumn("bucket", bucket)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(folder):
+        old = spark.read.parquet(path).where(F.col("bucket").isin(touched)).withColumn("document_id", F.col("document_id").cast(samples.schema["document_id"].dataType))
+        fresh = fresh.unionByName(old.join(known, "document_id", "left_anti"), allowMissingColumns=True)
+    staging = f"{path.rstrip('/')}-staging-{uuid.uuid4().hex}"
+    fresh.write.parquet(staging)
+    merged = spark.read.schema(fresh.schema).parquet(staging)
+    left = {r["bucket"] for r in merged.select("bucket").distinct().collect()}
+    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    for b in set(touched) - left:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={b}"), True)
+    files.delete(spark._jvm.org.apache.hadoop.fs.Path(staging), True)
 
 
 def load_samples(spark: SparkSession, path: str, sector: str, exclude_document: str) -> DataFrame:
