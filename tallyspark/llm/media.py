@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import cached_property, lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -178,14 +178,18 @@ def encode(payload: bytes) -> bytes:
 
 
 class _Bits:
-    """The bits of a scan, as an array and, for symbol by symbol reading, from its bytes."""
+    """The bits of a scan, as an array (made when it is first needed) and, for symbol by symbol reading, from its bytes."""
 
     def __init__(self, data: bytes):
-        self.bits = np.unpackbits(np.frombuffer(data, np.uint8))
-        self.end = len(self.bits)
+        self.octets = np.frombuffer(data, np.uint8)
+        self.end = 8 * len(data)
         self.data = data + b"\xff" * 4
         self.at = 0
 
+    @cached_property
+    def bits(self) -> np.ndarray:
+        return np.unpackbits(self.octets)
+
     def take(self, n: int) -> np.ndarray:
         found = self.bits[self.at : self.at + n]
         if len(found) < n:
@@ -242,16 +246,21 @@ def _ac_first(bits: _Bits, c: np.ndarray, blocks: np.ndarray, table: tuple, firs
             # As many coefficients as follow with the same code.
             code, length = codes[symbol]
             stride = length + size
-            n = min(end - at, (len(bits.bits) - before) // stride)
-            groups = bits.bits[before : before + n * stride].reshape(n, stride)
-            same = np.ones(n, bool)
-            for i, bit in enumerate(f"{code:0{length}b}"):
-                same &= groups[:, i] == int(bit)
+            n = min(end - at, (bits.end - before) // stride)
+            if stride == 8 and not before & 7:
+                octets = bits.octets[before >> 3 : (before >> 3) + n].astype(np.int32)
+                same, value = octets >> size == code, octets & (1 << size) - 1
+            else:
+                groups = bits.bits[before : before + n * stride].reshape(n, stride)
+                same = np.ones(n, bool)
+                for i, bit in enumerate(f"{code:0{length}b}"):
+                    same &= groups[:, i] == int(bit)
+                packed = np.packbits(groups[:, length:], axis=1).astype(np.int32)
+                value = packed[:, 0] >> (8 - size) if size <= 8 else (packed[:, 0] << 8 | packed[:, 1]) >> (16 - size)
             n = n if same.all() else int(np.argmin(same))
             if not n:
                 raise ValueError("the scan is cut")
-            packed = np.packbits(groups[:n, length:], axis=1).astype(np.int32)
-            value = packed[:, 0] >> (8 - size) if size <= 8 else (packed[:, 0] << 8 | packed[:, 1]) >> (16 - size)
+            value = value[:n]
             flat[at : at + n] = np.where(value < 1 << (size - 1), value - (1 << size) + 1, value)
             at, bits.at = at + n, before + n * stride
         elif size:
@@ -274,7 +283,10 @@ def _ac_refine(bits: _Bits, c: np.ndarray, blocks: np.ndarray, table: tuple, fir
 
     def correct(values: np.ndarray) -> None:
         known = values != 0
-        values[known] += np.sign(values[known]) * (bits.take(int(known.sum())).astype(np.int32) << low)
+        if known.all():
+            values += np.sign(values) * (bits.take(len(values)).astype(np.int32) << low)
+        else:
+            values[known] += np.sign(values[known]) * (bits.take(int(known.sum())).astype(np.int32) << low)
 
     while block < len(part):
         row = part[block]
@@ -282,10 +294,7 @@ def _ac_refine(bits: _Bits, c: np.ndarray, blocks: np.ndarray, table: tuple, fir
         run, size = symbol >> 4, symbol & 15
         if size == 0 and run < 15:
             count = (1 << run) + bits.number(run)
-            tail = row[k:]
-            correct(tail)
-            more = part[block + 1 : block + count].reshape(-1)
-            correct(more)
+            correct(part[block : block + count].reshape(-1)[k:])
             block, k = block + count, 0
             continue
         fresh = (one if bits.number(1) else -one) if size else 0
@@ -324,6 +333,13 @@ def _interleaved(across: int, down: int, parts: tuple[tuple[int, int, int], ...]
     return np.stack(at, axis=1).ravel(), np.stack(which, axis=1).ravel()
 
 
+@lru_cache(1)
+def _basis() -> np.ndarray:
+    """Cosines of the inverse transform."""
+    k = np.arange(8)
+    return (np.sqrt(np.where(k == 0, 1, 2) / 8)[:, None] * np.cos((2 * k + 1) * k[:, None] * np.pi / 16)).astype(np.float32)
+
+
 class Image:
     """Coefficient arrays (blocks x 64, zigzag order, rows of blocks padded to whole MCUs) of each component."""
 
@@ -407,10 +423,7 @@ class Image:
 
     def planes(self) -> list[np.ndarray]:
         """Samples 0 to 255 of each component, as float, at its own resolution."""
-        k = np.arange(8)
-        basis = np.sqrt(np.where(k == 0, 1, 2) / 8)[:, None] * np.cos((2 * k + 1) * k[:, None] * np.pi / 16)
-        basis = basis.astype(np.float32)
-        found = []
+        basis, found = _basis(), []
         for part in self.components:
             natural = np.empty(part["c"].shape, np.float32)
             natural[:, ZIGZAG] = part["c"] * self.quantisers[part["q"]]
