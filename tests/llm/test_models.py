@@ -139,6 +139,98 @@ def test_gradients_of_attention():
     assert np.allclose(np.bincount(doc, f["a"], 40), 1)
 
 
+def slow_attention(rows, model):
+    """The score of one document's passages, a number at a time."""
+    p = model.layers
+    encoded, energies = [], []
+    for row in rows:
+        x = [min(8.0, max(-8.0, (v - m) / s)) for v, m, s in zip(row, model.mean, model.spread)]
+        h = [math.tanh(sum(a * p["encode"][i][j] for i, a in enumerate(x)) + p["encode0"][j]) for j in range(quality.HIDDEN)]
+        gated = []
+        for k in range(quality.GATE):
+            t, g = (sum(a * p[name][j][k] for j, a in enumerate(h)) for name in ("tanh", "gate"))
+            gated.append(math.tanh(t) / (1 + math.exp(-g)))
+        encoded.append(h)
+        energies.append(sum(a * b for a, b in zip(gated, p["weigh"])))
+    weights = [math.exp(e - max(energies)) for e in energies]
+    z = [sum(w * h[j] for w, h in zip(weights, encoded)) / sum(weights) for j in range(quality.HIDDEN)]
+    return 1 / (1 + math.exp(-(sum(a * b for a, b in zip(z, p["out"])) + p["out0"][0]))), max(weights) / sum(weights)
+
+
+def slow_passages(text):
+    """A few features of each passage from its words: characters a word, share of words new to the passage and to the text, number of words."""
+    words = re.sub(rb"[^0-9a-z\x80-\xff]", b" ", text.lower()).split()
+    found = []
+    for k in range(0, max(len(words), 1), quality.PASSAGE):
+        own = words[k : k + quality.PASSAGE]
+        n = max(len(own), 1)
+        fresh = len({w for w in own} - set(words[:k]))
+        found.append((math.log1p(sum(map(len, own)) / n), len(set(own)) / n, fresh / n, math.log1p(len(own))))
+    return found
+
+
+def test_attention_equals_a_slow_computation(spark):
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdeé") for _ in range(r.randrange(1, 18))) for _ in range(80)]
+    text = lambda n: "".join(r.choice(words) + r.choice([" ", ", ", "!! ", "\n", " ### "]) for _ in range(n)).encode()
+    texts = [text(n) for n in (0, 1, 63, 64, 65, 128, 500)] + [text(r.randrange(300)) for _ in range(20)]
+    model = quality.fit(texts, np.array([k % 2 for k in range(len(texts))]), steps=40)
+    x, doc = quality.passages(texts)
+    score, n, top = quality.scores(texts, model)
+    at = len(quality.CLASSES)
+    for k, t in enumerate(texts):
+        want = slow_passages(t)
+        assert n[k] == len(want) and x[doc == k][:, [at, at + 1, at + 2, at + 5]] == pytest.approx(np.array(want))
+        assert (score[k], top[k]) == pytest.approx(slow_attention(x[doc == k], model), rel=1e-6)
+
+
+def slow_fusion(rows, languages):
+    """Posteriors by loops over a table of (logs, declared, suffix, host)."""
+    n = len(languages)
+    soft = lambda logs: [math.exp(v - max(logs)) / sum(math.exp(w - max(logs)) for w in logs) for v in logs]
+    own = [soft(r[0]) for r in rows]
+    add = lambda keep: [sum(p[k] for p, r in zip(own, rows) if keep(r)) for k in range(n)]
+    domain, top = (lambda h: ".".join(h.split(".")[-2:]), lambda h: h.split(".")[-1])
+    smooth = lambda sums, above: [(s + language.LEVEL_WEIGHT * p) / (sum(sums) + language.LEVEL_WEIGHT) for s, p in zip(sums, above)]
+    found = []
+    for p, r in zip(own, rows):
+        logs, host = list(r[0]), r[3]
+        if host is not None:
+            prior = smooth(add(lambda q: q[3] is not None), [1 / n] * n)
+            prior = smooth(add(lambda q: q[3] is not None and top(q[3]) == top(host)), prior)
+            prior = smooth(add(lambda q: q[3] is not None and domain(q[3]) == domain(host)), prior)
+            prior = smooth([max(s - a, 0.0) for s, a in zip(add(lambda q: q[3] == host), p)], prior)
+            logs = [a + math.log(b) for a, b in zip(logs, prior)]
+        for column in (1, 2):
+            if r[column] is not None:
+                values = len({q[column] for q in rows if q[column] is not None})
+                whole, here = add(lambda q: q[column] is not None), add(lambda q: q[column] == r[column])
+                logs = [a + math.log((h + language.EVIDENCE_SMOOTHING) / (w + language.EVIDENCE_SMOOTHING * values)) for a, h, w in zip(logs, here, whole)]
+        found.append(soft(logs))
+    return found
+
+
+def test_fusion_equals_a_slow_bayes(spark):
+    r = random.Random(6)
+    hosts = ["www.a.org", "blog.a.org", "b.org", "x.b.de", "c.de", None]
+    rows = [([r.uniform(-5, 0) for _ in range(3)], r.choice(["aa", "bb", None]), r.choice(["/aa", ".org", None]), r.choice(hosts)) for _ in range(60)]
+    frame = spark.createDataFrame([(k, *row) for k, row in enumerate(rows)], "id int, logs array<double>, declared string, suffix string, host string")
+    got = {x.id: x for x in language.fuse(frame, ["aa", "bb", "cc"]).collect()}
+    for k, want in enumerate(slow_fusion(rows, ["aa", "bb", "cc"])):
+        assert list(got[k].posterior) == pytest.approx(want) and got[k].language == ["aa", "bb", "cc"][int(np.argmax(want))]
+
+
+def test_hidden_declarations_are_found(spark):
+    """A fold of the pages is scored without what it declares, by a model of documents of which none is scored."""
+    docs, pages = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "pages"))
+    names, table = language.train(docs)
+    hidden = F.crc32(F.col("page_id").cast("string")) % 3 == 0
+    declared = language.declared_of(F.col("html"))
+    rows = pages.select("page_id", hidden.alias("hidden"), declared.alias("truth"), language.text_likelihood(F.col("html"), table, True).alias("logs"), F.when(~hidden, declared).alias("declared"), language.suffix_of(F.col("url")).alias("suffix"), language.host_of(F.col("url")).alias("host"))
+    got = language.fuse(rows, names).where("hidden and truth is not null").toPandas()
+    assert len(got) > 50 and (got.truth == got.language).mean() > 0.95
+
+
 AWKWARD = [(1, None, "x"), (2, "", "x"), (3, "word " * 60000, "x"), (3, "word " * 60000, "x"), (4, "...\n\n!?", "x"), (None, "é", None)]
 
 
