@@ -61,8 +61,8 @@ class Words:
     sentence: the number of its sentence within the chunk; starts: where each text begins.
     """
 
-    def __init__(self, texts: list[bytes]):
-        self.bytes, self.starts = joined_text(texts)
+    def __init__(self, texts: list[bytes], gap: bytes = b"\n"):
+        self.bytes, self.starts = joined_text(texts, gap)
         self.folded = np.frombuffer(self.bytes.tobytes().translate(FOLD), np.uint8)
         inside = np.concatenate(([False], self.folded > 32, [False]))
         turns = np.nonzero(inside[1:] != inside[:-1])[0]

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Written, bounded_batches, text_bytes
-from .features import Words, chunks, mixed
+from .features import Words, chunks, mixed, pieces
 
 BUCKETS = 1 << 14
 SMOOTHING = 0.5
@@ -45,9 +45,11 @@ _TAG = re.compile(rb"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re
 _ENTITY = re.compile(rb"&#?\w+;")
 
 
-def features(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(text, bucket, number of texts) of the features of each chunk."""
-    for part in chunks(texts):
+def features(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(number of the text, bucket) of the features, some texts (or a piece of a long one) at a time."""
+    cut = [(k, part) for k, t in enumerate(texts) for _, part in pieces(t)]
+    owner, before = np.array([k for k, _ in cut], np.int64), 0
+    for part in chunks([p for _, p in cut]):
         w = Words(part)
         inside = w.folded > 32
         three = inside[:-2] & inside[1:-1] & inside[2:] if len(inside) > 2 else np.zeros(0, bool)
@@ -55,20 +57,18 @@ def features(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]
         f = w.folded.astype(np.uint64)
         gram = mixed(f[at] << np.uint64(16) | f[at + 1] << np.uint64(8) | f[at + 2] | np.uint64(1 << 40))
         doc = np.concatenate((w.doc, np.searchsorted(w.starts, at, side="right") - 1))
-        yield doc, (np.concatenate((w.hash, gram)) >> np.uint64(30)).astype(np.int64) & (BUCKETS - 1), len(part)
+        yield owner[before + doc], (np.concatenate((w.hash, gram)) >> np.uint64(30)).astype(np.int64) & (BUCKETS - 1)
+        before += len(part)
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
     for b in batches:
-        labels = b.column(0).to_pylist()
-        before = 0
-        for doc, bucket, n in features(text_bytes(b.column(1))):
-            names, number = np.unique(np.array(labels[before : before + n], object).astype(str), return_inverse=True)
+        names, number = np.unique(np.array(b.column(0).to_pylist(), object).astype(str), return_inverse=True)
+        for doc, bucket in features(text_bytes(b.column(1))):
             found = np.bincount(number[doc] * BUCKETS + bucket, minlength=len(names) * BUCKETS).reshape(-1, BUCKETS)
             for name, row in zip(names.tolist(), found):
                 totals[name] = totals.get(name, 0) + row
-            before += n
     for name, row in totals.items():
         at = np.nonzero(row)[0]
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(row[at])], names=["label", "bucket", "n"])
@@ -90,13 +90,14 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang") -> t
 
 def likelihoods(texts: list[bytes], table: np.ndarray) -> np.ndarray:
     """Tempered log likelihood of each text under each language, the best at 0."""
-    found = [np.zeros((0, len(table)))]
-    for doc, bucket, n in features(texts):
-        held = np.maximum(np.bincount(doc, minlength=n), 1)
-        weight = np.minimum(held * FEATURE_WEIGHT, TEXT_WEIGHT) / held
-        each = np.stack([np.bincount(doc, row[bucket], n) * weight for row in table], axis=1)
-        found.append(each - each.max(axis=1, keepdims=True))
-    return np.concatenate(found)
+    n = len(texts)
+    held, each = np.zeros(n), np.zeros((n, len(table)))
+    for doc, bucket in features(texts):
+        held += np.bincount(doc, minlength=n)
+        each += np.stack([np.bincount(doc, row[bucket], n) for row in table], axis=1)
+    held = np.maximum(held, 1)
+    each *= (np.minimum(held * FEATURE_WEIGHT, TEXT_WEIGHT) / held)[:, None]
+    return each - each.max(axis=1, keepdims=True) if n else each
 
 
 def plain(html: bytes) -> bytes:

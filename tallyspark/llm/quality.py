@@ -18,6 +18,7 @@ empty result; other columns are carried along.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, labelled_sample, text_bytes
-from .features import Words, chunks
+from .features import CHUNK_BYTES, Words, chunks
 
 PASSAGE = 64
 SAMPLE = (3000, 3000)
@@ -60,53 +61,98 @@ def _first_seen(group: np.ndarray, value: np.ndarray) -> np.ndarray:
     return new
 
 
+class _Seen:
+    """What a text has had before the piece at hand: hashes of its words and of its runs of three."""
+
+    def __init__(self):
+        self.words, self.threes = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+    def fresh(self, words: np.ndarray, threes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each is new; they are not new from now on."""
+        found = ~np.isin(words, self.words), ~np.isin(threes, self.threes)
+        self.words, self.threes = np.union1d(self.words, words), np.union1d(self.threes, threes)
+        return found
+
+
+def _long(text: bytes) -> Iterator[Words]:
+    """Pieces of whole passages of a long text, in order."""
+    at, limit = 0, CHUNK_BYTES
+    while at < len(text):
+        part = text[at : at + limit]
+        if at + limit >= len(text):
+            yield Words([part])
+            return
+        # The last word may go on, so it stays for the next piece.
+        starts = Words([part], b"").start[:-1]
+        whole = (len(starts) - 1) // PASSAGE * PASSAGE
+        if whole <= 0:
+            limit *= 2
+            continue
+        end = int(starts[whole])
+        yield Words([part[:end]], b"")
+        at, limit = at + end, CHUNK_BYTES
+
+
 def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(features of each passage, its document)."""
+    """(features of each passage, its document); texts over 1 MB are read in pieces of whole passages."""
     rows, docs, before = [], [], 0
     for part in chunks(texts):
-        w = Words(part)
-        n = w.n_docs()
-        words = np.bincount(w.doc, minlength=n)
-        of_doc = np.maximum(1, -(-words // PASSAGE))
-        first_of_doc = np.cumsum(of_doc) - of_doc
-        total = int(of_doc.sum())
-        doc = np.repeat(np.arange(n), of_doc)
-        rank = np.arange(len(w.doc)) - np.repeat(np.cumsum(words) - words, words)
-        at = first_of_doc[w.doc] + rank // PASSAGE
-        # A passage's bytes run from its first word to the next passage's, or from and to the text's ends.
-        edge = np.empty(total + 1, np.int64)
-        edge[-1] = len(w.bytes)
-        edge[:-1] = w.starts[doc]
-        opens = (rank % PASSAGE == 0) & (rank > 0)
-        edge[at[opens]] = w.start[opens]
-        size = np.maximum(np.diff(edge), 1)
-        count = lambda mask: np.diff(np.concatenate(([0], np.cumsum(mask)))[edge])
-        x = np.zeros((total, N_FEATURES))
-        for k, member in enumerate(CLASSES):
-            x[:, k] = count(member[w.bytes]) / size
-        held = np.maximum(np.bincount(at, minlength=total), 1)
-        k = len(CLASSES)
-        length = w.end - w.start
-        x[:, k] = np.log1p(np.bincount(at, length, total) / held)
-        x[:, k + 1] = np.bincount(at, _first_seen(at, w.hash), total) / held
-        x[:, k + 2] = np.bincount(at, _first_seen(w.doc, w.hash), total) / held
-        three = w.hash.copy()
-        three[2:] = w.hash[2:] * np.uint64(3) + w.hash[1:-1] * np.uint64(5) + w.hash[:-2] * np.uint64(7)
-        x[:, k + 3] = np.bincount(at, _first_seen(w.doc, three), total) / held
-        x[:, k + 4] = np.log1p(np.bincount(at, length > 14, total) / held)
-        x[:, k + 5] = np.log1p(np.bincount(at, minlength=total))
-        pair = (w.bytes[:-1].astype(np.int64) * 31 + w.bytes[1:]) % PAIR_BUCKETS
-        own = np.ones(len(w.bytes), bool)
-        own[w.starts[1:] - 1] = False  # no pair reaches into the next text
-        at_pair = np.nonzero(own[: len(pair)])[0]
-        of = np.repeat(np.arange(total), np.diff(edge))[at_pair]
-        x[:, k + 6 :] = np.bincount(of * PAIR_BUCKETS + pair[at_pair], minlength=total * PAIR_BUCKETS).reshape(total, PAIR_BUCKETS) / size[:, None]
-        rows.append(x)
-        docs.append(doc + before)
-        before += n
+        if len(part) == 1 and len(part[0]) > CHUNK_BYTES:
+            seen = _Seen()
+            found = [_passages(w, seen) for w in _long(part[0])]
+        else:
+            found = [_passages(Words(part))]
+        for x, doc in found:
+            rows.append(x)
+            docs.append(doc + before)
+        before += len(part)
     return (np.concatenate(rows), np.concatenate(docs)) if rows else (np.zeros((0, N_FEATURES)), np.zeros(0, np.int64))
 
 
+def _passages(w: Words, seen: _Seen | None = None) -> tuple[np.ndarray, np.ndarray]:
+    n = w.n_docs()
+    words = np.bincount(w.doc, minlength=n)
+    of_doc = np.maximum(1, -(-words // PASSAGE))
+    first_of_doc = np.cumsum(of_doc) - of_doc
+    total = int(of_doc.sum())
+    doc = np.repeat(np.arange(n), of_doc)
+    rank = np.arange(len(w.doc)) - np.repeat(np.cumsum(words) - words, words)
+    at = first_of_doc[w.doc] + rank // PASSAGE
+    # A passage's bytes run from its first word to the next passage's, or from and to the text's ends.
+    edge = np.empty(total + 1, np.int64)
+    edge[-1] = len(w.bytes)
+    edge[:-1] = w.starts[doc]
+    opens = (rank % PASSAGE == 0) & (rank > 0)
+    edge[at[opens]] = w.start[opens]
+    size = np.maximum(np.diff(edge), 1)
+    count = lambda mask: np.diff(np.concatenate(([0], np.cumsum(mask)))[edge])
+    x = np.zeros((total, N_FEATURES))
+    for k, member in enumerate(CLASSES):
+        x[:, k] = count(member[w.bytes]) / size
+    held = np.maximum(np.bincount(at, minlength=total), 1)
+    k = len(CLASSES)
+    length = w.end - w.start
+    x[:, k] = np.log1p(np.bincount(at, length, total) / held)
+    x[:, k + 1] = np.bincount(at, _first_seen(at, w.hash), total) / held
+    three = w.hash.copy()
+    three[2:] = w.hash[2:] * np.uint64(3) + w.hash[1:-1] * np.uint64(5) + w.hash[:-2] * np.uint64(7)
+    new, new_three = _first_seen(w.doc, w.hash), _first_seen(w.doc, three)
+    if seen is not None:
+        fresh, fresh_three = seen.fresh(w.hash, three)
+        new, new_three = new & fresh, new_three & fresh_three
+    x[:, k + 2] = np.bincount(at, new, total) / held
+    x[:, k + 3] = np.bincount(at, new_three, total) / held
+    x[:, k + 4] = np.log1p(np.bincount(at, length > 14, total) / held)
+    x[:, k + 5] = np.log1p(np.bincount(at, minlength=total))
+    pair = (w.bytes[:-1].astype(np.int64) * 31 + w.bytes[1:]) % PAIR_BUCKETS
+    own = np.ones(len(w.bytes), bool)
+    own[w.starts[1:] - 1] = False  # no pair reaches into the next text
+    at_pair = np.nonzero(own[: len(pair)])[0]
+    of = np.repeat(np.arange(total), np.diff(edge))[at_pair]
+    x[:, k + 6 :] = np.bincount(of * PAIR_BUCKETS + pair[at_pair], minlength=total * PAIR_BUCKETS).reshape(total, PAIR_BUCKETS) / size[:, None]
+    return x, doc
+
+
 @dataclass
 class Model:
     mean: np.ndarray

@@ -122,7 +122,7 @@ def test_the_sample_is_bounded_in_bytes(spark):
     labels = docs.select("doc_id", "toxic").unionByName(spark.createDataFrame([(3, 0), (None, 1), (7, None)], "doc_id long, toxic int"))
     texts, y = common.labelled_sample(docs, labels, "toxic", (100, 100), (2000, 900))
     assert sum(len(t) for t, k in zip(texts, y) if k == 0) <= 2000 and sum(len(t) for t, k in zip(texts, y) if k == 1) <= 900
-    assert b"" in texts and len(texts) == len(y) > 20 and not any(b"long" in t for t in texts)
+    assert b"" in texts and len(texts) == len(y) > 10 and not any(b"long" in t for t in texts)
     assert b"y" in texts and y[texts.index(b"y")] == 0  # the lowest of two labels, the shortest of two texts
     whole, _ = common.labelled_sample(docs, labels, "toxic", (100, 100), (10**6, 10**6))
     assert len(whole) == 42 and any(len(t) == 50_000 for t in whole)
@@ -184,6 +184,22 @@ def test_attention_equals_a_slow_computation(spark):
         assert (score[k], top[k]) == pytest.approx(slow_attention(x[doc == k], model), rel=1e-6)
 
 
+def test_long_texts_in_pieces_score_as_whole_ones(monkeypatch):
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 9))) for _ in range(3000)]
+    text = " ".join(r.choice(words) + r.choice(["", "", ".", "!"]) for _ in range(30_000)).encode()
+    x, doc = quality.passages([text, b"short"])
+    likely = language.likelihoods([text, b"short"], np.log(np.random.default_rng(1).dirichlet(np.ones(language.BUCKETS), 3)))
+    monkeypatch.setattr(quality, "CHUNK_BYTES", 20_000)
+    monkeypatch.setattr(quality, "chunks", lambda texts: features.chunks(texts, 20_000))
+    monkeypatch.setattr(language, "pieces", lambda t: features.pieces(t, 20_000))
+    cut, cut_doc = quality.passages([text, b"short"])
+    assert cut.shape == x.shape and (cut_doc == doc).all() and np.abs(cut - x).max() < 0.04 and np.abs(cut[:, : len(quality.CLASSES) + 6] - x[:, : len(quality.CLASSES) + 6]).max() < 1e-9 + 2 / 64
+    again = language.likelihoods([text, b"short"], np.log(np.random.default_rng(1).dirichlet(np.ones(language.BUCKETS), 3)))
+    assert again == pytest.approx(likely)
+    assert quality.passages([b"w" * 50_000])[0].shape[0] == 1 and quality.passages([b"w" * 25_000 + b" x" * 100])[0].shape[0] == 2
+
+
 def slow_fusion(rows, languages):
     """Posteriors by loops over a table of (logs, declared, suffix, host)."""
     n = len(languages)
