@@ -57,15 +57,20 @@ def baselines(metrics: DataFrame) -> DataFrame:
 
 def with_cohort_bounds(grid: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     """Adds ``cohort_p90_*``: the percentile of the peers' values without the document's own, from 8 values on, else the fixed bound."""
-    for metric, (p, fallback) in COHORT_BOUNDS.items():
-        name = f"cohort_p{p}_{metric}"
-        if samples is None:
-            grid = grid.withColumn(name, F.lit(fallback).cast(AMOUNT))
-            continue
-        keys = ["sector", "size_bucket", "kind"]
-        found = statistics.peer_percentile(grid, samples.where(F.col("metric") == metric), keys, "document_id", "value", p).withColumnsRenamed({"n": "_n", "percentile": "_p"})
-        grid = grid.join(found, ["document_id", *keys], "left").withColumn(name, F.when(F.col("_n") >= statistics.TRUSTED_COHORT, amount(F.col("_p"))).otherwise(F.lit(fallback).cast(AMOUNT))).drop("_n", "_p")
-    return grid
+    names = {metric: f"cohort_p{p}_{metric}" for metric, (p, _) in COHORT_BOUNDS.items()}
+    fixed = {names[m]: F.lit(fallback).cast(AMOUNT) for m, (_, fallback) in COHORT_BOUNDS.items()}
+    if samples is None:
+        return grid.withColumns(fixed)
+    keys = ["sector", "size_bucket", "kind"]
+    units, found = grid.select("document_id", *keys).distinct(), None
+    for p in sorted({p for p, _ in COHORT_BOUNDS.values()}):
+        own = [m for m, (q, _) in COHORT_BOUNDS.items() if q == p]
+        each = units.withColumn("metric", F.explode(F.array(*map(F.lit, own))))
+        part = statistics.peer_percentile(each, samples.where(F.col("metric").isin(own)), [*keys, "metric"], "document_id", "value", p).where(F.col("n") >= statistics.TRUSTED_COHORT)
+        found = part if found is None else found.unionByName(part)
+    # One narrow row for each document and kind, so that the wide grid is joined once.
+    wide = found.groupBy("document_id", *keys).agg(*(F.max(F.when(F.col("metric") == m, amount(F.col("percentile")))).alias(n) for m, n in names.items()))
+    return grid.join(wide, ["document_id", *keys], "left").withColumns({n: F.coalesce(F.col(n), v) for n, v in fixed.items()})
 
 
 def sound_rules(grid: DataFrame, rules: dict[str, Rule] = RULES) -> tuple[dict[str, Rule], dict[str, str]]:
