@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import periods, printed
 from ..functions.timeseries import AMOUNT
-from ..operators import facts, layout, reconcile, retrieval
+from ..operators import evidence, facts, layout, reconcile, retrieval
 from ..sources import filings
-from .base import query, table
+from .base import over_quarters, quarters, query, table
 from .tables import WORDS_SQL
 
 
@@ -97,3 +97,34 @@ def fact_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 5 != 0, F.lit(1)).cast(AMOUNT).alias("value"), F.when(key % 7 == 0, "x").alias("text"),
     )
     return facts.validate(rows)[1].drop("part")
+
+
+DISPLAY_SQL = over_quarters(""", w AS (SELECT entity, seq_index, 'f:revenue_from_operations@Q' || part || 'FY' || lpad(CAST(fiscal_year % 100 AS VARCHAR), 2, '0') AS ref, CAST(revenue // 100 AS VARCHAR) AS t, lpad(CAST(revenue % 100 AS VARCHAR), 2, '0') AS c FROM quarters WHERE revenue > 0),
+d AS (SELECT entity, seq_index, ref, '₹' || CASE WHEN length(t) <= 3 THEN t ELSE regexp_replace(reverse(regexp_replace(reverse(left(t, length(t) - 3)), '(..)', '\\1,', 'g')), '^,', '') || ',' || right(t, 3) END || '.' || c || ' cr' AS display FROM w)""")
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of quarterly revenues, in crore."""
+    q = quarters(spark, sf_dir).where("revenue > 0")
+    rows = q.select(F.col("entity").alias("document_id"), F.lit("revenue_from_operations").alias("key"), "kind", "fiscal_year", "part", (F.col("revenue") / 100).cast("decimal(24,2)").cast(AMOUNT).alias("value"), F.lit(None).cast("string").alias("text"))
+    metrics = spark.createDataFrame([], f"document_id int, metric string, period string, value {AMOUNT}, unit string")
+    outcomes = spark.createDataFrame([], "document_id int, period string, evidence array<struct<name:string,value:string>>")
+    return evidence.index(rows, metrics, outcomes)
+
+
+@query(DISPLAY_SQL + " SELECT entity, ref, display FROM d")
+def evidence_displays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts as they are shown, by reference."""
+    return _evidence(spark, sf_dir).select(F.col("document_id").alias("entity"), "ref", "display")
+
+
+@query(DISPLAY_SQL + """, t AS (SELECT d.entity, seq_index, n, CASE WHEN seq_index % 2 = 0 THEN display ELSE replace(display, ' cr', ' crore') END AS figure, ref FROM d JOIN (SELECT entity, display, count(*) AS n FROM d GROUP BY ALL) USING (entity, display))
+SELECT entity, seq_index, 'It sold ' || CASE WHEN n = 1 THEN '{{' || ref || '}}' ELSE figure END || ' of goods, {{m:x}} kept, 7.77% unknown.' AS linked FROM t""")
+def figures_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A revenue written out in prose gives way to the one reference that shows it; other figures and references stay."""
+    shown = _evidence(spark, sf_dir)
+    part, year = (F.regexp_extract("ref", r"@Q(\d)FY(\d+)$", n).cast("int") for n in (1, 2))
+    seq = part - 1 + 4 * (year + F.when(year < 50, 2000).otherwise(1900))
+    figure = F.when(seq % 2 == 0, F.col("display")).otherwise(F.replace("display", F.lit(" cr"), F.lit(" crore")))
+    texts = shown.select("document_id", seq.alias("text_id"), F.concat(F.lit("It sold "), figure, F.lit(" of goods, {{m:x}} kept, 7.77% unknown.")).alias("text"))
+    return evidence.linked(texts, shown).select(F.col("document_id").alias("entity"), F.col("text_id").alias("seq_index"), "linked")
