@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, html_text, language, media, mixing, quality, secrets, simhash, toxicity
+from . import chat, decontamination, html_text, language, media, mixing, quality, repeats, secrets, simhash, toxicity
 from .common import Written, table
 
 
@@ -139,9 +139,26 @@ FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.substring_dedup(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP13_SQL = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS p FROM words, unnest(range(1, len(w) - 18)) t(i)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY p ORDER BY doc_id NULLS LAST, i) AS k FROM windows) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS j FROM again, unnest(range(0, 20)) t(k)),
+placed AS (SELECT doc_id, j, w[j] AS word FROM words, unnest(range(1, len(w) + 1)) t(j)),
+kept AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.j) AS kept, count(*) AS n FROM placed p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.j = p.j WHERE g.j IS NULL GROUP BY p.doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_chat_format, op3_secret_scan, op4_progressive_jpeg, op5_html_extraction, op6_source_mix, op7_quality, op8_toxicity, op9_decontamination, op10_language_id)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_chat_format, op3_secret_scan, op4_progressive_jpeg, op5_html_extraction, op6_source_mix, op7_quality, op8_toxicity, op9_decontamination, op10_language_id, op13_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op9_decontamination": OP9_SQL}
+    return {"op2_chat_format": OP2_SQL, "op9_decontamination": OP9_SQL, "op13_substring_dedup": OP13_SQL}
