@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, html_text, language, media, mixing, quality, repeats, secrets, simhash, toxicity
+from . import chat, codes, decontamination, html_text, language, media, mixing, quality, repeats, secrets, simhash, toxicity
 from .common import Written, table
 
 
@@ -139,6 +141,39 @@ FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    digest = hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
+    return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+def _op12_sql() -> str:
+    far = "list_sum([(x[k] - c[k]) * (x[k] - c[k]) for k in range(1, w + 1)])"
+    steps = []
+    for r in range(codes.ROUNDS + 1):
+        steps.append(f"""f{r} AS MATERIALIZED (SELECT vec_id, p.part, x, w, entry, {far} AS d FROM p JOIN c{r} c ON c.part = p.part),
+a{r} AS MATERIALIZED (SELECT vec_id, part, any_value(x) AS x, any_value(w) AS w, arg_min(entry, d * 256 + entry) AS entry, min(d) AS d FROM f{r} GROUP BY vec_id, part)""")
+        if r < codes.ROUNDS:
+            steps.append(f"""m{r} AS (SELECT part, entry, k, sum(x[k]) AS s, count(*) AS n FROM a{r}, unnest(range(1, w + 1)) t(k) GROUP BY part, entry, k),
+n{r} AS (SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY k) AS c FROM m{r} GROUP BY part, entry),
+c{r + 1} AS MATERIALIZED (SELECT o.part, o.entry, coalesce(n.c, o.c) AS c FROM c{r} o LEFT JOIN n{r} n ON n.part = o.part AND n.entry = o.entry)""")
+    last = codes.ROUNDS
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v, len(embedding) // 4 AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+p AS MATERIALIZED (SELECT vec_id, part, w, v[part * w + 1:part * w + w] AS x FROM kept, unnest(range(0, 4)) t(part)),
+c0 AS MATERIALIZED (SELECT part, x AS c, s.entry FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept) s USING (vec_id) WHERE s.entry < 256),
+{", ".join(steps)},
+e AS (SELECT vec_id, string_agg(lpad(lower(hex(entry)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{last} GROUP BY vec_id),
+b AS (SELECT sha256(string_agg(CAST(c[k] AS VARCHAR), ',' ORDER BY part, entry, k)) AS codebooks_sha256 FROM c{last}, unnest(range(1, len(c) + 1)) t(k))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e JOIN kept USING (vec_id), b
+"""
+
+
+OP12_SQL = _op12_sql()
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.substring_dedup(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -157,8 +192,8 @@ FROM words LEFT JOIN kept USING (doc_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_chat_format, op3_secret_scan, op4_progressive_jpeg, op5_html_extraction, op6_source_mix, op7_quality, op8_toxicity, op9_decontamination, op10_language_id, op13_substring_dedup)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_chat_format, op3_secret_scan, op4_progressive_jpeg, op5_html_extraction, op6_source_mix, op7_quality, op8_toxicity, op9_decontamination, op10_language_id, op12_vector_codes, op13_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op9_decontamination": OP9_SQL, "op13_substring_dedup": OP13_SQL}
+    return {"op2_chat_format": OP2_SQL, "op9_decontamination": OP9_SQL, "op12_vector_codes": OP12_SQL, "op13_substring_dedup": OP13_SQL}
