@@ -15,7 +15,7 @@ The vectors are packed once as blocks of integers; a round reads them, sums each
 
 Defined cases: rows whose vector is null or holds null or non-finite components are left out; a component is held within 2^22
 (2^31 divided by a part's width, where that is less) after scaling; shorter vectors end in zeros, and so does a length that the parts don't
-divide. Null ids come last among the first entries, equal ids by their vectors; repeated rows count each. Nearest ties
+divide (empty vectors are one zero). Null ids come last among the first entries, equal ids by their vectors; repeated rows count each. Nearest ties
 go to the lower entry. Null labels are one label. With fewer rows than entries codebooks are smaller; an empty table gives no codes and empty codebooks.
 Columns beside the three named ones are not read, whatever their names.
 """
@@ -45,12 +45,12 @@ class Parts:
 
     def __init__(self, x: np.ndarray):
         self.x = np.pad(x, ((0, 0), (0, -x.shape[1] % LEVELS[-1]))).astype(np.int64)
-        self.width = max(self.x.shape[1], 1)
+        self.width = self.x.shape[1]
         self.square = (self.x * self.x).sum(axis=1)
         self.sums, self.rest = {}, {}
         for s in LEVELS:
             b = self.width // s
-            sums = self.x.reshape(len(x), s, -1).sum(axis=2)
+            sums = self.x.reshape(len(x), s, b).sum(axis=2)
             # b times the square of the residual is a whole number, so the root has no error but its own.
             self.rest[s] = np.sqrt((b * self.square - (sums * sums).sum(axis=1)).astype(np.float64))
             self.sums[s] = sums.astype(np.float64)
@@ -140,9 +140,9 @@ def compress(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
     `code` holds an entry's number for each part, in hex digits; `error` the squared distances summed over the parts; `label_error` those summed over the label.
     """
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vec_col).alias("vector")).where(finite(F.col("vector")))
-    dims = -(-longest(rows, "vector") // parts) * parts
+    dims = -(-max(longest(rows, "vector"), 1) // parts) * parts
     width = dims // parts
-    limit = min(1 << 22, (1 << 31) // max(width, 1))
+    limit = min(1 << 22, (1 << 31) // width)
     first = rows.orderBy(F.col("id").asc_nulls_last(), "vector").limit(entries).select("vector").collect()
     start = np.zeros((len(first), dims), np.int32)
     for k, row in enumerate(first):

@@ -40,7 +40,7 @@ def _matrix(column: pa.Array, dims: int, scale: int, limit: int) -> np.ndarray:
 
 
 def _block_batches(batches: Iterator[pa.RecordBatch], dims: int, scale: int, limit: int, names: list[str]) -> Iterator[pa.RecordBatch]:
-    most = max(1, BLOCK_INTS // max(dims, 1))
+    most = max(1, BLOCK_INTS // dims)
     held, n = [], 0
 
     def block() -> pa.RecordBatch:
@@ -63,6 +63,7 @@ def _block_batches(batches: Iterator[pa.RecordBatch], dims: int, scale: int, lim
 
 
 def longest(rows: DataFrame, vec_col: str) -> int:
+    """The components of the longest vector."""
     return rows.agg(F.max(F.size(vec_col))).first()[0] or 0
 
 
@@ -75,4 +76,4 @@ def blocks(rows: DataFrame, keep: list[str], vec_col: str, dims: int, scale: int
 
 
 def matrix_of(ints: bytes, dims: int) -> np.ndarray:
-    return np.frombuffer(ints, np.int32).reshape(-1, max(dims, 1))[:, :dims]
+    return np.frombuffer(ints, np.int32).reshape(-1, dims)

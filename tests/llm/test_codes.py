@@ -78,6 +78,8 @@ def test_cases(spark):
     df = spark.createDataFrame([(1, [1e30, -1e30, 0.0, 1.0], 1, 2)], "vec_id long, embedding array<float>, id long, vector long").withColumnRenamed("id", "label")
     found, books = codes.compress(df)
     assert [tuple(r) for r in found.collect()] == [(1, 1, "00000000", 0, 0)] and books.ravel().tolist() == [1 << 22, -(1 << 22), 0, 1024]
+    bare = spark.createDataFrame([(1, [], 1), (2, [], None)], SCHEMA)
+    assert sorted(tuple(r) for r in codes.compress(bare)[0].select("id", "code", "error").collect()) == [(1, "00000000", 0), (2, "00000000", 0)]
     empty, books = codes.compress(df.limit(0))
     assert empty.collect() == [] and books.size == 0
 
