@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, codes, decontamination, html_text, language, media, mixing, quality, repeats, secrets, simhash, toxicity
+from . import chat, codes, decontamination, html_text, language, media, mixing, negatives, quality, repeats, secrets, simhash, toxicity
 from .common import Written, table
 
 
@@ -141,6 +141,26 @@ FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+OP11_SQL = """
+WITH kept AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+scored AS MATERIALIZED (
+  SELECT a.r, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_sum([a.v[k] * b.v[k] for k in range(1, least(len(a.v), len(b.v)) + 1)]) AS BIGINT) AS score
+  FROM kept a JOIN kept b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS n FROM scored WHERE same),
+met AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.r, p.n ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM positives p JOIN scored s ON s.r = p.r AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score WHERE p.n <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM met WHERE rank <= 5
+"""
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
     digest = hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
@@ -192,8 +212,8 @@ FROM words LEFT JOIN kept USING (doc_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_chat_format, op3_secret_scan, op4_progressive_jpeg, op5_html_extraction, op6_source_mix, op7_quality, op8_toxicity, op9_decontamination, op10_language_id, op12_vector_codes, op13_substring_dedup)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_chat_format, op3_secret_scan, op4_progressive_jpeg, op5_html_extraction, op6_source_mix, op7_quality, op8_toxicity, op9_decontamination, op10_language_id, op11_hard_negatives, op12_vector_codes, op13_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op9_decontamination": OP9_SQL, "op12_vector_codes": OP12_SQL, "op13_substring_dedup": OP13_SQL}
+    return {"op2_chat_format": OP2_SQL, "op9_decontamination": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op12_vector_codes": OP12_SQL, "op13_substring_dedup": OP13_SQL}
