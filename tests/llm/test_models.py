@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -297,3 +298,12 @@ def test_addresses(spark):
         assert (r.h, r.s) == (r.host, r.suffix), r
     html = spark.createDataFrame([("<!DOCTYPE html><HTML class=x lang='EN-us'>",), ("<html>lang=fr",), (None,)], "html string")
     assert [r[0] for r in html.select(language.declared_of(F.col("html"))).collect()] == ["en", None, None]
+
+
+def test_pages_of_unclosed_tags_are_read_in_linear_time():
+    """1 MB each; a pattern that looks for the end of every tag takes minutes."""
+    began = time.process_time()
+    for tag in (b"<script ", b"<!--", b"<style>", b"<a ", b"<script></script ", b"&amp"):
+        language.plain(tag * (1_000_000 // len(tag)))
+    assert time.process_time() - began < 5
+    assert language.plain(b"a<script>b</style></SCRIPT >c<!-- <p> -->d<p>e<script x>f") == b"a c d e f"
