@@ -18,12 +18,12 @@ an empty table gives an empty result; only the id, text, owner and repository co
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Written, bounded_batches
@@ -122,15 +122,35 @@ def base_spans(spans):
     return F.filter(spans, lambda s: s["kind"] < KINDS.index("live"))
 
 
-def masked(text, spans, mask: str = "[SECRET]"):
-    """`text` with each of the `spans` (start, end; by start) as one `mask`; spans that overlap share one."""
-    fresh = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+def mask_text(text: str, spans: Iterable[tuple[int, int]], mask: str) -> str:
+    """The text with its spans (by start) masked, cut once at their edges; spans that overlap share one mask."""
+    out, at = [], 0
+    for start, end in spans:
+        if end <= at:
+            continue
+        if start >= at:
+            out += (text[at:start], mask)
+        at = end
+    out.append(text[at:])
+    return "".join(out)
 
-    def add(held, s):
-        gap = F.when(s["start"] >= held["at"], F.concat(F.substr(text, held["at"] + 1, s["start"] - held["at"]), F.lit(mask))).otherwise("")
-        return F.when(s["end"] <= held["at"], held).otherwise(F.struct(F.concat(held["out"], gap).alias("out"), s["end"].alias("at")))
 
-    return F.aggregate(spans, fresh, add, lambda held: F.concat(held["out"], F.substr(text, held["at"] + 1)))
+def masked(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
+    """Column of the texts with each of the `spans` (start, end; by start) as one `mask`; null where the text is."""
+    bounded_batches()
+
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        out = []
+        for t, s in zip(texts, spans):
+            t = t.as_py()
+            if t is not None and s.is_valid:
+                edges = s.values
+                t = mask_text(t, zip(edges.field("start").to_pylist(), edges.field("end").to_pylist()), mask)
+            out.append(t)
+        return pa.array(out, pa.string())
+
+    return cut(text, F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]", **options) -> DataFrame:
@@ -141,5 +161,6 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
     own = lambda c: docs[f"`{c}`"]
     same = own(id_col).eqNullSafe(to_mask["_id"]) & (F.xxhash64(own(text_col)) == to_mask["_digest"])
     text, found = own(text_col), to_mask["_spans"]
-    text = F.when(found.isNull(), text).otherwise(masked(text, found, mask))
+    # Only texts with spans go to Python.
+    text = F.when(found.isNull(), text).otherwise(masked(F.when(found.isNotNull(), text), found, mask))
     return docs.join(to_mask, same, "left").select(*((text if c == text_col else own(c)).alias(c) for c in docs.columns))
