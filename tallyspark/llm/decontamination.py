@@ -10,10 +10,12 @@ Ends of matches give word numbers, and words map back to offsets in the original
 
 The benchmark goes to the executors as the items it is built from, in a broadcast of at most
 `MOST_BYTES` (checked by an aggregation before anything is collected); a worker builds the automaton once. A
-larger benchmark is met by a join instead (`by_join`): the windows of texts and items, as two 64-bit
-hashes each, are shuffled; nothing is broadcast and no size is left out.
+larger benchmark has several automata, each of a part of its items (`in_parts`): one pass of the texts for each, which gives
+back the texts that are hit; their runs and items are then put together. So the same method holds at any size, at a
+scan for each `MOST_BYTES`; an item of more than half of that widens its part.
 
-Defined cases: a null text or item has no words and no windows; repeated items share
+Defined cases: texts of any length are taken whole, one at a time; a word that lies in several windows is hit once, and an item that
+occurs often is named once (no ties); a null text or item has no words and no windows; repeated items share
 windows and each count by id (null ids by no id); repeated documents each have their row; empty tables give
 empty results (no benchmark: no hits); columns beside id and text are carried along, and one of the
 result's name is replaced.
@@ -23,17 +25,16 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import OUT_BYTES, Written, bounded_batches, text_bytes
+from .common import Written, bounded_batches, text_bytes
 from .features import mixed
 
 WINDOW = 10
@@ -206,17 +207,9 @@ def _scanned(column: pa.Array, built: Automaton) -> pa.Array:
     return _result(n, shown, items)
 
 
-def contamination(text, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, most_bytes: int = MOST_BYTES):
-    """Column (n_words, runs, items) of the column `text`: the hit runs, with word numbers and offsets, and the items that occur.
-
-    Raises ValueError for a benchmark over `most_bytes`; `contaminated` takes any.
-    """
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("binary").alias("text")).where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("item"), F.lit(0)))).first()[0] or 0
-    if size > most_bytes:
-        raise ValueError(f"the benchmark has {size} bytes; the automaton takes {most_bytes}")
+def _scan_column(text, held: list[tuple[str | None, bytes]], spark: SparkSession, window: int):
     bounded_batches()
-    shared = Shared(benchmark.sparkSession.sparkContext.broadcast([(r["item"], bytes(r["text"])) for r in items.collect()]), window)
+    shared = Shared(spark.sparkContext.broadcast(held), window)
 
     @F.arrow_udf(RESULT)
     def scanned(texts: pa.Array) -> pa.Array:
@@ -225,58 +218,72 @@ def contamination(text, benchmark: DataFrame, item_col: str = "item_id", item_te
     return scanned(text)
 
 
-def _windows(found: list[bytes], sizes: list[int]) -> tuple[np.ndarray, ...]:
-    """(first word, number of words, two hashes) of the windows of the sizes."""
-    one, two = hashes(found, 1), hashes(found, 2)
-    rows = [(np.arange(len(found) - n + 1), np.full(len(found) - n + 1, n), window_hashes(one, n), window_hashes(two, n)) for n in sizes if n <= len(found)]
-    return tuple(np.concatenate(x) for x in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
+def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("binary").alias("text")).where("text is not null")
+    return items.withColumn("size", F.octet_length("text") + F.coalesce(F.octet_length("item"), F.lit(0)))
 
 
-def _window_batches(batches: Iterator[pa.RecordBatch], sizes: list[int] | None, window: int) -> Iterator[pa.RecordBatch]:
-    """(key, at, n, h1, h2) of each text's windows of the sizes; without sizes, of each item's own."""
-    for b in batches:
-        for k, text in enumerate(text_bytes(b.column(1))):
-            found = words(text)
-            at, n, one, two = _windows(found, [min(window, len(found))] if sizes is None and found else sizes or [])
-            for i in range(0, len(at), OUT_BYTES // 32):
-                part = slice(i, i + OUT_BYTES // 32)
-                key = b.column(0).take(pa.array(np.full(len(at[part]), k)))
-                yield pa.RecordBatch.from_arrays([key, pa.array(at[part].astype(np.int32)), pa.array(n[part].astype(np.int32)), pa.array(one[part].view(np.int64)), pa.array(two[part].view(np.int64))], names=["key", "at", "n", "h1", "h2"])
+def _collected(items: DataFrame) -> list[tuple[str | None, bytes]]:
+    return [(r["item"], bytes(r["text"])) for r in items.select("item", "text").collect()]
 
 
-def by_join(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, name: str = "contamination") -> DataFrame:
-    """What `contaminated` gives, for a benchmark of any size: windows meet in a join on their hashes."""
-    bounded_batches()
+def contamination(text, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, most_bytes: int = MOST_BYTES):
+    """Column (n_words, runs, items) of the column `text`: the hit runs, with word numbers and offsets, and the items that occur.
+
+    Raises ValueError for a benchmark over `most_bytes`; `contaminated` takes any.
+    """
+    items = _items(benchmark, item_col, item_text_col)
+    size = items.agg(F.sum("size")).first()[0] or 0
+    if size > most_bytes:
+        raise ValueError(f"the benchmark has {size} bytes; one automaton takes {most_bytes}")
+    return _scan_column(text, _collected(items), benchmark.sparkSession, window)
+
+
+def parts_of(items: DataFrame, most_bytes: int) -> tuple[DataFrame, int]:
+    """The items with the number of their part, and the number of parts: each has at most `most_bytes`, or twice the largest item where that is more."""
+    items = Written(items.withColumn("key", F.xxhash64(F.monotonically_increasing_id())), "contamination-items").df
+    total, largest = items.agg(F.sum("size"), F.max("size")).first()
+    limit = max(most_bytes, 2 * (largest or 0), 1)
+    n = max(1, -(-2 * (total or 0) // limit))
+    while n > 1 and items.groupBy(F.pmod("key", F.lit(n))).agg(F.sum("size").alias("size")).agg(F.max("size")).first()[0] > limit:
+        n += -(-n // 2)
+    return items.withColumn("part", F.pmod("key", F.lit(n))), n
+
+
+def in_parts(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, name: str = "contamination", most_bytes: int = MOST_BYTES) -> DataFrame:
+    """What `contaminated` gives, for a benchmark of any size: an automaton for each part of it, one pass of the texts each.
+
+    A pass gives back the hit runs and items of the texts that have any, so nothing else is shuffled, and a worker holds one part's automaton at a time.
+    """
     kept = [c for c in docs.columns if c != name]
-    rows = Written(docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("doc"), F.col(f"`{text_col}`").alias("text"), F.monotonically_increasing_id().alias("row")), "contamination-rows").df
-    found = "key {}, at int, n int, h1 long, h2 long"
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
-    items = Written(items.mapInArrow(partial(_window_batches, sizes=None, window=window), found.format("string")).select(F.col("key").alias("item"), "n", "h1", "h2").distinct(), "contamination-items").df
-    sizes = sorted(r["n"] for r in items.select("n").distinct().collect())  # at most `window` of them
-    texts = rows.select("row", "text").mapInArrow(partial(_window_batches, sizes=sizes, window=window), found.format("long")).withColumnRenamed("key", "row")
-    window_key = ["n", "h1", "h2"]
-    hits = Written(texts.join(items.select(window_key).distinct(), window_key, "left_semi"), "contamination-hits").df
-    spots = hits.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("spots"))
-    owned = hits.select("row", *window_key).distinct().join(items.where("item is not null"), window_key).select("row", "item").distinct()
-    owned = owned.groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("doc"), F.col(f"`{text_col}`").alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = Written(rows, "contamination-rows").df
+    items, n = parts_of(_items(benchmark, item_col, item_text_col), most_bytes)
+    hits = None
+    for part in range(n):
+        found = rows.select("row", _scan_column(F.col("text"), _collected(items.where(F.col("part") == part)), docs.sparkSession, window).alias("c"))
+        found = Written(found.select("row", "c.runs", "c.items").where(F.size("runs") > 0), "contamination-hits").df
+        hits = found if hits is None else hits.unionByName(found)
+    gathered = hits.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("spots"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
     @F.arrow_udf(RESULT)
     def shown(texts: pa.Array, spots: pa.Array, items: pa.Array) -> pa.Array:
         n, runs = [], []
         for text, held in zip(text_bytes(texts), spots.to_pylist()):
             n.append(len(words(text)))
-            runs.append(_shown(text, runs_of(n[-1], [(s["at"], s["n"]) for s in held or []])))
+            runs.append(_shown(text, runs_of(n[-1], [(s["first_word"], s["end_word"] - s["first_word"]) for s in held or []])))
         return _result(n, runs, [x or [] for x in items.to_pylist()])
 
-    return rows.join(spots, "row", "left").join(owned, "row", "left").select("doc.*", shown("text", "spots", "items").alias(name))
+    bounded_batches()
+    return rows.join(gathered, "row", "left").select("doc.*", shown("text", "spots", "items").alias(name))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", name: str = "contamination", most_bytes: int = MOST_BYTES, **options) -> DataFrame:
-    """`docs` with the column `name` (n_words, runs, items), by the automaton where the benchmark fits into it and by a join where not."""
-    try:
-        return docs.withColumn(name, contamination(F.col(f"`{text_col}`"), benchmark, most_bytes=most_bytes, **options))
-    except ValueError:
-        return by_join(docs, benchmark, text_col, name=name, **options)
+def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", name: str = "contamination", item_col: str = "item_id", item_text_col: str = "text", most_bytes: int = MOST_BYTES, **options) -> DataFrame:
+    """`docs` with the column `name` (n_words, runs, items), by one automaton where the benchmark fits into it and by several where not."""
+    named = {"item_col": item_col, "item_text_col": item_text_col, "most_bytes": most_bytes, **options}
+    if (_items(benchmark, item_col, item_text_col).agg(F.sum("size")).first()[0] or 0) > most_bytes:
+        return in_parts(docs, benchmark, text_col, name=name, **named)
+    return docs.withColumn(name, contamination(F.col(f"`{text_col}`"), benchmark, **named))
 
 
 def hit_words(runs):
