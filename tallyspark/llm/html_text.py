@@ -2,9 +2,11 @@
 
 A page is read into a tree of block elements (inline elements add their text, links and tags
 to the block around them; unclosed elements end where the next block or their parent does).
-Subtrees that say what they are leave first: scripts, styles, forms, and by element,
-role or a word of class or id: menus, page headers, footers, sidebars, notices, adverts,
-sharing bars and reader comments. One that holds the page's ``article`` or ``main`` stays.
+Subtrees that say what they are leave first, whatever their size: scripts, styles, forms, and by element,
+role or a name in class or id: menus, page headers, footers, sidebars, notices, adverts, sharing bars and reader comments.
+A name counts by its last word ("post-comments", but not "related-story" or "with-sidebar"), and names take
+nothing away from a page that has no other text. What holds the page's ``article`` or ``main`` stays, and so do a form that
+frames a page's parts and the header of an article that has its heading.
 
 For each node: C characters, T tags, LC characters in links, LT link tags, over its subtree. With
 NLC = C - LC and the body's LCb and Cb, its density is
@@ -15,8 +17,9 @@ NLC = C - LC and the body's LCb and Cb, its density is
 node's density sum adds its children's densities. The threshold is the least density on the path
 to the node of the largest sum: with the body for subtrees of prose (a paragraph, or several blocks of
 text), without it for single blocks, such as a bare notice. Under every node that reaches it the node of
-the largest sum is main text, and so are paragraphs and headings beside it. Where a page has ``article``
-or ``main`` elements with text, the topmost of them are the main text instead.
+the largest sum is main text, and so are paragraphs and headings beside it. The topmost ``article`` and ``main`` elements
+with text are the main text as a whole where they hold half of what the densities found or more; else, as teasers, they
+stay beside it.
 
 In a tag a quote opens a value only right behind ``=``, as in ``title="a > b"``; elsewhere, as in
 ``title=don't``, it is a letter like any other, and so is one that nothing closes.
@@ -24,7 +27,7 @@ In a tag a quote opens a value only right behind ``=``, as in ``title="a > b"``;
 Blocks of text in page order, white space as one space, are joined by a blank line.
 
 Defined cases: a null or empty page, or one without text, has empty text; a page that is cut reads as
-if its elements ended; equal pages have equal texts; very long pages are read whole; an
+if its elements ended; equal pages have equal texts; of equal sums the outermost, then first, counts; very long pages are read whole; an
 empty table gives an empty result; other columns are carried along.
 """
 
@@ -64,6 +67,12 @@ NAMES = set(
     "comment comments commentlist commentary discussion disqus replies reply respond feedback".split()
 )
 COMMENT = {"comment", "comments", "commentlist", "discussion", "disqus", "replies", "reply", "respond"}
+#: Words that, at its end, make a name that of a state or of something else: "comments-open", "related-story"; and before it: "with-sidebar".
+FRAMES = set("open opened closed enabled disabled on off ready page site body layout wrapper wrap container content main inner outer story post article entry text".split())
+HAVING = set("with has have no without".split())
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements that a page has and a form of it has not.
+FRAME = {"article", "main", "nav", "header", "footer", "aside", "section", "h1"}
 
 #: A value behind the equals sign of an attribute.
 _VALUE = r"(?:\"[^\"]*\"|'[^']*'|[^\s>]*+)"
@@ -75,7 +84,7 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "names", "role", "chars", "tags", "link_chars", "link_tags", "density", "sum", "main")
+    __slots__ = ("tag", "parent", "parts", "boilerplate", "comment", "role", "chars", "tags", "link_chars", "link_tags", "density", "sum", "main")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent = tag, parent
@@ -84,34 +93,49 @@ class Node:
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
         self.main = False
-        self.names, self.role = frozenset(), ""
+        #: Whether a class or id names it as no main text, and as comments.
+        self.boilerplate = self.comment = False
+        self.role = ""
         if attributes.strip():
-            names: set[str] = set()
             for key, *values in ATTRIBUTE.findall(attributes):
                 value = next((v for v in values if v), "")
                 if key.lower() == "role":
                     self.role = value.lower()
                 elif key.lower() in ("class", "id"):
-                    names.update(w.lower() for w in WORD.findall(value))
-            self.names = frozenset(names)
+                    for name in value.split():
+                        words = [w.lower() for w in WORD.findall(name)]
+                        if words and words[-1] not in FRAMES and HAVING.isdisjoint(words):
+                            self.boilerplate |= not NAMES.isdisjoint(words)
+                            self.comment |= not COMMENT.isdisjoint(words)
 
     def children(self) -> list[Node]:
         return [p for p in self.parts if isinstance(p, Node)]
 
 
 def parse(page: str) -> Node:
-    root = at = Node("body", None)
+    root = Node("body", None)
+    #: The open elements, the root first, and at which depths those of each name stand.
+    path, depths = [root], {}
     links = 0
     end = 0
 
     def add(text: str) -> None:
         if text:
+            at = path[-1]
             at.parts.append(text)
             n = sum(map(len, text.split()))
             at.chars += n
             if links:
                 at.link_chars += n
 
+    def close(depth: int) -> None:
+        """Ends the element at this depth and all inside it."""
+        while len(path) > depth:
+            depths[path.pop().tag].pop()
+
+    def deepest(tags: set[str]) -> int:
+        return max((depths[t][-1] for t in tags if depths.get(t)), default=0)
+
     while m := TOKEN.search(page, end):
         add(html.unescape(page[end : m.start()]))
         end = m.end()
@@ -121,40 +145,35 @@ def parse(page: str) -> Node:
         if m[1]:
             if tag == "a":
                 links = max(0, links - 1)
-            if tag in INLINE or tag in VOID:
-                continue
-            node = at
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                at, links = node.parent, 0
+            if tag not in INLINE and tag not in VOID and depths.get(tag):
+                close(depths[tag][-1])
+                links = 0
             continue
         if tag in RAW:
-            close = RAW_END[tag].search(page, end)
-            end = close.end() if close else len(page)
+            close_tag = RAW_END[tag].search(page, end)
+            end = close_tag.end() if close_tag else len(page)
             continue
-        at.tags += 1
+        path[-1].tags += 1
         if tag == "br" or tag == "hr":
             add(" ")
         if tag == "a":
             links += 1
-            at.link_tags += 1
+            path[-1].link_tags += 1
         if tag in INLINE or tag in VOID:
             continue
         if tag in ENDS:
-            node = at
-            while node is not root and node.tag not in ENDS[tag] and node.tag not in BOUNDS[tag]:
-                node = node.parent
-            if node.tag in ENDS[tag]:
-                at = node.parent
-        elif at.tag == "p" or at.tag in ("h1", "h2", "h3", "h4", "h5", "h6") and tag == at.tag:
-            at = at.parent
-        if at.tag == "p":
-            at = at.parent
+            depth = deepest(ENDS[tag])
+            if depth > deepest(BOUNDS[tag]):
+                close(depth)
+        elif path[-1].tag == "p" or path[-1].tag in HEADINGS and tag == path[-1].tag:
+            close(len(path) - 1)
+        if path[-1].tag == "p":
+            close(len(path) - 1)
         links = 0
-        node = Node(tag, at, m[3])
-        at.parts.append(node)
-        at = node
+        node = Node(tag, path[-1], m[3])
+        path[-1].parts.append(node)
+        depths.setdefault(tag, []).append(len(path))
+        path.append(node)
     add(html.unescape(page[end:]))
     return root
 
@@ -168,34 +187,50 @@ def _walk(root: Node) -> list[Node]:
 
 
 def _is_main(node: Node) -> bool:
-    return node.tag in ("article", "main") and not node.names & COMMENT or node.role == "main"
+    return node.tag in ("article", "main") and not node.comment or node.role == "main"
+
+
+#: Which classes and ids count: all; those of elements that hold no other named one; none.
+ALL, INNERMOST, NONE = range(3)
 
 
-def _leaves(node: Node, chars: dict[int, int], whole: int) -> bool:
+def _leaves(node: Node, inside: bool, holds: tuple[bool, bool, bool, int], names: int) -> bool:
+    """Whether what an element says of itself makes it no main text. `inside`: it stands in an article; `holds`: whether it has
+    parts of a page, headings, names below it, and how many paragraphs; `names`: which classes and ids count."""
+    framed, headed, named, paragraphs = holds
     if node.main:
         return False
+    if node.tag == "form":
+        # The frame of a whole page, as server-side frameworks write it, is no form to fill in.
+        return not framed and paragraphs < 3
+    if node.tag == "header" and inside and not node.role:
+        return not headed
     if node.tag in DROPPED or node.role in ROLES:
         return True
-    # A name alone, as of a wrapper "with-sidebar", takes no half of the article (or page) around it away, and no
-    # comment word two thirds: a thread may be longer than what it comments on.
-    if node.names & COMMENT:
-        return 3 * chars[id(node)] < 2 * whole
-    return node.tag not in ("article", "main") and bool(node.names & NAMES) and 2 * chars[id(node)] < whole
+    return (names == ALL or names == INNERMOST and not named) and (node.boilerplate and node.tag not in ("article", "main") or node.comment)
 
 
 def prune(root: Node) -> None:
     nodes = _walk(root)
-    chars: dict[int, int] = {}
+    holds: dict[int, tuple[bool, bool, bool, int]] = {}
     for node in reversed(nodes):
+        below = node.children()
+        framed = node.tag in FRAME or any(holds[id(c)][0] for c in below)
+        headed = node.tag in HEADINGS or any(holds[id(c)][1] for c in below)
+        named = any(c.boilerplate or c.comment or holds[id(c)][2] for c in below)
+        holds[id(node)] = (framed, headed, named, (node.tag == "p" and node.chars > 0) + sum(holds[id(c)][3] for c in below))
         node.main = _is_main(node) or any(c.main for c in node.children())
-        chars[id(node)] = node.chars + sum(chars[id(c)] for c in node.children())
-    # The text of the article or main around each node's children, else of the page.
-    whole = {id(root): chars[id(root)]}
+    inside = {id(root): False}
     for node in nodes:
-        around = whole[id(node)]
         for c in node.children():
-            whole[id(c)] = chars[id(c)] if _is_main(c) and chars[id(c)] else around
-        node.parts = [p for p in node.parts if isinstance(p, str) or not _leaves(p, chars, around)]
+            inside[id(c)] = inside[id(node)] or _is_main(node)
+    whole = {id(node): node.parts for node in nodes}
+    # Names take nothing away from a page that has no other text.
+    for names in (ALL, INNERMOST, NONE):
+        for node in nodes:
+            node.parts = [p for p in whole[id(node)] if isinstance(p, str) or not _leaves(p, inside[id(p)], holds[id(p)], names)]
+        if any(n.chars for n in _walk(root)):
+            break
 
 
 def weigh(root: Node) -> list[Node]:
@@ -219,27 +254,20 @@ def weigh(root: Node) -> list[Node]:
     return nodes
 
 
-def _aside(node: Node) -> bool:
-    """Whether an element around `node` says that it is no main text."""
-    up = node.parent
-    while up is not None:
-        if up.tag in DROPPED or up.role in ROLES or up.names & COMMENT:
-            return True
-        up = up.parent
-    return False
-
-
 def _mains(nodes: list[Node]) -> list[Node]:
     """The topmost article and main elements with text; those in asides or comments only where there are no others."""
-    found, inside = [], set()
+    found, inside, asides = [], set(), set()
     for node in nodes:
-        if node.parent is not None and id(node.parent) in inside:
+        up = node.parent
+        if up is not None and (id(up) in asides or up.tag in DROPPED or up.role in ROLES or up.comment):
+            asides.add(id(node))
+        if up is not None and id(up) in inside:
             inside.add(id(node))
         elif _is_main(node):
             inside.add(id(node))
             if node.chars:
                 found.append(node)
-    return [n for n in found if not _aside(n)] or found
+    return [n for n in found if id(n) not in asides] or found
 
 
 def _prose(nodes: list[Node]) -> set[int]:
@@ -282,12 +310,9 @@ def _marked(nodes: list[Node]) -> list[Node]:
     return list(chosen.values())
 
 
-def select(root: Node) -> list[Node]:
-    """The nodes whose subtrees are main text, in page order."""
-    nodes = weigh(root)
-    mains = _mains(nodes)
-    if mains:
-        return mains
+def _dense(nodes: list[Node]) -> list[Node]:
+    """What the densities mark, and the prose beside it, in page order."""
+    root = nodes[0]
     chosen = {id(n): n for n in _marked(nodes)}
     around = set()
     for node in chosen.values():
@@ -299,8 +324,12 @@ def select(root: Node) -> list[Node]:
         for c in parent.children():
             if c.chars and id(c) in prose and id(c) not in around and 2 * c.link_chars < c.chars:
                 chosen[id(c)] = c
-    found: list[Node] = []
-    stack = [root]
+    return _topmost(root, set(chosen))
+
+
+def _topmost(root: Node, chosen: set[int]) -> list[Node]:
+    """The chosen nodes that no other holds, in page order."""
+    found, stack = [], [root]
     while stack:
         node = stack.pop()
         if id(node) in chosen:
@@ -310,6 +339,23 @@ def select(root: Node) -> list[Node]:
     return found
 
 
+def select(root: Node) -> list[Node]:
+    """The nodes whose subtrees are main text, in page order.
+
+    The densities say where it is. The page's article and main elements are it as a whole where they hold most of what the
+    densities found; where they don't, as teasers beside the prose, they stay beside what the densities found.
+    """
+    nodes = weigh(root)
+    dense, mains = _dense(nodes), _mains(nodes)
+    if not mains:
+        return dense
+    tops, own = {id(m) for m in mains}, {id(n) for m in mains for n in _walk(m)}
+    held = 0
+    for node in dense:
+        held += node.chars if id(node) in own else sum(n.chars for n in _walk(node) if id(n) in tops)
+    return mains if 2 * held >= sum(n.chars for n in dense) else _topmost(root, tops | {id(n) for n in dense})
+
+
 def blocks(root: Node) -> list[str]:
     found, held = [], []
 

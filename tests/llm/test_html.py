@@ -2,6 +2,7 @@ import html
 import math
 import random
 import re
+import time
 
 import pytest
 
@@ -45,6 +46,14 @@ def test_long_pages_are_read_whole():
     assert main_text("<div>" * 20000 + "deep") == "deep"
 
 
+@pytest.mark.parametrize("opened", ["<div>", "<li>", "<div><li>", "<ul><li>", "<div></span></p>", "<td>", "<form>", "<article><header>", "<div><article>"])
+def test_deep_pages_take_linear_time(opened):
+    """20,000 open elements and as many stray ends; with a walk along the path for each it takes minutes."""
+    began = time.process_time()
+    main_text(opened * 20000 + "deep" + "</div></li></em></section>" * 20000)
+    assert time.process_time() - began < 10
+
+
 def test_query_takes_the_article(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     got = op5_html_extraction(spark, SF).collect()
@@ -72,7 +81,19 @@ WHOLE = {
     "names inside other attributes": (f"<article><div data-class=ad title='id=menu'>{FIVE}</div></article>", [PROSE.strip()] * 5),
     "two articles": (f"<article>{FIVE}</article><div><article><p>Short.</p></article></div>", [PROSE.strip()] * 5 + ["Short."]),
     "heading and lead beside the container": (f"<h1>Title</h1><p>{PROSE}</p><div>{FIVE}</div>", ["Title", *[PROSE.strip()] * 6]),
-    "longer list outside a short article": (f"<article><p>Short.</p></article><div>{FIVE}</div>", ["Short."]),
+    "prose beside a short article": (f"<article><p>Short.</p></article><div>{FIVE}</div>", ["Short.", *[PROSE.strip()] * 5]),
+    "prose before a teaser": (f"<div>{FIVE * 2}</div><div class=teasers><article>A teaser.</article></div>", [PROSE.strip()] * 10 + ["A teaser."]),
+    "a thread longer than the article": (f"<article><h1>H</h1><p>{PROSE}</p></article><div id=comments>{FIVE * 4}</div>", ["H", PROSE.strip()]),
+    "a thread longer than its article, inside": (f"<article><p>{PROSE}</p><section class='post-comments'>{FIVE * 4}</section></article>", [PROSE.strip()]),
+    "a thread without an article": (f"<div><h1>H</h1><p>{PROSE}</p></div><div class='comment-list'>{FIVE * 4}</div>", ["H", PROSE.strip()]),
+    "a long sidebar": (f"<div>{FIVE}</div><div class='sidebar left'>{FIVE * 3}</div>", [PROSE.strip()] * 5),
+    "a long sidebar beside an article": (f"<article>{FIVE}</article><div id=main-sidebar>{FIVE * 3}</div>", [PROSE.strip()] * 5),
+    "a form around the page": (f"<form action=/><input type=hidden><div id=header>Site</div><div><h1>H</h1>{FIVE}</div><div class=footer>f</div></form>", ["H", *[PROSE.strip()] * 5]),
+    "a form around the paragraphs": (f"<form><div>{FIVE}</div><input></form>", [PROSE.strip()] * 5),
+    "a form with an article": (f"<form><article>{FIVE}</article></form>", [PROSE.strip()] * 5),
+    "an article's own header": (f"<header>Site</header><article><header><h1>Title</h1></header>{FIVE}<footer>by me</footer></article>", ["Title", *[PROSE.strip()] * 5]),
+    "an article's header without a heading": (f"<article><header><a href=/>Share</a></header>{FIVE}</article>", [PROSE.strip()] * 5),
+    "a discussion is the page": (f"<div class=discussion><div>{FIVE}</div></div>", [PROSE.strip()] * 5),
     "article teasers in an aside": (f"<main>{FIVE}</main><aside><article><p>{PROSE}</p></article></aside>", [PROSE.strip()] * 5),
 }
 
