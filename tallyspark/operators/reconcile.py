@@ -23,7 +23,7 @@ def profit_and_loss(rows: DataFrame) -> DataFrame:
     """Corrected rows with `issues`.
 
     rows: wide by period, with total_income, total_expenses, finance_costs, depreciation_amortisation,
-    exceptional_items, profit_before_exceptional_items, profit_before_tax, total_tax_expense, profit_after_tax.
+    exceptional_items, profit_before_exceptional_items, profit_before_tax, total_tax_expense, profit_after_tax; and, if told, current_tax and deferred_tax.
     Three signs of layout are undone where only the correction adds up: exceptional items and tax printed with the
     other sign, and expenses printed without finance costs and depreciation.
     """
@@ -31,9 +31,14 @@ def profit_and_loss(rows: DataFrame) -> DataFrame:
     flip = ~close(before + exceptional, pbt) & close(before - exceptional, pbt) & (exceptional != 0)
     rows = rows.withColumn("_exceptional", F.coalesce(flip, F.lit(False)))
     rows = rows.withColumn("exceptional_items", F.when(F.col("_exceptional"), -exceptional).otherwise(exceptional))
-    tax, pat = F.col("total_tax_expense"), F.col("profit_after_tax")
-    flip = ~close(pbt - tax, pat) & close(pbt + tax, pat) & (tax != 0)
-    rows = rows.withColumn("_tax", F.coalesce(flip, F.lit(False))).withColumn("total_tax_expense", F.when(F.coalesce(flip, F.lit(False)), -tax).otherwise(tax))
+    taxes = [c for c in ("total_tax_expense", "current_tax", "deferred_tax") if c in rows.columns]
+    own, pat = [F.col(c) for c in taxes[1:]], F.col("profit_after_tax")
+    # Without a total, what there is of current and deferred tax.
+    parts = F.when(F.coalesce(*own).isNotNull(), sum((F.coalesce(c, F.lit(0)) for c in own), F.lit(0))) if own else F.lit(None)
+    tax = F.coalesce(F.col("total_tax_expense"), parts)
+    flip = F.coalesce(~close(pbt - tax, pat) & close(pbt + tax, pat) & (tax != 0), F.lit(False))
+    rows = rows.withColumn("_tax", flip)
+    rows = rows.withColumns({c: F.when(F.col("_tax"), -F.col(c)).otherwise(F.col(c)) for c in taxes})
     income, expenses = F.col("total_income"), F.col("total_expenses")
     left_out = F.col("finance_costs") + F.col("depreciation_amortisation")
     base = F.coalesce(before, pbt - _zero("exceptional_items"))

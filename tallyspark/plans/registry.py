@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import engine_queries, filing_queries, series, statements, tables  # noqa: F401
+from . import engine_queries, filing_queries, offer_queries, series, statements, tables  # noqa: F401
 from .base import ORACLES, QUERIES
 
 
