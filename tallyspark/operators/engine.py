@@ -12,7 +12,9 @@ from ..catalog.rules import COHORT_BOUNDS, RULES, SEVERITIES, Rule
 from ..functions import periods, statistics
 from ..functions.timeseries import AMOUNT, Grid, amount
 from . import facts as facts_
+from .lineage import written
 
+_RESULTS = "array<struct<applies:boolean,rule_id:string,pack:string,scope:string,outcome:string,severity_rank:int,missing:array<string>,evidence:array<struct<name:string,value:string>>>>"
 FIRED, PASSED, INSUFFICIENT = "fired", "passed", "insufficient_data"
 
 
@@ -76,19 +78,24 @@ def with_cohort_bounds(grid: DataFrame, samples: DataFrame | None = None) -> Dat
 def sound_rules(grid: DataFrame, rules: dict[str, Rule] = RULES) -> tuple[dict[str, Rule], dict[str, str]]:
     """(rules whose conditions the grid can answer, reason by id of the others): one that reads an unknown column or has a type that does not fit is left out alone.
 
-    Only plans are analysed; nothing runs.
+    Only plans are analysed, over a frame of the grid's schema without rows; all rules at once, and one by one only where that fails.
     """
-    good, bad, terms = {}, {}, Terms(Grid())
-    for key, r in rules.items():
+    bare, terms = grid.sparkSession.createDataFrame([], grid.schema), Terms(Grid())
+
+    def told(some: dict[str, Rule]) -> str | None:
         try:
-            conditions = [r.when(terms), *(c(terms) for c, _ in r.escalate)]
-            kinds = {f.dataType.simpleString() for f in grid.select(*(c.alias(f"c{k}") for k, c in enumerate(conditions)), *(F.col(n) for n in r.needs)).schema[: len(conditions)]}
-            if kinds - {"boolean", "void"}:
-                raise AnalysisException(f"a condition is {', '.join(sorted(kinds))}")
-            good[key] = r
+            conditions = [c(terms) for r in some.values() for c in (r.when, *(e for e, _ in r.escalate))]
+            needs = sorted({n for r in some.values() for n in r.needs})
+            fields = bare.select(*(c.alias(f"_{k}") for k, c in enumerate(conditions)), *needs).schema[: len(conditions)]
+            kinds = {f.dataType.simpleString() for f in fields} - {"boolean", "void"}
+            return f"a condition is {', '.join(sorted(kinds))}" if kinds else None
         except AnalysisException as found:
-            bad[key] = str(found).splitlines()[0]
-    return good, bad
+            return str(found).splitlines()[0]
+
+    if told(rules) is None:
+        return dict(rules), {}
+    reasons = {key: told({key: r}) for key, r in rules.items()}
+    return {k: r for k, r in rules.items() if reasons[k] is None}, {k: v for k, v in reasons.items() if v is not None}
 
 
 def rule_outcomes(grid: DataFrame, rules: dict[str, Rule] = RULES, packs: tuple[str, ...] | None = None) -> DataFrame:
@@ -98,10 +105,22 @@ def rule_outcomes(grid: DataFrame, rules: dict[str, Rule] = RULES, packs: tuple[
     the highest of the base and the escalations that hold.
     """
     active = [r for r in rules.values() if r.status == "active" and (packs is None or r.pack in packs)]
+    by_pack: dict[str, list[Rule]] = {}
+    for r in active:
+        by_pack.setdefault(r.pack, []).append(r)
+    found = None
+    for own in by_pack.values():
+        rows = _pack_outcomes(grid, own)
+        found = rows if found is None else found.unionByName(rows)
+    return _pack_outcomes(grid, []) if found is None else found
+
+
+def _pack_outcomes(grid: DataFrame, active: list[Rule]) -> DataFrame:
+    """The outcomes of some rules; of a written grid only the columns that they need are read."""
     terms = Terms(Grid())
     conditions = {f"_when_{k}": r.when(terms) for k, r in enumerate(active)}
     conditions |= {f"_escalate_{k}_{j}": c(terms) for k, r in enumerate(active) for j, (c, _) in enumerate(r.escalate)}
-    grid = grid.withColumns(conditions)
+    grid = grid.withColumns(conditions) if conditions else grid
 
     def result(k: int, r: Rule) -> Column:
         fired = F.col(f"_when_{k}")
@@ -116,11 +135,11 @@ def rule_outcomes(grid: DataFrame, rules: dict[str, Rule] = RULES, packs: tuple[
             F.when(fired, FIRED).when(~fired, PASSED).otherwise(INSUFFICIENT).alias("outcome"),
             (F.greatest(base, *steps) if steps else base).alias("severity_rank"),
             F.when(fired.isNull(), F.array_sort(F.filter(F.array(*(F.when(F.col(n).isNull(), F.lit(n)) for n in r.needs)), lambda x: x.isNotNull()))).otherwise(F.array().cast("array<string>")).alias("missing"),
-            F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).cast("string").alias("value")) for n in r.needs)).alias("evidence"),
+            F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).cast("string").alias("value")) for n in r.needs)).cast("array<struct<name:string,value:string>>").alias("evidence"),
         )
 
-    each = F.filter(F.array(*(result(k, r) for k, r in enumerate(active))), lambda x: x["applies"])
-    rows = grid.where("observed").select("document_id", "kind", "fiscal_year", "part", "end_date", "is_anchor", F.explode(each).alias("_rule")).select("*", "_rule.*").drop("_rule", "applies")
+    each = F.array(*(result(k, r) for k, r in enumerate(active))).cast(_RESULTS)
+    rows = grid.where("observed").select("document_id", "kind", "fiscal_year", "part", "end_date", "is_anchor", F.explode(F.filter(each, lambda x: x["applies"])).alias("_rule")).select("*", "_rule.*").drop("_rule", "applies")
     label = periods.label(F.col("kind"), F.col("fiscal_year"), F.col("part"))
     return rows.withColumn("period", F.when(F.col("scope") == PERIOD, label)).withColumn("severity", severity_name(F.col("severity_rank")))
 
@@ -162,16 +181,26 @@ def ordered(found: DataFrame) -> DataFrame:
     return found.withColumn("position", F.row_number().over(order))
 
 
-def analyse(facts: DataFrame, documents: DataFrame, samples: DataFrame | None = None, peers: bool = False) -> dict[str, DataFrame]:
+def analyse(facts: DataFrame, documents: DataFrame, samples: DataFrame | None = None, peers: bool = False, rules: dict[str, Rule] = RULES) -> dict[str, DataFrame]:
     """The whole engine: issues, grid, metrics, outcomes, latest outcomes and anomalies.
 
-    peers: the documents at hand are each other's cohorts, where no `samples` are given. The grid is persisted, as several of
-    the frames read it; call ``unpersist`` on it when done.
+    peers: the documents at hand are each other's cohorts, where no `samples` are given. A rule that the grid can't answer is
+    an issue (level error, key its id) and costs no other rule. The grid is written to the shared folder with its items, then with its metrics and
+    bounds, as several frames read it: `lineage.release` drops these tables.
     """
     kept, issues = facts_.validate(facts)
-    grid = with_metrics(facts_.grid(kept, documents)).persist()
+    grid = written(facts_.grid(written(kept, "engine-facts"), documents), "engine-items")
+    grid = written(with_metrics(grid), "engine-metrics")
     metrics = metric_rows(grid)
-    samples = baselines(metrics) if peers and samples is None else samples
+    if peers and samples is None:
+        samples = written(baselines(metrics), "engine-samples")
     grid = with_cohort_bounds(grid, samples)
-    outcomes = rule_outcomes(grid)
+    if samples is not None:
+        grid = written(grid, "engine-grid")
+    sound, broken = sound_rules(grid, rules)
+    if broken:
+        none = {c: F.lit(None) for c in ("document_id", "kind", "fiscal_year", "part")}
+        rows = facts.sparkSession.createDataFrame(sorted(broken.items()), "key string, reason string").withColumns(none).withColumn("level", F.lit("error"))
+        issues = issues.unionByName(rows.select(*(F.col(c).cast(issues.schema[c].dataType) for c in issues.columns)))
+    outcomes = rule_outcomes(grid, sound)
     return {"issues": issues, "grid": grid, "metrics": metrics, "outcomes": outcomes, "latest": latest(outcomes), "anomalies": anomalies(metrics, samples)}

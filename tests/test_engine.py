@@ -133,3 +133,21 @@ def test_empty_tables(spark):
     got = engine.analyse(*frames(spark, annual_facts()[:0] or [], ()))
     assert got["latest"].count() == 0 and got["metrics"].count() == 0
     assert len(YEARS) == 43
+
+
+def test_a_broken_rule_costs_only_itself(spark):
+    """One reads a column that isn't there, one has a number for a condition: both are issues, the others' outcomes stand."""
+
+
+    from tallyspark.catalog.rules import Rule
+
+    facts, documents = frames(spark, annual_facts())
+    some = dict(list(RULES.items())[:6])
+    broken = {"BAD-1": Rule("BAD-1", "own", "low", lambda t: F.col("no_such_column") > 0, ()), "BAD-2": Rule("BAD-2", "own", "low", lambda t: F.col("revenue_from_operations") + 1, ())}
+    found = engine.analyse(facts, documents, rules=some | broken)
+    whole = engine.analyse(facts, documents, rules=some)
+    rows = lambda f: sorted((r.document_id, r.rule_id, str(r.period), r.outcome) for r in f["outcomes"].collect())
+    assert rows(found) == rows(whole) != []
+    issues = {(r.key, r.level) for r in found["issues"].where("key like 'BAD%'").collect()}
+    assert issues == {("BAD-1", "error"), ("BAD-2", "error")} and found["issues"].where("key not like 'BAD%'").count() == whole["issues"].count()
+    assert engine.analyse(facts, documents, rules={})["outcomes"].count() == 0
