@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.timeseries import Grid, amount, divide
+from ..functions.timeseries import Grid, amount, divide, rel_diff
 from .items import CRORE, DAYS, DOCUMENT, PERIOD, RATIO, RUPEES, TIMES
 
 # Sectors.
@@ -29,6 +29,8 @@ class Terms:
     def ratio(a: Column, b: Column) -> Column:
         return amount(divide(a, b))
 
+    amount, abs, rel_diff, coalesce = map(staticmethod, (amount, F.abs, rel_diff, F.coalesce))
+
     def yearly(self, x: Column) -> Column:
         return amount(divide(amount(x * 365), F.col("days")))
 
@@ -51,11 +53,11 @@ class Metric:
 
 
 def _ratio(top: str, bottom: str) -> Formula:
-    return lambda t: t.ratio(F.col(top), F.col(bottom))
+    return lambda t: t.ratio(getattr(t, top), getattr(t, bottom))
 
 
 def _growth(name: str) -> Formula:
-    return lambda t: t.grid.growth(F.col(name))
+    return lambda t: t.grid.growth(getattr(t, name))
 
 
 F_, NS = FINANCIALS, NO_STOCK
@@ -76,15 +78,15 @@ METRICS: dict[str, Metric] = {
         # earnings quality
         Metric("other_income_share_of_pbt", "earnings_quality", RATIO, LOWER, _ratio("other_income", "profit_before_tax")),
         Metric("exceptional_items_share_of_pbt", "earnings_quality", RATIO, NEUTRAL, _ratio("exceptional_items", "profit_before_tax")),
-        Metric("effective_tax_rate", "earnings_quality", RATIO, NEUTRAL, lambda t: t.ratio(F.coalesce(t.total_tax_expense, t.current_tax + t.deferred_tax), t.profit_before_tax)),
+        Metric("effective_tax_rate", "earnings_quality", RATIO, NEUTRAL, lambda t: t.ratio(t.coalesce(t.total_tax_expense, t.current_tax + t.deferred_tax), t.profit_before_tax)),
         Metric("cfo_to_pat", "earnings_quality", TIMES, HIGHER, _ratio("net_cash_from_operating_activities", "profit_after_tax"), headline=True),
         Metric("cfo_to_ebitda", "earnings_quality", TIMES, HIGHER, _ratio("net_cash_from_operating_activities", "ebitda"), F_, uses=("ebitda",)),
         Metric("cumulative_cfo_to_pat_3y", "earnings_quality", TIMES, HIGHER, lambda t: t.ratio(t.grid.trailing_sum(t.net_cash_from_operating_activities, 3), t.grid.trailing_sum(t.profit_after_tax, 3))),
         Metric("accruals_ratio", "earnings_quality", RATIO, LOWER, lambda t: t.ratio(t.profit_after_tax - t.net_cash_from_operating_activities, t.grid.avg(t.total_assets))),
         # working capital
-        Metric("dso", "working_capital", DAYS, LOWER, lambda t: amount(t.ratio(t.grid.avg(t.trade_receivables), t.revenue_from_operations) * t.days), F_, True),
-        Metric("dio", "working_capital", DAYS, LOWER, lambda t: amount(t.ratio(t.grid.avg(t.inventories), t.cost_of_goods_sold) * t.days), NS, uses=("cost_of_goods_sold",)),
-        Metric("dpo", "working_capital", DAYS, NEUTRAL, lambda t: amount(t.ratio(t.grid.avg(t.trade_payables), t.cost_of_goods_sold) * t.days), NS, uses=("cost_of_goods_sold",)),
+        Metric("dso", "working_capital", DAYS, LOWER, lambda t: t.amount(t.ratio(t.grid.avg(t.trade_receivables), t.revenue_from_operations) * t.days), F_, True),
+        Metric("dio", "working_capital", DAYS, LOWER, lambda t: t.amount(t.ratio(t.grid.avg(t.inventories), t.cost_of_goods_sold) * t.days), NS, uses=("cost_of_goods_sold",)),
+        Metric("dpo", "working_capital", DAYS, NEUTRAL, lambda t: t.amount(t.ratio(t.grid.avg(t.trade_payables), t.cost_of_goods_sold) * t.days), NS, uses=("cost_of_goods_sold",)),
         Metric("cash_conversion_cycle", "working_capital", DAYS, LOWER, lambda t: t.dso + t.dio - t.dpo, NS, uses=("dso", "dio", "dpo")),
         Metric("net_working_capital", "working_capital", CRORE, NEUTRAL, lambda t: t.trade_receivables + t.inventories - t.trade_payables, F_),
         Metric("unbilled_revenue_share", "working_capital", RATIO, LOWER, lambda t: t.ratio(t.unbilled_revenue, t.trade_receivables + t.unbilled_revenue), F_),
@@ -121,7 +123,7 @@ METRICS: dict[str, Metric] = {
         Metric("roce", "returns", RATIO, HIGHER, lambda t: t.ratio(t.yearly(t.ebit), t.grid.avg(t.capital_employed)), F_, True, uses=("ebit", "capital_employed")),
         Metric("roa", "returns", RATIO, HIGHER, lambda t: t.ratio(t.yearly(t.profit_after_tax), t.grid.avg(t.total_assets))),
         Metric("asset_turnover", "returns", TIMES, HIGHER, lambda t: t.ratio(t.yearly(t.revenue_from_operations), t.grid.avg(t.total_assets)), F_),
-        Metric("implied_eps", "integrity", RUPEES, NEUTRAL, lambda t: t.ratio(amount(F.coalesce(t.profit_attributable_to_owners, t.profit_after_tax) * t.face_value_per_share), F.coalesce(t.paid_up_equity_share_capital, t.equity_share_capital))),
+        Metric("implied_eps", "integrity", RUPEES, NEUTRAL, lambda t: t.ratio(t.amount(t.coalesce(t.profit_attributable_to_owners, t.profit_after_tax) * t.face_value_per_share), t.coalesce(t.paid_up_equity_share_capital, t.equity_share_capital))),
         # offer documents: one value a document, at its anchor
         Metric("ofs_share_of_issue", "issue_structure", RATIO, NEUTRAL, _ratio("offer_for_sale_size", "total_issue_size"), scope=DOCUMENT),
         Metric("gcp_share_of_fresh_issue", "issue_structure", RATIO, LOWER, _ratio("general_corporate_purposes", "fresh_issue_size"), scope=DOCUMENT),

@@ -9,7 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.periods import HALF, NINE_MONTHS, QUARTER, YEAR
-from ..functions.timeseries import rel_diff
 from .items import DOCUMENT, PERIOD
 from .metrics import FINANCIALS, NO_STOCK, Terms
 
@@ -39,11 +38,11 @@ class Rule:
 
 
 def over(name: str, bound) -> Condition:
-    return lambda t: F.col(name) > F.lit(str(bound)).cast("decimal(24,12)")
+    return lambda t: getattr(t, name) > F.lit(str(bound)).cast("decimal(24,12)")
 
 
 def under(name: str, bound) -> Condition:
-    return lambda t: F.col(name) < F.lit(str(bound)).cast("decimal(24,12)")
+    return lambda t: getattr(t, name) < F.lit(str(bound)).cast("decimal(24,12)")
 
 
 def d(x) -> Column:
@@ -54,17 +53,17 @@ def d(x) -> Column:
 def _core() -> list[Rule]:
     fin, ns = FINANCIALS, NO_STOCK
     return [
-        Rule("WC_RECEIVABLES_OUTPACE_REVENUE", "core", "high", lambda t: (t.receivables_growth - t.revenue_growth > d("0.20")) & (t.trade_receivables > d("0.05") * t.revenue_from_operations),
+        Rule("WC_RECEIVABLES_OUTPACE_REVENUE", "core", "high", lambda t: (t.receivables_growth - t.revenue_growth > d("0.20")) & (t.trade_receivables > t.revenue_from_operations * d("0.05")),
              ("receivables_growth", "revenue_growth", "trade_receivables", "revenue_from_operations"), ((under("cfo_to_pat", "0.5"), "critical"),), ADR, exclude=fin),
         Rule("WC_DSO_ELEVATED", "core", "medium", lambda t: (t.dso > t.cohort_p90_dso) & (t.dso > t.grid.prior(t.dso)), ("dso",), (), ADR, exclude=fin),
-        Rule("WC_INVENTORY_BUILDUP", "core", "medium", lambda t: (t.inventory_growth - t.revenue_growth > d("0.25")) & (t.inventories > d("0.05") * t.revenue_from_operations),
+        Rule("WC_INVENTORY_BUILDUP", "core", "medium", lambda t: (t.inventory_growth - t.revenue_growth > d("0.25")) & (t.inventories > t.revenue_from_operations * d("0.05")),
              ("inventory_growth", "revenue_growth", "inventories", "revenue_from_operations"), (), ADR, exclude=ns),
         Rule("WC_UNBILLED_REVENUE_HIGH", "core", "medium", lambda t: (t.unbilled_revenue_share > d("0.40")) & (t.unbilled_revenue_share > t.grid.prior(t.unbilled_revenue_share)), ("unbilled_revenue_share",), (), ADR, exclude=fin),
         Rule("WC_PAYABLES_STRETCHED", "core", "medium", lambda t: t.dpo - t.grid.prior(t.dpo) > d(30), ("dpo",), (), ADR, exclude=ns),
         Rule("LEV_HIGH_DEBT_TO_EQUITY", "core", "medium", lambda t: t.debt_to_equity > t.cohort_p90_debt_to_equity, ("debt_to_equity",), ((over("debt_to_equity", 3), "high"),), exclude=fin),
         Rule("LEV_WEAK_INTEREST_COVERAGE", "core", "high", lambda t: (t.finance_costs > d(0)) & (t.interest_coverage < d("2.5")), ("finance_costs", "interest_coverage"), ((under("interest_coverage", 1), "critical"),), kinds=(YEAR, QUARTER), exclude=fin),
         Rule("LEV_NET_DEBT_TO_EBITDA_HIGH", "core", "high", lambda t: ((t.ebitda > d(0)) & (t.net_debt_to_ebitda > d("3.5"))) | ((t.ebitda <= d(0)) & (t.net_debt > d(0))), ("ebitda", "net_debt_to_ebitda", "net_debt"), exclude=fin),
-        Rule("LEV_DEBT_FUNDED_GROWTH", "core", "medium", lambda t: (t.borrowings_growth > d("0.5")) & (t.total_debt > d("0.25") * t.total_equity) & (t.free_cash_flow < d(0)), ("borrowings_growth", "total_debt", "total_equity", "free_cash_flow"), (), ADR, exclude=fin),
+        Rule("LEV_DEBT_FUNDED_GROWTH", "core", "medium", lambda t: (t.borrowings_growth > d("0.5")) & (t.total_debt > t.total_equity * d("0.25")) & (t.free_cash_flow < d(0)), ("borrowings_growth", "total_debt", "total_equity", "free_cash_flow"), (), ADR, exclude=fin),
         Rule("LIQ_CURRENT_RATIO_BELOW_ONE", "core", "medium", under("current_ratio", 1), ("current_ratio",), kinds=(YEAR, HALF), exclude=fin),
         Rule("PRF_MARGIN_COMPRESSION", "core", "medium", lambda t: t.ebitda_margin - t.grid.prior(t.ebitda_margin) < d("-0.04"), ("ebitda_margin",), ((lambda t: t.ebitda_margin - t.grid.prior(t.ebitda_margin) < d("-0.08"), "high"),), exclude=fin),
         Rule("PRF_EMPLOYEE_COST_OUTPACING_REVENUE", "core", "medium", lambda t: (t.employee_cost_growth - t.revenue_growth > d("0.15")) & (t.employee_cost_ratio > d("0.10")), ("employee_cost_growth", "revenue_growth", "employee_cost_ratio")),
@@ -74,7 +73,7 @@ def _core() -> list[Rule]:
         Rule("EQ_WEAK_THREE_YEAR_CASH_CONVERSION", "core", "high", lambda t: (t.grid.trailing_sum(t.profit_after_tax, 3) > d(0)) & (t.cumulative_cfo_to_pat_3y < d("0.6")), ("profit_after_tax", "cumulative_cfo_to_pat_3y"), (), ADR),
         Rule("EQ_PROFIT_UP_CASH_DOWN", "core", "high", lambda t: (t.pat_growth > d("0.15")) & (t.profit_after_tax > d(0)) & (t.net_cash_from_operating_activities < t.grid.prior(t.net_cash_from_operating_activities)), ("pat_growth", "profit_after_tax", "net_cash_from_operating_activities"), (), ADR),
         Rule("EQ_OTHER_INCOME_DEPENDENCE", "core", "medium", lambda t: (t.profit_before_tax > d(0)) & (t.other_income > d(0)) & (t.other_income_share_of_pbt > d("0.30")), ("profit_before_tax", "other_income", "other_income_share_of_pbt"), ((over("other_income_share_of_pbt", "0.5"), "high"),), kinds=(YEAR, QUARTER)),
-        Rule("EQ_RECURRING_EXCEPTIONAL_ITEMS", "core", "medium", lambda t: t.grid.streak(F.abs(t.exceptional_items) > d("0.01") * t.revenue_from_operations, 3), ("exceptional_items", "revenue_from_operations"), (), ADR),
+        Rule("EQ_RECURRING_EXCEPTIONAL_ITEMS", "core", "medium", lambda t: t.grid.streak(t.abs(t.exceptional_items) > t.revenue_from_operations * d("0.01"), 3), ("exceptional_items", "revenue_from_operations"), (), ADR),
         Rule("EQ_EXCEPTIONAL_GAIN_DRIVES_PROFIT", "core", "medium", lambda t: (t.exceptional_items > d(0)) & (t.profit_before_tax > d(0)) & (t.exceptional_items_share_of_pbt > d("0.25")), ("exceptional_items", "profit_before_tax", "exceptional_items_share_of_pbt"), ((over("exceptional_items_share_of_pbt", "0.5"), "high"),), kinds=(YEAR, QUARTER)),
         Rule("EQ_EFFECTIVE_TAX_RATE_UNUSUAL", "core", "low", lambda t: (t.profit_before_tax > d(0)) & ((t.effective_tax_rate < d("0.15")) | (t.effective_tax_rate > d("0.40"))), ("profit_before_tax", "effective_tax_rate"), (), ADR),
         Rule("EQ_HIGH_ACCRUALS", "core", "medium", lambda t: t.accruals_ratio > t.cohort_p90_accruals_ratio, ("accruals_ratio",), (), ADR, exclude=fin),
@@ -91,18 +90,17 @@ def _core() -> list[Rule]:
 
 def _integrity() -> list[Rule]:
     every = (YEAR, HALF, QUARTER, NINE_MONTHS)
-    tax = lambda t: F.coalesce(t.total_tax_expense, t.current_tax + t.deferred_tax)
-    apart = lambda a, b, bound: rel_diff(a, b) > d(bound)
+    tax = lambda t: t.coalesce(t.total_tax_expense, t.current_tax + t.deferred_tax)
     return [
-        Rule("INT_BALANCE_SHEET_DOES_NOT_BALANCE", "integrity", "high", lambda t: apart(t.total_assets, t.total_equity_and_liabilities, "0.002"), ("total_assets", "total_equity_and_liabilities"), kinds=every),
-        Rule("INT_EQUITY_COMPONENTS", "integrity", "medium", lambda t: apart(t.total_equity, t.equity_share_capital + t.instruments_entirely_equity_in_nature + t.other_equity + t.non_controlling_interest, "0.005"), ("total_equity", "equity_share_capital", "other_equity"), kinds=(YEAR, HALF)),
-        Rule("INT_PROFIT_BRIDGE", "integrity", "medium", lambda t: apart(t.profit_after_tax, t.profit_before_tax - tax(t) + t.share_of_profit_of_associates + t.profit_from_discontinued_operations, "0.01"), ("profit_after_tax", "profit_before_tax"), kinds=every),
-        Rule("INT_TOTAL_INCOME", "integrity", "low", lambda t: apart(t.total_income, t.revenue_from_operations + t.other_income, "0.005"), ("total_income", "revenue_from_operations", "other_income"), kinds=every),
-        Rule("INT_CASH_FLOW_SECTIONS", "integrity", "medium", lambda t: apart(t.net_cash_from_operating_activities + t.net_cash_from_investing_activities + t.net_cash_from_financing_activities, t.net_change_in_cash, "0.02"), ("net_cash_from_operating_activities", "net_cash_from_investing_activities", "net_cash_from_financing_activities", "net_change_in_cash"), kinds=(YEAR, HALF)),
-        Rule("INT_CASH_ROLL_FORWARD", "integrity", "low", lambda t: apart(t.opening_cash_and_equivalents + t.net_change_in_cash, t.closing_cash_and_equivalents, "0.02"), ("opening_cash_and_equivalents", "net_change_in_cash", "closing_cash_and_equivalents"), kinds=(YEAR, HALF)),
-        Rule("INT_CASH_FLOW_VS_BALANCE_SHEET_CASH", "integrity", "low", lambda t: apart(t.closing_cash_and_equivalents, t.cash_and_cash_equivalents, "0.05"), ("closing_cash_and_equivalents", "cash_and_cash_equivalents"), kinds=(YEAR, HALF)),
-        Rule("INT_EPS_INCONSISTENT_WITH_PROFIT", "integrity", "medium", lambda t: (t.eps_basic > d(0)) & (t.implied_eps > d(0)) & apart(t.eps_basic, t.implied_eps, "0.10"), ("eps_basic", "implied_eps"), kinds=(YEAR, QUARTER)),
-        Rule("INT_EPS_GROWTH_DIVERGES_FROM_PROFIT", "integrity", "medium", lambda t: (t.profit_after_tax > d(0)) & (t.grid.prior(t.profit_after_tax) > d(0)) & (F.abs(t.eps_growth - t.pat_growth) > d("0.10")), ("profit_after_tax", "eps_growth", "pat_growth"), kinds=(QUARTER, YEAR)),
+        Rule("INT_BALANCE_SHEET_DOES_NOT_BALANCE", "integrity", "high", lambda t: t.rel_diff(t.total_assets, t.total_equity_and_liabilities) > d("0.002"), ("total_assets", "total_equity_and_liabilities"), kinds=every),
+        Rule("INT_EQUITY_COMPONENTS", "integrity", "medium", lambda t: t.rel_diff(t.total_equity, t.equity_share_capital + t.instruments_entirely_equity_in_nature + t.other_equity + t.non_controlling_interest) > d("0.005"), ("total_equity", "equity_share_capital", "other_equity"), kinds=(YEAR, HALF)),
+        Rule("INT_PROFIT_BRIDGE", "integrity", "medium", lambda t: t.rel_diff(t.profit_after_tax, t.profit_before_tax - tax(t) + t.share_of_profit_of_associates + t.profit_from_discontinued_operations) > d("0.01"), ("profit_after_tax", "profit_before_tax"), kinds=every),
+        Rule("INT_TOTAL_INCOME", "integrity", "low", lambda t: t.rel_diff(t.total_income, t.revenue_from_operations + t.other_income) > d("0.005"), ("total_income", "revenue_from_operations", "other_income"), kinds=every),
+        Rule("INT_CASH_FLOW_SECTIONS", "integrity", "medium", lambda t: t.rel_diff(t.net_cash_from_operating_activities + t.net_cash_from_investing_activities + t.net_cash_from_financing_activities, t.net_change_in_cash) > d("0.02"), ("net_cash_from_operating_activities", "net_cash_from_investing_activities", "net_cash_from_financing_activities", "net_change_in_cash"), kinds=(YEAR, HALF)),
+        Rule("INT_CASH_ROLL_FORWARD", "integrity", "low", lambda t: t.rel_diff(t.opening_cash_and_equivalents + t.net_change_in_cash, t.closing_cash_and_equivalents) > d("0.02"), ("opening_cash_and_equivalents", "net_change_in_cash", "closing_cash_and_equivalents"), kinds=(YEAR, HALF)),
+        Rule("INT_CASH_FLOW_VS_BALANCE_SHEET_CASH", "integrity", "low", lambda t: t.rel_diff(t.closing_cash_and_equivalents, t.cash_and_cash_equivalents) > d("0.05"), ("closing_cash_and_equivalents", "cash_and_cash_equivalents"), kinds=(YEAR, HALF)),
+        Rule("INT_EPS_INCONSISTENT_WITH_PROFIT", "integrity", "medium", lambda t: (t.eps_basic > d(0)) & (t.implied_eps > d(0)) & (t.rel_diff(t.eps_basic, t.implied_eps) > d("0.10")), ("eps_basic", "implied_eps"), kinds=(YEAR, QUARTER)),
+        Rule("INT_EPS_GROWTH_DIVERGES_FROM_PROFIT", "integrity", "medium", lambda t: (t.profit_after_tax > d(0)) & (t.grid.prior(t.profit_after_tax) > d(0)) & (t.abs(t.eps_growth - t.pat_growth) > d("0.10")), ("profit_after_tax", "eps_growth", "pat_growth"), kinds=(QUARTER, YEAR)),
     ]
 
 
@@ -135,9 +133,9 @@ def _quarterly() -> list[Rule]:
         rule("REVENUE_DECLINE_YOY", "high", under("revenue_growth", "-0.10"), ("revenue_growth",)),
         rule("MARGIN_COLLAPSE_QOQ", "high", lambda t: t.ebitda_margin - t.grid.seq(t.ebitda_margin) < d("-0.05"), ("ebitda_margin",), FINANCIALS),
         rule("SWING_TO_LOSS", "high", lambda t: (t.profit_after_tax < d(0)) & (t.grid.prior(t.profit_after_tax) > d(0)), ("profit_after_tax",)),
-        rule("OTHER_INCOME_SPIKE", "medium", lambda t: (t.other_income > d(2) * t.grid.prior(t.other_income)) & (t.profit_before_tax > d(0)) & (t.other_income_share_of_pbt > d("0.25")), ("other_income", "profit_before_tax", "other_income_share_of_pbt")),
-        rule("EXCEPTIONAL_ITEM_MATERIAL", "medium", lambda t: (t.profit_before_tax != d(0)) & (F.abs(t.exceptional_items_share_of_pbt) > d("0.20")), ("profit_before_tax", "exceptional_items_share_of_pbt")),
-        rule("TAX_RATE_SWING", "low", lambda t: (t.profit_before_tax > d(0)) & (t.grid.prior(t.profit_before_tax) > d(0)) & (F.abs(t.effective_tax_rate - t.grid.prior(t.effective_tax_rate)) > d("0.10")), ("profit_before_tax", "effective_tax_rate")),
+        rule("OTHER_INCOME_SPIKE", "medium", lambda t: (t.other_income > t.grid.prior(t.other_income) * d(2)) & (t.profit_before_tax > d(0)) & (t.other_income_share_of_pbt > d("0.25")), ("other_income", "profit_before_tax", "other_income_share_of_pbt")),
+        rule("EXCEPTIONAL_ITEM_MATERIAL", "medium", lambda t: (t.profit_before_tax != d(0)) & (t.abs(t.exceptional_items_share_of_pbt) > d("0.20")), ("profit_before_tax", "exceptional_items_share_of_pbt")),
+        rule("TAX_RATE_SWING", "low", lambda t: (t.profit_before_tax > d(0)) & (t.grid.prior(t.profit_before_tax) > d(0)) & (t.abs(t.effective_tax_rate - t.grid.prior(t.effective_tax_rate)) > d("0.10")), ("profit_before_tax", "effective_tax_rate")),
     ]
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..catalog.items import DAYS, DOCUMENT, PERIOD, RATIO, TIMES
 from ..catalog.metrics import METRICS, Metric, Terms, levels
 from ..catalog.rules import COHORT_BOUNDS, RULES, SEVERITIES, Rule
-from ..functions import periods, statistics
+from ..functions import periods, provenance, statistics
 from ..functions.timeseries import AMOUNT, Grid, amount
 from . import facts as facts_
 from .lineage import written
@@ -115,6 +115,13 @@ def rule_outcomes(grid: DataFrame, rules: dict[str, Rule] = RULES, packs: tuple[
     return _pack_outcomes(grid, []) if found is None else found
 
 
+def _applies(r: Rule) -> Column:
+    """Whether a row is of a document and period that the rule is for."""
+    kinds = F.col("is_anchor") if r.scope == DOCUMENT else F.col("kind").isin(*r.kinds)
+    applies = F.col("doc_type").isin(*r.applies_to) & kinds
+    return applies & ~F.col("sector").isin(*sorted(r.exclude)) if r.exclude else applies
+
+
 def _pack_outcomes(grid: DataFrame, active: list[Rule]) -> DataFrame:
     """The outcomes of some rules; of a written grid only the columns that they need are read."""
     terms = Terms(Grid())
@@ -126,12 +133,8 @@ def _pack_outcomes(grid: DataFrame, active: list[Rule]) -> DataFrame:
         fired = F.col(f"_when_{k}")
         steps = [F.when(F.col(f"_escalate_{k}_{j}"), severity_rank(s)).otherwise(severity_rank(r.severity)) for j, (_, s) in enumerate(r.escalate)]
         base = F.lit(severity_rank(r.severity))
-        kinds = F.col("is_anchor") if r.scope == DOCUMENT else F.col("kind").isin(*r.kinds)
-        applies = F.col("doc_type").isin(*r.applies_to) & kinds
-        if r.exclude:
-            applies = applies & ~F.col("sector").isin(*sorted(r.exclude))
         return F.struct(
-            applies.alias("applies"), F.lit(r.id).alias("rule_id"), F.lit(r.pack).alias("pack"), F.lit(r.scope).alias("scope"),
+            _applies(r).alias("applies"), F.lit(r.id).alias("rule_id"), F.lit(r.pack).alias("pack"), F.lit(r.scope).alias("scope"),
             F.when(fired, FIRED).when(~fired, PASSED).otherwise(INSUFFICIENT).alias("outcome"),
             (F.greatest(base, *steps) if steps else base).alias("severity_rank"),
             F.when(fired.isNull(), F.array_sort(F.filter(F.array(*(F.when(F.col(n).isNull(), F.lit(n)) for n in r.needs)), lambda x: x.isNotNull()))).otherwise(F.array().cast("array<string>")).alias("missing"),
@@ -144,6 +147,60 @@ def _pack_outcomes(grid: DataFrame, active: list[Rule]) -> DataFrame:
     return rows.withColumn("period", F.when(F.col("scope") == PERIOD, label)).withColumn("severity", severity_name(F.col("severity_rank")))
 
 
+def with_provenance(grid: DataFrame) -> DataFrame:
+    """The grid of `with_metrics` with ``missing_``, ``inputs_`` and ``notes_`` of every metric: the facts and reasons that it lacks, what it has read, remarks in their order.
+
+    A metric's arrays hold those of the metrics below it, so they are added level by level; arrays of another period come from its row.
+    """
+    terms, empty = provenance.TracedTerms(Grid()), provenance.none()
+    for level in levels():
+        added = {}
+        for m in level:
+            found = m.formula(terms)
+            arrays = {"missing": F.when(F.col(m.key).isNull(), provenance.union(found.missing)).otherwise(empty), "inputs": provenance.union(found.inputs), "notes": provenance.union(found.notes)}
+            for name, array in arrays.items():
+                if m.scope == DOCUMENT:
+                    array = F.coalesce(F.max(F.when(F.col("is_anchor"), array)).over(Window.partitionBy("document_id")), empty)
+                if m.exclude:
+                    unfit = F.array(F.concat(F.lit(f"{m.key} is not meaningful for "), "sector", F.lit(" companies"))) if name == "missing" else empty
+                    array = F.when(F.col("sector").isin(*sorted(m.exclude)), unfit).otherwise(array)
+                added[f"{name}_{m.key}"] = array
+        grid = grid.withColumns(added)
+    return grid
+
+
+def metric_provenance(grid: DataFrame) -> DataFrame:
+    """(document_id, metric, kind, fiscal_year, part, missing, inputs, notes) of every metric in observed periods, missing ones too; document metrics at the anchor."""
+    sorted_ = lambda c: F.array_sort(F.col(c))
+    each = F.array(*(F.struct(F.lit(m.key).alias("metric"), F.lit(m.scope).alias("scope"), F.col(m.key).alias("value"), sorted_(f"missing_{m.key}").alias("missing"), sorted_(f"inputs_{m.key}").alias("inputs"), F.col(f"notes_{m.key}").alias("notes")) for m in METRICS.values()))
+    rows = grid.where("observed").select("document_id", "kind", "fiscal_year", "part", "is_anchor", F.explode(each).alias("_m")).select("*", "_m.*").drop("_m")
+    return rows.where((F.col("scope") == PERIOD) | F.col("is_anchor")).drop("is_anchor", "scope")
+
+
+def rule_provenance(grid: DataFrame, rules: dict[str, Rule] = RULES) -> DataFrame:
+    """(document_id, rule_id, kind, fiscal_year, part, end_date, missing, inputs, notes) of the outcomes of `rule_outcomes`: what an insufficient one lacks, down to facts.
+
+    grid: of `with_provenance`, with cohort bounds.
+    """
+    terms, found, by_pack = provenance.TracedTerms(Grid()), None, {}
+    for r in rules.values():
+        if r.status == "active":
+            by_pack.setdefault(r.pack, []).append(r)
+    for own in by_pack.values():
+        traced = {r.id: r.when(terms) for r in own}
+        added = {f"_{name}_{k}": provenance.union(getattr(traced[r.id], name)) for k, r in enumerate(own) for name in ("missing", "inputs", "notes")}
+        added |= {f"_when_{k}": traced[r.id].value for k, r in enumerate(own)}
+
+        def told(k: int, r: Rule) -> Column:
+            missing = F.when(F.col(f"_when_{k}").isNull(), F.array_sort(F.col(f"_missing_{k}"))).otherwise(provenance.none())
+            return F.struct(_applies(r).alias("applies"), F.lit(r.id).alias("rule_id"), missing.alias("missing"), F.array_sort(F.col(f"_inputs_{k}")).alias("inputs"), F.col(f"_notes_{k}").alias("notes"))
+
+        each = F.filter(F.array(*(told(k, r) for k, r in enumerate(own))), lambda x: x["applies"])
+        rows = grid.withColumns(added).where("observed").select("document_id", "kind", "fiscal_year", "part", "end_date", F.explode(each).alias("_r")).select("*", "_r.*").drop("_r", "applies")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 def latest(outcomes: DataFrame, keys: tuple[str, ...] = ("document_id", "rule_id")) -> DataFrame:
     """The last outcome by end date (of equal dates the anchor's), with the periods that fired so far."""
     last = F.max_by(F.struct("outcome", "severity", "severity_rank", "period", "evidence", "missing", "pack"), F.struct("end_date", "is_anchor"))

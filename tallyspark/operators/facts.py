@@ -64,7 +64,7 @@ def _same_period(a: DataFrame, b: DataFrame) -> Column:
 
 
 def grid(facts: DataFrame, documents: DataFrame) -> DataFrame:
-    """The wide grid: spine, calendar, `observed`, `is_anchor`, and every item as a column.
+    """The wide grid: spine, calendar, `observed`, `is_anchor`, every item as a column, and `nil_items`, those read as nil.
 
     A balance is found under any label with the same end date, of the longest period that has it.
     An item that is nil if absent is zero where its statement was reported: flows under that label,
@@ -85,12 +85,14 @@ def grid(facts: DataFrame, documents: DataFrame) -> DataFrame:
     rows = with_calendar(spine(by_label.select(*PERIOD_KEYS)).join(documents, "document_id"))
     rows = rows.alias("r").join(by_label.alias("l"), _same_period(rows, by_label), "left").select("r.*", F.coalesce("l.observed", F.lit(False)).alias("observed"), *(f"l.{c}" for c in by_label.columns[5:]))
     rows = rows.join(by_date, ["document_id", "end_date"], "left").join(of_document, "document_id", "left")
-    nil = {}
+    nil, read_as_nil = {}, {}
     for i in by_scope[PERIOD]:
         reported = F.col(f"_{'date' if i.nature == STOCK else 'label'}_{i.statement}") if i.nil_if_absent else None
         if reported is not None:
             nil[i.key] = F.coalesce(F.col(i.key), F.when(reported, F.lit(0).cast(AMOUNT)))
-    rows = rows.withColumns(nil).drop(*(f"_{x}_{s}" for x in ("label", "date") for s in statements))
+            read_as_nil[i.key] = F.coalesce(reported, F.lit(False))
+    absent = F.array(*(F.when(F.col(k).isNull() & filled, F.lit(k)) for k, filled in read_as_nil.items()))
+    rows = rows.withColumn("nil_items", F.filter(absent, lambda k: k.isNotNull())).withColumns(nil).drop(*(f"_{x}_{s}" for x in ("label", "date") for s in statements))
     return rows.withColumn("is_anchor", anchor())
 
 
