@@ -9,6 +9,7 @@ from ..functions import periods
 from ..functions.timeseries import AMOUNT
 from ..operators import engine
 from ..operators import facts as facts_
+from ..operators.lineage import written
 from .base import quarters, query, rounded, table
 
 #: Items and the share of the quarter's revenue, tax, receivables or returned goods that stands for them, in hundredths.
@@ -52,3 +53,22 @@ def engine_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Against each document's own history and its cohort without itself."""
     found = engine.analyse(*derived_facts(spark, sf_dir), peers=True)["anomalies"]
     return found.select("document_id", "metric", "basis", "direction", rounded(F.col("score")).alias("score"), "n")
+
+
+@query("""
+WITH o AS (SELECT c.c_nationkey AS e, (year(CAST(o_orderdate AS DATE)) * 12 + month(CAST(o_orderdate AS DATE)) - 1 + 9) // 3 AS q FROM orders JOIN customer c ON c_custkey = o_custkey),
+quarters AS (SELECT DISTINCT e, 'quarter' AS kind, q // 4 AS fy, q % 4 + 1 AS part, q AS s FROM o),
+years AS (SELECT e, 'year' AS kind, fy, CAST(NULL AS BIGINT) AS part, fy AS s FROM quarters GROUP BY e, fy HAVING count(*) = 4),
+p AS (SELECT *, CASE WHEN part IS NULL THEN '' ELSE 'Q' || part END || 'FY' || lpad(CAST(fy % 100 AS VARCHAR), 2, '0') AS label FROM (SELECT * FROM quarters UNION ALL SELECT * FROM years)),
+reads AS (
+  SELECT p.*, 'revenue_growth' AS metric, CASE WHEN part IS NULL THEN '' ELSE 'Q' || part END || 'FY' || lpad(CAST((fy - 1) % 100 AS VARCHAR), 2, '0') AS other, EXISTS (SELECT 1 FROM p b WHERE b.e = p.e AND b.kind = p.kind AND b.fy = p.fy - 1 AND b.part IS NOT DISTINCT FROM p.part) AS has FROM p
+  UNION ALL
+  SELECT p.*, 'revenue_growth_qoq', CASE WHEN part IS NULL THEN 'FY' || lpad(CAST((fy - 1) % 100 AS VARCHAR), 2, '0') ELSE 'Q' || ((s - 1) % 4 + 1) || 'FY' || lpad(CAST(((s - 1) // 4) % 100 AS VARCHAR), 2, '0') END, EXISTS (SELECT 1 FROM p b WHERE b.e = p.e AND b.kind = p.kind AND b.s = p.s - 1) FROM p)
+SELECT CAST(e AS VARCHAR) AS document_id, metric, kind, CAST(fy AS INTEGER) AS fiscal_year, CAST(coalesce(part, 0) AS INTEGER) AS part, CASE WHEN has THEN '' ELSE 'f:revenue_from_operations@' || other END AS missing,
+  CASE WHEN has THEN least('f:revenue_from_operations@' || label, 'f:revenue_from_operations@' || other) || ',' || greatest('f:revenue_from_operations@' || label, 'f:revenue_from_operations@' || other) ELSE 'f:revenue_from_operations@' || label END AS inputs FROM reads""")
+def metric_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What growth on the year and on the period before lacks and reads, down to facts, in every reported period."""
+    kept, _ = facts_.validate(derived_facts(spark, sf_dir)[0])
+    grid = engine.with_metrics(written(facts_.grid(written(kept, "gaps-facts"), derived_facts(spark, sf_dir)[1]), "gaps-items"))
+    found = engine.metric_provenance(engine.with_provenance(grid)).where(F.col("metric").isin("revenue_growth", "revenue_growth_qoq"))
+    return found.select("document_id", "metric", "kind", "fiscal_year", F.coalesce("part", F.lit(0)).alias("part"), F.array_join("missing", ",").alias("missing"), F.array_join("inputs", ",").alias("inputs"))
