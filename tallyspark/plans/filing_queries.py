@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import periods, printed
 from ..functions.timeseries import AMOUNT
-from ..operators import evidence, facts, layout, reconcile, retrieval
+from ..operators import evidence, facts, labels, layout, reconcile, retrieval
 from ..sources import filings
 from .base import over_quarters, quarters, query, table
 from .tables import WORDS_SQL
@@ -128,3 +128,20 @@ def figures_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     figure = F.when(seq % 2 == 0, F.col("display")).otherwise(F.replace("display", F.lit(" cr"), F.lit(" crore")))
     texts = shown.select("document_id", seq.alias("text_id"), F.concat(F.lit("It sold "), figure, F.lit(" of goods, {{m:x}} kept, 7.77% unknown.")).alias("text"))
     return evidence.linked(texts, shown).select(F.col("document_id").alias("entity"), F.col("text_id").alias("seq_index"), "linked")
+
+
+@query("""
+WITH l AS (SELECT p_partkey, 's' || p_size % 2 AS st, list_sort(list_distinct(list_filter([lower(p_type), split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), CASE WHEN p_size % 3 = 0 THEN 'brand' END, CASE WHEN p_size % 5 = 0 THEN 'spare' END, CASE WHEN p_size % 15 = 0 THEN 'kept' END], lambda x: x IS NOT NULL))) AS w FROM part),
+n AS (SELECT DISTINCT 's' || p_size % 2 AS st, p_type || ' ' || p_name AS name, list_sort(list_distinct([lower(p_type), split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)])) AS v FROM part WHERE p_brand <> 'Brand#1'),
+u AS (SELECT DISTINCT st, w FROM l),
+s AS (SELECT u.st, w, name, v, CAST(len(list_intersect(w, v)) AS DOUBLE) / len(list_distinct(list_concat(w, v))) AS score, len(list_intersect(w, v)) = len(v) AS held FROM u JOIN n ON n.st = u.st),
+b AS (SELECT *, row_number() OVER (PARTITION BY st, w ORDER BY score DESC, name) AS k FROM s WHERE score >= 0.8 OR (held AND score >= 0.5))
+SELECT p_partkey, name AS key, round(score, 3) AS score FROM l JOIN b ON b.st = l.st AND b.w = l.w WHERE k = 1""")
+def label_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part's label, with qualifying words in some, against the names of the parts of its group."""
+    part = table(spark, sf_dir, "part")
+    group, size = F.concat(F.lit("s"), (F.col("p_size") % 2).cast("string")), F.col("p_size")
+    label = F.concat_ws(" ", "p_type", "p_name", F.when(size % 3 == 0, "Brand"), F.when(size % 5 == 0, "spare"), F.when(size % 15 == 0, "kept (refer note 7)"))
+    names = part.where("p_brand <> 'Brand#1'").select(group.alias("statement"), F.concat_ws(" ", "p_type", "p_name").alias("key")).distinct().select("statement", "key", F.col("key").alias("name"), F.lit(0).alias("rank"))
+    found = labels.match(part.select(F.col("p_partkey").alias("label_id"), group.alias("statement"), label.alias("label")), names)
+    return found.select(F.col("label_id").alias("p_partkey"), "key", "score")

@@ -316,7 +316,7 @@ hits AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, ch
 def _bm25(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("query_text"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return retrieval.ranked(retrieval.bm25_search(asked, docs).withColumn("score", rounded(F.col("score"))), limit)
+    return retrieval.bm25_top(asked, docs, limit)
 
 
 @query(BM25_SQL + " SELECT CAST(query AS BIGINT) AS query, CAST(chunk AS BIGINT) AS chunk, CAST(rank AS INTEGER) AS rank, score FROM hits WHERE rank <= 10")
@@ -332,9 +332,8 @@ hits AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, ch
 def _cosine(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
     """A stated set of queries against all vectors."""
     e = table(spark, sf_dir, "embeddings")
-    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    pairs = e.join(asked, F.col("vec_id") != F.col("query")).select("query", F.col("vec_id").alias("chunk"), F.round(retrieval.cosine(F.col("q"), F.col("embedding")), 9).alias("score"))
-    return retrieval.ranked(pairs, limit)
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    return retrieval.nearest(asked, e.select(F.col("vec_id").alias("chunk"), F.col("embedding").alias("vector")), limit)
 
 
 @query(COSINE_SQL + " SELECT query, chunk, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM hits WHERE rank <= 5")
@@ -345,9 +344,12 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(COSINE_SQL + """, other AS (SELECT query, chunk, row_number() OVER (PARTITION BY query ORDER BY chunk) AS rank FROM s)
 SELECT query, chunk, round(sum(w / (60 + rank)), 6) AS score FROM (SELECT query, chunk, rank, 1.0 AS w FROM hits WHERE rank <= 20 UNION ALL SELECT query, chunk, rank, 0.5 FROM other WHERE rank <= 20) GROUP BY ALL""")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = _cosine(spark, sf_dir, 1 << 30)
-    other = every.withColumn("score", -F.col("chunk").cast("double"))
-    found = retrieval.fuse((every.where("rank <= 20"), 1.0), (retrieval.ranked(other.drop("rank")), 0.5))
+    """The nearest vectors fused with the first by number, of which any query's 20 are among the first 21."""
+    e = table(spark, sf_dir, "embeddings")
+    first = [r.vec_id for r in e.select("vec_id").orderBy("vec_id").limit(21).collect()]
+    each = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.explode(F.array(*map(F.lit, first))).alias("chunk")).where("query <> chunk")
+    other = retrieval.ranked(each.withColumn("score", -F.col("chunk").cast("double")))
+    found = retrieval.fuse((_cosine(spark, sf_dir, 20), 1.0), (other, 0.5))
     return found.select("query", "chunk", rounded(F.col("score")).alias("score"))
 
 
