@@ -13,8 +13,8 @@ A source whose target is under `FINEST` blocks is counted in finer blocks of its
 
 A source has a shard for each `rows_per_shard` rows, `MOST_SHARDS` at most, so none is a hot group (a shard's window
 sorts four numbers a row). Rows are dealt by id and text, so neither null nor repeated ids make one; only rows alike in
-both stay together. To the driver goes one row per source, counts only (some 100 bytes); shards are apportioned on the
-executors, a source's shards in one group of at most `MOST_SHARDS` rows. Targets that exceed
+both stay together. Sources may be any number: their targets and seats are aggregates over a table of them (`apportion`); shards are
+apportioned on the executors, a source's shards in one group of at most `MOST_SHARDS` rows. Targets that exceed
 `cap` times their source's words are cut to that, the excess is shared again by weight.
 
 Defined cases: a null text has size 0 and is never taken; null sources are one source, the
@@ -25,13 +25,13 @@ empty result; columns beside id, text and source are not read.
 from __future__ import annotations
 
 import heapq
-import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import apportion
 from .common import Written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,24 +47,6 @@ MOST_BROADCAST = 20_000
 SEED = 17
 
 
-def targets(sizes: list[int], weights: list[float], total: float, cap: float = CAP) -> list[float]:
-    """Words per source: shares of `total` by weight, none above `cap` times its size."""
-    found = [0.0] * len(sizes)
-    free, left = set(range(len(sizes))), float(total)
-    while free:
-        weight = sum(weights[k] for k in free)
-        over = {k for k in free if weight <= 0 or left * weights[k] / weight > cap * sizes[k]}
-        if not over:
-            for k in free:
-                found[k] = left * weights[k] / weight
-            break
-        for k in over:
-            found[k] = float(cap * sizes[k])
-        left -= sum(found[k] for k in over)
-        free -= over
-    return found
-
-
 def sainte_lague(votes, seats: int, most=None) -> np.ndarray:
     """Seats by the highest quotients votes/1, votes/3, votes/5 ...; none gets over its `most`; ties by position."""
     votes = np.asarray(votes, float)
@@ -100,33 +82,18 @@ def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, *carry)
     return docs.select(quoted(id_col).alias("id"), F.xxhash64(quoted(text_col)).alias("digest"), quoted(source_col).alias("source"), size.alias("size"), *carry)
 
 
-def source_quotas(words: list[int], aims: list[float], block_tokens: int, cap: int) -> list[tuple[int, int]]:
-    """(tokens of a block, number of blocks) of each source: equal blocks by highest quotients; sources too small for them have blocks of their own."""
-    blocks = [block_tokens if a >= FINEST * block_tokens else max(1, int(a / FINEST)) for a in aims]
-    large = [k for k, b in enumerate(blocks) if b == block_tokens]
-    most = [cap * -(-n // b) for n, b in zip(words, blocks)]
-    seats = sainte_lague([aims[k] for k in large], round(sum(aims[k] for k in large) / block_tokens), [most[k] for k in large]).tolist() if large else []
-    found = {k: int(n) for k, n in zip(large, seats)}
-    return [(b, found.get(k, min(m, round(a / b)))) for k, (a, b, m) in enumerate(zip(aims, blocks, most))]
-
-
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: int = CAP, block_tokens: int = BLOCK_TOKENS, rows_per_shard: int = ROWS_PER_SHARD, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, size, source_size, target, taken) of each row, and the columns of `docs` that `carry` names, as a struct `row`.
 
     weights: of the sources by code point, null last, repeating.
     """
-    spark = docs.sparkSession
+    apportion.check_weights(weights)
     sized = Written(sizes(docs, id_col, text_col, source_col), "mix-sizes").df
-    sources = sized.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("words")).collect()
-    sources = sorted(sources, key=lambda r: (r["source"] is None, r["source"]))
-    words = [r["words"] for r in sources]
-    aims = targets(words, [weights[k % len(weights)] for k in range(len(sources))], sum(words), cap)
-    quotas = source_quotas(words, aims, block_tokens, cap)
-
-    rows = [(k, r["source"], min(MOST_SHARDS, math.ceil(r["rows"] / rows_per_shard)), r["words"], a, b, q) for k, (r, a, (b, q)) in enumerate(zip(sources, aims, quotas))]
-    source_type = sized.schema["source"].dataType.simpleString()
-    by_source = spark.createDataFrame(rows, f"k long, name {source_type}, shards long, source_size long, target double, block long, quota long")
-    if len(rows) <= MOST_BROADCAST:
+    sources = sized.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("words"))
+    by_source, n_sources = apportion.plan(sources, weights, cap, block_tokens, FINEST)
+    shards = F.least(F.lit(MOST_SHARDS), F.ceil(F.col("rows") / rows_per_shard)).alias("shards")
+    by_source = by_source.select("k", F.col("source").alias("name"), shards, F.col("words").alias("source_size"), "target", "block", "quota")
+    if n_sources <= MOST_BROADCAST:
         by_source = F.broadcast(by_source)
 
     def place(rows: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@ import heapq
 import numpy as np
 import pytest
 
-from tallyspark.llm import mixing
+from pyspark.sql import functions as F
+
+from tallyspark.llm import apportion, mixing
 from tallyspark.llm.queries import op6_source_mix
 
 
@@ -30,11 +32,51 @@ def test_apportionment_equals_the_slow_one(seed):
     assert mixing.sainte_lague(votes, seats, most).tolist() == slow_seats(votes, seats, most)
 
 
-def test_targets_share_the_excess():
-    assert mixing.targets([10, 1000], [5, 2], 1010) == [30, 980]
-    assert mixing.targets([], [], 0) == [] and mixing.targets([0, 0], [5, 2], 0) == [0, 0]
-    got = mixing.targets([1, 2, 997], [5, 2, 1], 1000)
-    assert got == [3, 6, 991]
+def slow_targets(words, weights, total, cap=3):
+    """Words per source: cut and shared again until none is above its cap."""
+    found, free, left = [0.0] * len(words), set(range(len(words))), float(total)
+    while free:
+        weight = sum(weights[k] for k in free)
+        over = {k for k in free if weight <= 0 or left * weights[k] / weight > cap * words[k]}
+        for k in over or free:
+            found[k] = float(cap * words[k]) if over else left * weights[k] / weight
+        if not over:
+            break
+        left -= sum(found[k] for k in over)
+        free -= over
+    return found
+
+
+@pytest.mark.parametrize("words,weights,total", [([10, 1000], [5, 2], 1010), ([0, 0], [5, 2], 0), ([1, 2, 997], [5, 2, 1], 1000), ([5, 5, 5], [1, 0, 0], 15), ([7] * 40, [5, 2, 1] * 14, 280), ([1, 10, 100, 1000, 10000], [100, 50, 9, 3, 1], 11111)])
+def test_targets_share_the_excess(spark, words, weights, total):
+    rows = spark.createDataFrame([(k, w, float(g)) for k, (w, g) in enumerate(zip(words, weights))], "k long, words long, weight double")
+    got = [r.target for r in apportion.with_targets(rows, total, 3).orderBy("k").collect()]
+    assert got == pytest.approx(slow_targets(words, weights, total))
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_seats_of_a_table_equal_the_slow_ones(spark, seed):
+    """Ties, caps and many alike."""
+    r = np.random.default_rng(seed)
+    votes = r.integers(0, 40 if seed % 2 else 3, r.integers(1, 60)).astype(float).tolist() + [1000.0] * (seed % 3)
+    most, seats = r.integers(0, 30, len(votes)).tolist(), int(r.integers(0, 400))
+    rows = spark.createDataFrame([(k, v, m) for k, (v, m) in enumerate(zip(votes, most))], "k long, votes double, most long")
+    assert [x.seats for x in apportion.with_seats(rows, seats).orderBy("k").collect()] == slow_seats(votes, seats, most)
+
+
+def test_numbers_follow_the_order(spark):
+    rows = spark.createDataFrame([(f"s{k * 7919 % 3000:04d}",) for k in range(3000)] + [(None,), ("",)], "source string").repartition(7)
+    got = [r.source for r in apportion.numbered(rows, [F.col("source").isNull(), F.col("source")]).orderBy("k").collect()]
+    assert got == ["", *(f"s{k:04d}" for k in range(3000)), None]
+
+
+def test_many_sources(spark):
+    """Hosts as sources: each has a target and takes it."""
+    rows = [(k, "word " * (1 + k % 9), f"host{k % 2500}", None, 0) for k in range(5000)]
+    got = mixed(docs(spark, rows))
+    found = check(got)
+    words = [found[s][0] for s in sorted(found)]
+    assert len(found) == 2500 and [found[s][2] for s in sorted(found)] == pytest.approx(slow_targets(words, ([5, 2, 1] * 834)[:2500], sum(words)))
 
 
 def check(rows, cap=3):
@@ -89,11 +131,16 @@ def test_empty_tables_and_texts(spark):
     assert sorted(r.taken for r in twice) == [3, 3]
 
 
-def test_one_small_source_changes_no_other():
-    words = [400_000, 300_000, 50]
-    alone, beside = (mixing.source_quotas(words[:n], [5e5, 2e5, 20.0][:n], 256, 3) for n in (2, 3))
-    assert beside[:2] == alone and [b for b, _ in beside] == [256, 256, 1] and beside[2][1] == 20
-    assert sum(n for _, n in alone) == round(7e5 / 256)
+def test_one_small_source_changes_no_other(spark):
+    """A source of few words has blocks of its own; the others' stay as they are."""
+    def told(n):
+        rows = [(name, 1, w) for name, w in (("a", 500_000), ("b", 200_000), ("c", 7))][:n]
+        plan, _ = apportion.plan(spark.createDataFrame(rows, "source string, rows long, words long"), (5, 2, 1), 3, 256, mixing.FINEST)
+        return [(r.block, r.quota) for r in plan.orderBy("k").collect()]
+
+    alone, beside = told(2), told(3)
+    assert alone[0][0] == alone[1][0] == 256 and [b for b, _ in beside[:2]] == [256, 256] and beside[2] == (1, 21)
+    assert all(abs(a[1] - b[1]) <= 1 for a, b in zip(alone, beside))
 
 
 def test_rows_without_ids_are_spread(spark):
