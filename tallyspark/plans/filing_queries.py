@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import periods, printed
+from ..functions import periods, printed, tables
 from ..functions.timeseries import AMOUNT
 from ..operators import evidence, facts, labels, layout, reconcile, retrieval
 from ..sources import filings
@@ -145,3 +145,22 @@ def label_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = part.where("p_brand <> 'Brand#1'").select(group.alias("statement"), F.concat_ws(" ", "p_type", "p_name").alias("key")).distinct().select("statement", "key", F.col("key").alias("name"), F.lit(0).alias("rank"))
     found = labels.match(part.select(F.col("p_partkey").alias("label_id"), group.alias("statement"), label.alias("label")), names)
     return found.select(F.col("label_id").alias("p_partkey"), "key", "score")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, event_type || CASE WHEN event_id % 3 = 0 THEN ' again' ELSE '' END AS text FROM events),
+r(user_id, n, chunk, size) AS (
+  SELECT user_id, n, 1, length(text) FROM e WHERE n = 1
+  UNION ALL
+  SELECT e.user_id, e.n, CASE WHEN (r.size + 1 + length(e.text)) // 4 + 1 > 12 THEN r.chunk + 1 ELSE r.chunk END, CASE WHEN (r.size + 1 + length(e.text)) // 4 + 1 > 12 THEN length(e.text) ELSE r.size + 1 + length(e.text) END
+  FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(chunk AS INTEGER) AS chunk, CAST(min(n) AS BIGINT) AS first, CAST(count(*) AS INTEGER) AS n_lines, CAST(max(size) // 4 + 1 AS INTEGER) AS tokens, string_agg(text, chr(10) ORDER BY n) AS text
+FROM r JOIN e USING (user_id, n) GROUP BY user_id, chunk""")
+def packed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events, in order, packed into chunks by a table function that SQL calls by partition."""
+    tables.register(spark)
+    text = F.concat("event_type", F.when(F.col("event_id") % 3 == 0, " again").otherwise(""))
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    lines = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.row_number().over(order).cast("long").alias("n"), text.alias("text"))
+    found = spark.sql("SELECT * FROM pack_lines(12, TABLE(SELECT key, n, text FROM {lines}) PARTITION BY key ORDER BY n)", lines=lines)
+    return found.withColumnRenamed("key", "user_id")
