@@ -10,7 +10,7 @@ from ..functions.timeseries import AMOUNT
 from ..operators import engine
 from ..operators import facts as facts_
 from ..operators.lineage import written
-from .base import quarters, query, rounded, table
+from .base import QUARTERS, quarters, query, rounded, table
 
 #: Items and the share of the quarter's revenue, tax, receivables or returned goods that stands for them, in hundredths.
 DERIVED = {
@@ -42,10 +42,42 @@ def engine_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found["latest"].select("document_id", "rule_id", "outcome", "severity", F.array_join("missing", ",").alias("missing"), F.array_join("fired_periods", ",").alias("fired_periods"))
 
 
-@query()
+#: The metrics that the derived facts give, in SQL over a period's row (b), the balance it opened with (o), and the period a year before: its flows (p) and balances (q). "F": not for banks.
+METRICS_SQL = {
+    "ebitda": ("b.ebitda / 100.0", ""), "ebit": ("b.ebit / 100.0", ""), "cost_of_goods_sold": ("0.0", ""), "gross_margin": ("b.rev / nullif(b.rev, 0.0)", "F"), "ebitda_margin": ("b.ebitda / nullif(b.rev, 0.0)", "F"),
+    "pat_margin": ("b.pat / nullif(b.rev, 0.0)", ""), "other_income_share_of_pbt": ("b.oth / nullif(b.pbt, 0.0)", ""), "exceptional_items_share_of_pbt": ("0 / nullif(b.pbt, 0.0)", ""), "effective_tax_rate": ("b.tax / nullif(b.pbt, 0.0)", ""),
+    "cfo_to_pat": ("b.cfo / nullif(b.pat, 0.0)", ""), "cfo_to_ebitda": ("b.cfo / nullif(b.ebitda, 0.0)", "F"), "cumulative_cfo_to_pat_3y": ("(b.cfo + p.cfo + p2.cfo) / nullif(b.pat + p.pat + p2.pat, 0.0)", ""),
+    "accruals_ratio": ("(b.pat - b.cfo) / nullif(coalesce((o.ast + b.ast) / 2.0, b.ast), 0.0)", ""), "dso": ("coalesce((o.rec + b.rec) / 2.0, b.rec) / nullif(b.rev, 0.0) * b.days", "F"),
+    "receivables_growth": ("(b.rec - q.rec) / nullif(abs(q.rec), 0.0)", "F"), "inventory_growth": ("(b.inv - q.inv) / nullif(abs(q.inv), 0.0)", "F"), "total_debt": ("b.bor / 100.0", "F"), "debt_to_equity": ("b.bor / nullif(b.eq, 0.0)", "F"),
+    "interest_coverage": ("b.ebit / nullif(b.fin, 0.0)", "F"), "borrowings_growth": ("(b.bor - q.bor) / nullif(abs(q.bor), 0.0)", "F"), "finance_cost_to_revenue": ("b.fin / nullif(b.rev, 0.0)", "F"),
+    "revenue_growth": ("(b.rev - p.rev) / nullif(abs(p.rev), 0.0)", ""), "revenue_growth_qoq": ("(b.rev - l.rev) / nullif(abs(l.rev), 0.0)", ""), "ebitda_growth": ("(b.ebitda - p.ebitda) / nullif(abs(p.ebitda), 0.0)", ""), "pat_growth": ("(b.pat - p.pat) / nullif(abs(p.pat), 0.0)", ""),
+    "capital_employed": ("(b.eq + b.bor) / 100.0", "F"), "roe": ("b.pat * 365 / b.days / nullif(coalesce((o.eq + b.eq) / 2.0, b.eq), 0.0)", ""), "roce": ("b.ebit * 365 / b.days / nullif(coalesce((o.eq + o.bor + b.eq + b.bor) / 2.0, b.eq + b.bor), 0.0)", "F"),
+    "roa": ("b.pat * 365 / b.days / nullif(coalesce((o.ast + b.ast) / 2.0, b.ast), 0.0)", ""), "asset_turnover": ("b.rev * 365 / b.days / nullif(coalesce((o.ast + b.ast) / 2.0, b.ast), 0.0)", "F"),
+}
+_EACH = " UNION ALL ".join(f"SELECT entity, kind, fiscal_year, part, '{m}' AS metric, CASE WHEN {'n_regionkey <> 0' if only else 'true'} THEN CAST({sql} AS DOUBLE) END AS value FROM joined_b" for m, (sql, only) in METRICS_SQL.items())
+ENGINE_METRICS_SQL = f"""WITH {QUARTERS.strip()},
+f AS (SELECT entity, 'quarter' AS kind, fiscal_year, part, seq_index, revenue AS rev, tax, receivables AS rec, returned * 60 // 100 AS inv, revenue * 85 // 100 AS exp, revenue * 4 // 100 AS fin, revenue * 5 // 100 AS dep, tax * 220 // 100 AS pat, tax * 320 // 100 AS pbt,
+  returned * 5 // 100 AS oth, returned * 40 // 100 AS cfo, receivables * 150 // 100 AS eq, returned * 80 // 100 AS bor, receivables * 400 // 100 AS ast FROM quarters),
+y AS (SELECT entity, 'year' AS kind, fiscal_year, CAST(NULL AS INTEGER) AS part, fiscal_year AS seq_index, sum(rev) AS rev, sum(tax) AS tax, max(CASE WHEN part = 4 THEN rec END) AS rec, max(CASE WHEN part = 4 THEN inv END) AS inv, sum(exp) AS exp, sum(fin) AS fin, sum(dep) AS dep, sum(pat) AS pat,
+  sum(pbt) AS pbt, sum(oth) AS oth, sum(cfo) AS cfo, max(CASE WHEN part = 4 THEN eq END) AS eq, max(CASE WHEN part = 4 THEN bor END) AS bor, max(CASE WHEN part = 4 THEN ast END) AS ast FROM f GROUP BY entity, fiscal_year HAVING count(*) = 4),
+u AS (SELECT * FROM f UNION ALL SELECT * FROM y),
+d AS (SELECT *, rev - (exp - fin - dep) AS ebitda, rev - (exp - fin - dep) - dep AS ebit, CASE WHEN part IS NULL THEN make_date(fiscal_year, 4, 1) - make_date(fiscal_year - 1, 4, 1)
+  WHEN part = 4 THEN make_date(fiscal_year, 4, 1) - make_date(fiscal_year, 1, 1) WHEN part = 1 THEN 91 ELSE 92 END AS days FROM u),
+joined AS (SELECT b, o, p, p2, q, l, n_regionkey FROM d b JOIN nation ON n_nationkey = b.entity
+  LEFT JOIN d o ON o.entity = b.entity AND o.kind = 'quarter' AND o.seq_index = CASE WHEN b.part IS NULL THEN b.fiscal_year * 4 - 1 ELSE b.seq_index - 1 END
+  LEFT JOIN d p ON p.entity = b.entity AND p.kind = b.kind AND p.fiscal_year = b.fiscal_year - 1 AND p.part IS NOT DISTINCT FROM b.part
+  LEFT JOIN d p2 ON p2.entity = b.entity AND p2.kind = b.kind AND p2.fiscal_year = b.fiscal_year - 2 AND p2.part IS NOT DISTINCT FROM b.part
+  LEFT JOIN d q ON q.entity = b.entity AND q.kind = 'quarter' AND q.seq_index = CASE WHEN b.part IS NULL THEN b.fiscal_year * 4 - 1 ELSE b.seq_index - 4 END
+  LEFT JOIN d l ON l.entity = b.entity AND l.kind = b.kind AND l.seq_index = b.seq_index - 1),
+joined_b AS (SELECT b.entity AS entity, b.kind AS kind, b.fiscal_year AS fiscal_year, b.part AS part, * FROM joined),
+every AS ({_EACH})
+SELECT CAST(entity AS VARCHAR) AS document_id, metric, kind, CAST(fiscal_year AS INTEGER) AS fiscal_year, CAST(coalesce(part, 0) AS INTEGER) AS part, round(value, 6) AS value FROM every WHERE value IS NOT NULL"""
+
+
+@query(ENGINE_METRICS_SQL)
 def engine_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = engine.analyse(*derived_facts(spark, sf_dir))
-    return found["metrics"].select("document_id", "metric", "kind", "fiscal_year", "part", rounded(F.col("value")).alias("value"))
+    return found["metrics"].select("document_id", "metric", "kind", "fiscal_year", F.coalesce("part", F.lit(0)).alias("part"), rounded(F.col("value")).alias("value"))
 
 
 @query()
