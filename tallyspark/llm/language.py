@@ -14,7 +14,8 @@ Four pieces of evidence are combined for each row, as sums of logarithms:
 The two conditionals and the priors are grouped sums of the rows' text posteriors over the whole
 table. A row's own posterior is taken out of its host's prior, so it is not counted twice.
 
-Defined cases: a null or empty text has a flat likelihood and lives on the other evidence; missing
+Defined cases: long texts are read in pieces of 1 MB, a page's markup is cut out of it as a whole in linear time; of equally likely languages the
+first by name counts; columns beside those read are carried along, whatever their names; a null or empty text has a flat likelihood and lives on the other evidence; missing
 declarations, suffixes and hosts are left out; hosts of equal name share a prior; repeated
 rows count each; an empty table gives an empty result; no labels: no languages, every
 language null.
@@ -186,12 +187,13 @@ def _conditional(rows: DataFrame, column: str, n: int) -> DataFrame:
 def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
     """`rows` (logs, declared, suffix, host, ...) with `language`, `score` and the posterior by language.
 
-    logs: log likelihoods of the text, by language.
+    logs: log likelihoods of the text, by language. Other columns are carried along, whatever their names; of the three results' names they are replaced.
     """
-    n = len(languages)
+    n, added = len(languages), ("language", "score", "posterior")
+    kept = [c for c in rows.columns if c not in added]
     if not n:
-        return rows.select("*", F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("array<double>").alias("posterior"))
-    rows = rows.withColumn("posterior", softmax(F.col("logs")))
+        return rows.select(*(F.col(f"`{c}`") for c in kept), F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("array<double>").alias("posterior"))
+    rows = rows.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row"), "logs", "declared", "suffix", "host", softmax(F.col("logs")).alias("posterior"))
     rows = rows.withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)).withColumn("top", F.regexp_extract("host", r"([^.]+)$", 1))
     hosts = _sums(rows.where("host is not null"), ["top", "domain", "host"], n, "host_sums")
     add = lambda name: F.array(*(F.sum(F.col(name)[k]) for k in range(n)))
@@ -216,4 +218,4 @@ def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
     logs = _plus(_plus(F.col("logs"), prior), _plus(F.coalesce("declared_logs", none), F.coalesce("suffix_logs", none)))
     joined = joined.withColumn("posterior", softmax(logs))
     best = F.array_position("posterior", F.array_max("posterior")).cast("int")
-    return joined.withColumn("language", F.get(F.array(*map(F.lit, languages)), best - 1)).withColumn("score", F.array_max("posterior"))
+    return joined.select("_row.*", F.get(F.array(*map(F.lit, languages)), best - 1).alias("language"), F.array_max("posterior").alias("score"), "posterior")

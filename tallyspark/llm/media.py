@@ -14,7 +14,7 @@ for pixels inverse-transforms in numpy, repeats chroma to full resolution and co
 an RGB tensor of height x width x 3 bytes. Runs of equal codes and runs of blocks
 without new coefficients are decoded as arrays; all else symbol by symbol.
 
-Defined cases: a null or empty text is 64 zero bytes; equal texts give equal files; a file that
+Defined cases: a text of any length is one image, held whole with its coefficients (there are no ties); a null or empty text is 64 zero bytes; equal texts give equal files; a file that
 is cut or is no such JPEG raises ValueError; rows that repeat are coded each; an empty
 table gives an empty result; other columns are carried along.
 """

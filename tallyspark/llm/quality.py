@@ -11,7 +11,8 @@ The model is fitted with numpy on a bounded sample of labelled rows (`SAMPLE` ro
 of text of either label, the lowest by a hash of the id, whole texts of any length that the rest of the bound still holds) and has a few thousand numbers; every
 row is scored over its whole text.
 
-Defined cases: a null or empty text is one passage without words; rows that repeat a text
+Defined cases: very long texts are read in pieces of 1 MB; ids with equal hashes come into the sample by id, and several labels
+of one id count as the lowest; columns of any name are carried along; a null or empty text is one passage without words; rows that repeat a text
 have its score; with one label only, or none, every score is 0.5; an empty table gives an
 empty result; other columns are carried along.
 """

@@ -10,7 +10,8 @@ one owner is live-looking. Base spans always stay; an opaque token becomes a spa
 
 Spans are in code points, end exclusive.
 
-Defined cases: a null or empty text has no spans; a null owner or repository counts as one
+Defined cases: a text of any length is scanned and masked whole, in linear time; spans that start together are in the order of
+their kinds, and a value found as two kinds counts once; a null or empty text has no spans; a null owner or repository counts as one
 owner or repository; repeated rows count once in the frequencies and each have their result;
 an empty table gives an empty result; only the id, text, owner and repository columns are read.
 """

@@ -19,9 +19,10 @@ it yields the edges of a spanning forest of its links, so rows stay linear in th
 bucket's size. A bucket with more members than `block` is cut into blocks and every
 pair of blocks is searched by a task of its own; each link lies in some pair of blocks.
 
-Defined cases: a null or empty text has no words and fingerprint 0, linked like any
+Defined cases: a very long text is held whole, with its words, by the task that reads it; components have no ties, as the
+smallest id names them; a null or empty text has no words and fingerprint 0, linked like any
 other; repeated rows and equal texts share a fingerprint and so a component; an empty
-table gives an empty result; columns beside the id and the text are not read.
+table gives an empty result; columns beside the id and the text are not read, whatever their names.
 """
 
 from __future__ import annotations

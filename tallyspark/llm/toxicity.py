@@ -18,7 +18,8 @@ that the rest of the bound still holds). It is a list of the features that `LEAS
 sample share, with a weight each; every row is then scored over its whole text, in pieces of 1 MB that end
 with a sentence (a sentence over 1 MB is cut at a word).
 
-Defined cases: a null or empty text has no sentence and the score of no evidence (the prior
+Defined cases: ids with equal hashes come into the sample by id, and several labels of one id count as the lowest; columns of
+any name are carried along; a null or empty text has no sentence and the score of no evidence (the prior
 of the bias); rows that repeat a text have its score; without labels of both kinds there are
 no weights; an empty table gives an empty result; other columns are carried along.
 """

@@ -307,3 +307,15 @@ def test_pages_of_unclosed_tags_are_read_in_linear_time():
         language.plain(tag * (1_000_000 // len(tag)))
     assert time.process_time() - began < 5
     assert language.plain(b"a<script>b</style></SCRIPT >c<!-- <p> -->d<p>e<script x>f") == b"a c d e f"
+
+
+def test_fusion_carries_columns_of_any_name(spark):
+    """Columns named as fuse's own results or steps; ties go to the first language; many languages."""
+    names = [f"l{k:02d}" for k in range(40)]
+    flat, third = [0.0] * 40, [-5.0] * 2 + [0.0] + [-5.0] * 37
+    rows = [(1, flat, None, None, None, "d", "t", "p", 7), (2, third, "l2", ".x", "a.b.x", "d", None, "p", 8), (2, third, "l2", ".x", "a.b.x", "d", None, "p", 8)]
+    frame = spark.createDataFrame(rows, "id int, logs array<double>, declared string, suffix string, host string, domain string, top string, posterior string, score int")
+    got = language.fuse(frame, names)
+    assert got.columns == ["id", "logs", "declared", "suffix", "host", "domain", "top", "language", "score", "posterior"]
+    found = [(r.id, r.domain, r.top, r.language, len(r.posterior)) for r in got.orderBy("id").collect()]
+    assert found == [(1, "d", "t", "l00", 40), (2, "d", None, "l02", 40), (2, "d", None, "l02", 40)]
