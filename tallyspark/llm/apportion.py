@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written
+from .common import Written, scratch
 
 #: Divisors tried in one aggregation; two that differ by less than FINE are one.
 TRIED, FINE = 64, 1e-12
@@ -89,20 +89,21 @@ def plan(sources: DataFrame, weights, cap: int, block_tokens: int, finest: int)
 
     Equal blocks by highest quotients; a source whose target has under `finest` of them has blocks of its own (its target in `finest` parts).
     """
-    last = F.col("source").isNull()
-    held = numbered(sources, [last, F.col("source")])
-    held = Written(held.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("k") % len(weights) + 1).cast("int")).cast("double")), "apportion-sources").df
-    n, total = held.agg(F.count("*"), F.sum("words")).first()
-    held = with_targets(held, int(total or 0), cap)
-    block = F.when(F.col("target") >= finest * block_tokens, block_tokens).otherwise(F.greatest(F.lit(1), F.floor(F.col("target") / finest)).cast("long"))
-    held = held.withColumn("block", block.cast("long"))
-    held = Written(held.withColumn("most", cap * F.ceil(F.col("words") / F.col("block"))), "apportion-targets").df
-    large = F.col("block") == block_tokens
-    aimed = held.where(large).agg(F.sum(F.col("target").cast(_EXACT))).first()[0]
-    seated = with_seats(held.where(large), round(float(aimed or 0) / block_tokens), votes="target").withColumnRenamed("seats", "quota")
-    own = held.where(~large).withColumn("quota", F.least("most", F.bround(F.col("target") / F.col("block"), 0).cast("long")))
-    columns = ["k", "source", "rows", "words", "target", "block", "quota"]
-    return Written(seated.select(*columns).unionByName(own.select(*columns)), "apportion-plan").df, n
+    with scratch() as keep:
+        last = F.col("source").isNull()
+        held = numbered(sources, [last, F.col("source")])
+        held = Written(held.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("k") % len(weights) + 1).cast("int")).cast("double")), "apportion-sources").df
+        n, total = held.agg(F.count("*"), F.sum("words")).first()
+        held = with_targets(held, int(total or 0), cap)
+        block = F.when(F.col("target") >= finest * block_tokens, block_tokens).otherwise(F.greatest(F.lit(1), F.floor(F.col("target") / finest)).cast("long"))
+        held = held.withColumn("block", block.cast("long"))
+        held = Written(held.withColumn("most", cap * F.ceil(F.col("words") / F.col("block"))), "apportion-targets").df
+        large = F.col("block") == block_tokens
+        aimed = held.where(large).agg(F.sum(F.col("target").cast(_EXACT))).first()[0]
+        seated = with_seats(held.where(large), round(float(aimed or 0) / block_tokens), votes="target").withColumnRenamed("seats", "quota")
+        own = held.where(~large).withColumn("quota", F.least("most", F.bround(F.col("target") / F.col("block"), 0).cast("long")))
+        columns = ["k", "source", "rows", "words", "target", "block", "quota"]
+        return keep(Written(seated.select(*columns).unionByName(own.select(*columns)), "apportion-plan")).df, n
 
 
 def check_weights(weights) -> None:
