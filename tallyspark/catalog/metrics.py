@@ -27,7 +27,8 @@ class Terms:
 
     @staticmethod
     def ratio(a: Column, b: Column) -> Column:
-        return amount(divide(a, b))
+        # Sums are wider than amounts, and a wide dividend leaves a quotient few digits.
+        return amount(divide(amount(a), amount(b)))
 
     amount, abs, rel_diff, coalesce = map(staticmethod, (amount, F.abs, rel_diff, F.coalesce))
 

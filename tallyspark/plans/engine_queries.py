@@ -70,17 +70,32 @@ joined AS (SELECT b, o, p, p2, q, l, n_regionkey FROM d b JOIN nation ON n_natio
   LEFT JOIN d q ON q.entity = b.entity AND q.kind = 'quarter' AND q.seq_index = CASE WHEN b.part IS NULL THEN b.fiscal_year * 4 - 1 ELSE b.seq_index - 4 END
   LEFT JOIN d l ON l.entity = b.entity AND l.kind = b.kind AND l.seq_index = b.seq_index - 1),
 joined_b AS (SELECT b.entity AS entity, b.kind AS kind, b.fiscal_year AS fiscal_year, b.part AS part, * FROM joined),
-every AS ({_EACH})
-SELECT CAST(entity AS VARCHAR) AS document_id, metric, kind, CAST(fiscal_year AS INTEGER) AS fiscal_year, CAST(coalesce(part, 0) AS INTEGER) AS part, round(value, 6) AS value FROM every WHERE value IS NOT NULL"""
-
-
-@query(ENGINE_METRICS_SQL)
+every AS ({_EACH})"""
+#: Amounts have 12 digits after a division of 14. Metrics at each nation's last period (its last complete year where that ends with it) against its own earlier ones and those of the others of its sector and size.
+ENGINE_ANOMALIES_SQL = f"""{ENGINE_METRICS_SQL},
+v AS (SELECT entity, kind, metric, round(round(value, 14), 12) AS value, fiscal_year * 4 + coalesce(part, 4) AS e FROM every WHERE value IS NOT NULL AND metric NOT IN ('ebitda', 'ebit', 'cost_of_goods_sold', 'total_debt', 'capital_employed')),
+anchors AS (SELECT entity, arg_max(struct_pack(kind := kind, e := fiscal_year * 4 + coalesce(part, 4), rev := rev, days := days), (fiscal_year * 4 + coalesce(part, 4)) * 2 + CASE WHEN part IS NULL THEN 1 ELSE 0 END) AS a FROM d GROUP BY entity),
+of AS (SELECT entity, a.kind AS kind, a.e AS e, CASE WHEN n_regionkey = 0 THEN 'banking' ELSE 'manufacturing' END AS sector, CASE WHEN a.rev * 365 / a.days < 50000 THEN 'small' WHEN a.rev * 365 / a.days < 500000 THEN 'mid' ELSE 'large' END AS size FROM anchors JOIN nation ON n_nationkey = entity),
+s AS (SELECT *, list(value) OVER (PARTITION BY entity, metric, kind ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS w FROM v),
+at_anchor AS (SELECT s.*, of.sector, of.size FROM s JOIN of ON of.entity = s.entity AND of.kind = s.kind AND of.e = s.e),
+h AS (SELECT *, list_median(w) AS med FROM at_anchor WHERE len(w) >= 3),
+z AS (SELECT *, list_median([abs(x - med) for x in w]) AS mad, list_avg([abs(x - med) for x in w]) AS dev FROM h),
+history AS (SELECT entity, metric, 'history' AS basis, value > med AS high, CASE WHEN mad <> 0 THEN 0.6745 * (value - med) / mad WHEN dev <> 0 THEN (value - med) / (1.253314 * dev) END AS score, CAST(len(w) AS BIGINT) AS n FROM z),
+peers AS (SELECT t.entity, t.metric, t.value, count(*) AS n, count(*) FILTER (v.value < t.value) + count(*) FILTER (v.value = t.value) / 2.0 AS below, median(v.value) AS med
+  FROM at_anchor t JOIN of o ON o.sector = t.sector AND o.size = t.size AND o.entity <> t.entity JOIN v ON v.entity = o.entity AND v.metric = t.metric AND v.kind = t.kind GROUP BY ALL),
+cohort AS (SELECT entity, metric, 'cohort' AS basis, value > med AS high, below / n AS score, n FROM peers WHERE n >= 8)
+SELECT CAST(entity AS VARCHAR) AS document_id, metric, basis, CASE WHEN high THEN 'high' ELSE 'low' END AS direction, round(score, 6) AS score, CAST(n AS INTEGER) AS n
+FROM (SELECT * FROM history WHERE abs(score) > 3.5 UNION ALL SELECT * FROM cohort WHERE score <= 0.05 OR score >= 0.95)"""
+
+
+@query(ENGINE_METRICS_SQL + """
+SELECT CAST(entity AS VARCHAR) AS document_id, metric, kind, CAST(fiscal_year AS INTEGER) AS fiscal_year, CAST(coalesce(part, 0) AS INTEGER) AS part, round(value, 6) AS value FROM every WHERE value IS NOT NULL""")
 def engine_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = engine.analyse(*derived_facts(spark, sf_dir))
     return found["metrics"].select("document_id", "metric", "kind", "fiscal_year", F.coalesce("part", F.lit(0)).alias("part"), rounded(F.col("value")).alias("value"))
 
 
-@query()
+@query(ENGINE_ANOMALIES_SQL)
 def engine_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Against each document's own history and its cohort without itself."""
     found = engine.analyse(*derived_facts(spark, sf_dir), peers=True)["anomalies"]
