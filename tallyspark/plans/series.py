@@ -194,9 +194,11 @@ SELECT entity, string_agg('FY' || lpad(CAST(fiscal_year % 100 AS VARCHAR), 2, '0
 def metric_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     years = quarters(spark, sf_dir).groupBy("entity", "fiscal_year").agg(F.sum("revenue").alias("revenue"), F.count("*").alias("n")).where("n = 4")
     year = F.col("fiscal_year").cast("int")
+    # A count of cents has more digits before the point than an amount; its share of a billion fits.
+    share = timeseries.divide(F.col("revenue").cast("decimal(20,0)"), F.lit(10**9)).cast(timeseries.AMOUNT)
     metrics = years.select(
         F.col("entity").alias("document_id"), F.lit("revenue_share").alias("metric"), F.lit("ratio").alias("unit"), F.lit(True).alias("headline"), periods.label(F.lit(periods.YEAR), year, F.lit(None).cast("int")).alias("period"),
-        periods.end_date(F.lit(periods.YEAR), year, F.lit(None).cast("int"), F.lit(3)).alias("end_date"), timeseries.divide(F.col("revenue").cast(timeseries.AMOUNT), F.lit(10**9)).cast(timeseries.AMOUNT).alias("value"),
+        periods.end_date(F.lit(periods.YEAR), year, F.lit(None).cast("int"), F.lit(3)).alias("end_date"), share.alias("value"),
     )
     entries = F.transform(F.map_entries("values"), lambda e: F.concat_ws("=", e["key"], F.replace(e["value"], F.lit(","), F.lit(""))))
     return report.metric_table(metrics).select(F.col("document_id").alias("entity"), F.array_join(entries, ";").alias("by_year"))
