@@ -33,7 +33,8 @@ class Terms:
     amount, abs, rel_diff, coalesce = map(staticmethod, (amount, F.abs, rel_diff, F.coalesce))
 
     def yearly(self, x: Column) -> Column:
-        return amount(divide(amount(x * 365), F.col("days")))
+        # 365 times an amount may have more digits than an amount; the quotient fits again.
+        return amount(divide(x * 365, F.col("days")))
 
 
 Formula = Callable[[Terms], Column]

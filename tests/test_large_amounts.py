@@ -1,7 +1,11 @@
 """Sums that grow with the tables: more digits than an amount has before its point."""
 
 import datetime
+from decimal import Decimal
 
+from filings import YEARS, annual_facts, frames
+
+from tallyspark.operators import engine
 from tallyspark.plans import registry
 
 
@@ -16,3 +20,12 @@ def test_metric_pivot_of_a_year_beyond_a_trillion_cents(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
     got = registry.queries()["metric_pivot"](spark, str(tmp_path)).collect()
     assert [(r.entity, r.by_year) for r in got] == [(7, "FY96=10000000.0%")]
+
+
+def test_ratios_of_large_amounts_are_those_of_small_ones(spark):
+    """A year's amount times 365 has more digits than an amount; what is divided by it doesn't change."""
+    own = ("revenue_from_operations", "total_expenses", "finance_costs", "depreciation_amortisation", "profit_after_tax", "total_assets", "total_equity", "borrowings_non_current", "borrowings_current")
+    of = lambda scale: engine.analyse(*frames(spark, annual_facts(years={k: tuple(v * scale for v in YEARS[k]) for k in own}, of_document={})))["metrics"]
+    small, large = ({(r.metric, r.period): r.value for r in of(scale).where("unit in ('ratio', 'times', 'days')").collect()} for scale in (1, 10**8))
+    assert ("asset_turnover", "FY25") in small and ("roa", "FY25") in small and ("roce", "FY25") in small
+    assert set(small) == set(large) and all(abs(small[k] - large[k]) < Decimal("1e-9") for k in small)
