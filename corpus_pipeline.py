@@ -30,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of five-word similarity 0.8 or more.
+    """Keeps the document with the smallest id of each group of five-word similarity 0.8 or more; candidates are linked SimHash fingerprints and, for pairs further apart, minima of shingles.
 
     Texts without words (null or empty) are copies of each other; of rows that share the smallest id, and in groups whose ids are null, one stays.
     """

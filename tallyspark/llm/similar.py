@@ -1,13 +1,14 @@
-"""Near copies by word-shingle similarity, for the pipeline's stage.
+"""SimHash near copies, checked by word-shingle similarity, for the pipeline's stage.
 
 A text is the set of its shingles of five words (words as in `simhash`; a shorter text is one
 shingle). Two texts are near copies where the Jaccard similarity of their sets is 0.8 or more.
-Candidates come from `BANDS` bands of `ROWS` minima of seeded permutations: at a similarity of
+Candidates come from `simhash`: texts whose fingerprints are equal or linked at 3 or fewer differing bits. As most
+pairs of that similarity lie further apart, more come from `BANDS` bands of `ROWS` minima of seeded permutations: at a similarity of
 exactly 0.8 a pair meets in no band with a chance of 0.0005, above it less. Every
-link is verified on the whole sets before components form. A shingle is a hash of 32 bits there: two texts of a thousand
+link, of either kind, is verified on the whole sets before components form. A shingle is a hash of 32 bits there: two texts of a thousand
 shingles agree in one by chance once in 4000 pairs, which moves their similarity by a thousandth.
 
-Texts of the same words are one node. First every member of a bucket is compared with
+Texts of the same words are one node. First the SimHash candidates are verified, and every member of a bucket is compared with
 the bucket's least node, which joins most groups in rows linear in their size. In buckets that
 still hold several components all pairs of different components are then compared inside
 one task; larger buckets are cut into blocks, and every pair of blocks has a task of its own.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import Written, ascii_words, bounded_batches, scratch, text_bytes
 from .components import connected_components
 from .features import mixed
-from .simhash import SEED, first_of_groups, rows_of
+from .simhash import SEED, fingerprint, first_of_groups, links, rows_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -79,15 +80,16 @@ def band_keys(hashes: np.ndarray, seed: int = SEED) -> np.ndarray:
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        node, keys, sets = [], [], []
+        node, fps, keys, sets = [], [], [], []
         for t in text_bytes(b.column(1)):
             words = ascii_words(t)
             found = shingles(words)
             node.append(xxhash.xxh64_intdigest(b" ".join(words), SEED))
+            fps.append(fingerprint(t))
             keys.append(band_keys(found))
             sets.append(np.sort(found.view(np.int32)))
-        columns = [b.column(0), b.column(2), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "node", "keys", "shingles"])
+        columns = [b.column(0), b.column(2), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "node", "fp", "keys", "shingles"])
 
 
 def _could(a, b, similarity: float):
@@ -146,22 +148,32 @@ def _search_batches(batches: Iterator[pa.RecordBatch], similarity: float) -> Ite
     yield from links()
 
 
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """(src, dst) of `nodes` (node, fp): each against the least node of its fingerprint, and those least nodes over a spanning set of the SimHash links."""
+    least = nodes.groupBy("fp").agg(F.min("node").alias("least"))
+    same = nodes.join(least, "fp").where("node <> least").select(F.col("least").alias("src"), F.col("node").alias("dst"))
+    return links(least.select("fp", F.col("least").alias("node"))).unionByName(same)
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """(id, digest, component) of each row: the least node reachable over verified links; digest: a hash of the exact text."""
     if similarity < SIMILARITY:
         raise ValueError(f"the bands find pairs of similarity {SIMILARITY} or more")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest"))
     bounded_batches()
-    rows = rows.mapInArrow(_set_batches, f"id {rows.schema['id'].dataType.simpleString()}, digest long, node long, keys array<long>, shingles array<int>")
+    rows = rows.mapInArrow(_set_batches, f"id {rows.schema['id'].dataType.simpleString()}, digest long, node long, fp long, keys array<long>, shingles array<int>")
     held = Written(rows.withColumn("row", F.monotonically_increasing_id()), "similar-rows").df
-    nodes = held.groupBy("node").agg(F.min(F.struct("row", F.size("shingles").alias("n"), "keys")).alias("one")).select("node", "one.*")
+    nodes = held.groupBy("node").agg(F.min(F.struct("row", F.size("shingles").alias("n"), "fp", "keys")).alias("one")).select("node", "one.*")
     nodes = Written(nodes, "similar-nodes").df
     keys = nodes.select("node", "n", F.explode("keys").alias("key"))
     buckets = keys.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("node", "n")).alias("least")).where("members > 1")
     met = Written(keys.join(buckets, "key"), "similar-met").df
-    candidates = nodes.join(met.select("node").distinct(), "node", "left_semi").select("row")
+    with scratch() as keep:
+        near = keep(Written(fingerprint_pairs(nodes.select("node", "fp")).distinct(), "similar-near")).df
+    asked = met.select("node").unionByName(near.select(F.explode(F.array("src", "dst")).alias("node"))).distinct()
+    candidates = nodes.join(asked, "node", "left_semi").select("row")
     sets = Written(held.select("row", "node", "shingles").join(candidates, "row", "left_semi").select("node", "shingles"), "similar-sets").df
-    pairs = met.where((F.col("node") != F.col("least.node")) & _could(F.col("n"), F.col("least.n"), similarity)).select(F.col("least.node").alias("src"), F.col("node").alias("dst")).distinct()
+    pairs = met.where((F.col("node") != F.col("least.node")) & _could(F.col("n"), F.col("least.n"), similarity)).select(F.col("least.node").alias("src"), F.col("node").alias("dst")).unionByName(near).distinct()
     first = Written(_verified(pairs, sets, similarity), "similar-links").df
     # Buckets of two have had their comparison.
     joined = met.where("members > 2").select("key", "node").join(connected_components(first), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))

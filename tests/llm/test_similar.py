@@ -2,7 +2,7 @@ import itertools
 import random
 
 import corpus_pipeline
-from tallyspark.llm import similar
+from tallyspark.llm import similar, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,3 +59,18 @@ def test_stage_equals_brute_force_on_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = brute([(r.doc_id, r.text) for r in docs.collect()])
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()} == want
+
+
+def test_stage_asks_simhash_for_candidates(spark, monkeypatch):
+    texts = [" ".join(f"w{(k * 37 + n * n) % 4001}" for n in range(400)) for k in range(5)]
+    texts += [t + " more" for t in texts] + ["a b c d e f", "c b c d e f g h i j k"]
+    fps = [simhash.fingerprint(t.encode()) for t in texts]
+    want = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if (fps[a] ^ fps[b]).bit_count() <= 3}
+    assert len(want) >= 5
+    nodes = spark.createDataFrame([(n, fp - (1 << 64 if fp >> 63 else 0)) for n, fp in enumerate(fps)], "node long, fp long")
+    assert {tuple(sorted((r.src, r.dst))) for r in similar.fingerprint_pairs(nodes).collect()} == want
+    asked, real = [], similar.fingerprint_pairs
+    monkeypatch.setattr(similar, "fingerprint_pairs", lambda given: asked.append(given.columns) or real(given))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()} == brute(list(enumerate(texts)))
+    assert asked == [["node", "fp"]]
