@@ -46,13 +46,34 @@ def lines(words: DataFrame, group: tuple[str, ...] = ("page",)) -> DataFrame:
 
 
 def assign_columns(words: DataFrame, columns: DataFrame, group: tuple[str, ...] = ("page",)) -> DataFrame:
-    """Each word's column: the first with left < x1 <= right on its page."""
-    words = words.withColumn("_word", F.monotonically_increasing_id())
-    inside = (columns["left"] < words["x1"]) & (words["x1"] <= columns["right"])
-    for c in group:
-        inside = (words[c] == columns[c]) & inside
-    joined = words.join(columns, inside, "left")
-    return joined.groupBy(*(words[c] for c in words.columns)).agg(F.min("column").alias("column")).drop("_word")
+    """Each word's column: the first with left < x1 <= right on its page.
+
+    The columns' edges cut a page's line into slots: slot n reaches from edge n - 1 up to and with edge n, and inside one the first column is the same for
+    all words. A column covers at most two blocks of slots of each power of two, and a slot lies in one of each, so slots meet columns by
+    equality of blocks: rows grow with the edges times their logarithm, never with words times columns. A word takes the slot of the
+    next edge of its page.
+    """
+    by = list(group)
+    top_power = lambda n: (F.length(F.bin(n)) - 1).cast("int")
+    inside = columns.where(F.col("left") < F.col("right")).select(*by, F.col("left").alias("_left"), F.col("right").alias("_right"), F.col("column").alias("_column")).dropna(subset=by)
+    numbered = inside.select(*by, F.explode(F.array("_left", "_right")).alias("_x")).distinct().withColumn("_slot", F.row_number().over(Window.partitionBy(*by).orderBy("_x")).cast("long"))
+
+    low, high = (numbered.select(*by, F.col("_x").alias(edge), F.col("_slot").alias(f"{edge}_slot")) for edge in ("_left", "_right"))
+    held = inside.join(low, [*by, "_left"]).join(high, [*by, "_right"]).groupBy(*by, (F.col("_left_slot") + 1).alias("_first"), (F.col("_right_slot") + 1).alias("_end")).agg(F.min("_column").alias("_column"))
+    each = held.select(*by, "_first", "_end", "_column", F.explode(F.sequence(F.lit(0), top_power(F.col("_end") - F.col("_first")))).alias("_power"))
+    size = F.expr("shiftleft(1L, _power)")
+    each = each.select(*by, "_column", "_power", F.floor((F.col("_first") + size - 1) / size).alias("_l"), F.floor(F.col("_end") / size).alias("_r")).where("_l < _r")
+    ends = F.array(F.when(F.col("_l") % 2 == 1, F.col("_l")), F.when(F.col("_r") % 2 == 1, F.col("_r") - 1))
+    blocks = each.select(*by, "_column", "_power", F.explode(ends).alias("_block")).where("_block is not null").groupBy(*by, "_power", "_block").agg(F.min("_column").alias("_column"))
+    # Slots count from 1 and the first lies in no column, so no block 0 is asked for.
+    asked = numbered.select(*by, "_slot", F.explode(F.sequence(F.lit(0), top_power(F.col("_slot")))).alias("_power")).withColumn("_block", F.expr("shiftright(_slot, _power)"))
+    first = asked.join(blocks, [*by, "_power", "_block"]).groupBy(*by, "_slot").agg(F.min("_column").alias("_column"))
+
+    given = words.select(*by, F.col("x1").alias("_x"), F.struct(*(F.col(c) for c in words.columns)).alias("_word"))
+    rows = given.withColumn("_slot", F.lit(None).cast("long")).unionByName(numbered.withColumn("_word", F.lit(None).cast(given.schema["_word"].dataType)))
+    # From the right, the least slot so far is that of the next edge.
+    rows = rows.withColumn("_slot", F.min("_slot").over(Window.partitionBy(*by).orderBy(F.desc_nulls_first("_x")).rangeBetween(Window.unboundedPreceding, Window.currentRow))).where("_word is not null")
+    return rows.join(first, [*by, "_slot"], "left").select("_word.*", F.col("_column").alias("column"))
 
 
 def find_columns(words: DataFrame, values: Column, group: tuple[str, ...] = ("page",)) -> DataFrame:

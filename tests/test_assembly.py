@@ -187,3 +187,20 @@ def test_candidates_and_unsound_rules(spark):
     assert set(good) == {"R", "N"} and set(reasons) == {"B1", "B2"}
     order = spark.createDataFrame([("b", 1, 1), ("a", 1, 1), ("c", 5, 0)], "rule_id string, confirms int, dismisses int")
     assert [r.rule_id for r in learning.in_order(order).collect()] == ["c", "a", "b"]
+
+
+def test_columns_are_assigned_by_slots(spark):
+    """Against all pairs: nested, overlapping, equal and empty columns, edges met exactly, nulls; rows of the plan's joins meet by equality only."""
+    r = random.Random(5)
+    edges = [float(r.randrange(60)) for _ in range(40)]
+    columns = [(n % 2, n, *r.sample(edges, 2)) for n in r.sample(range(90), 90)] + [(0, 100, -5.0, 70.0), (None, 1, 0.0, 60.0), (2, 7, 1.0, 2.0), (1, 8, None, 9.0)]
+    words = [(r.choice((0, 1, 1, 2, 3, None)), str(n), r.choice((None, float(r.randrange(-9, 80)), r.randrange(140) / 2))) for n in range(300)]
+    want = {}
+    for page, text, x in words:
+        want[text] = min((c for p, c, a, b in columns if None not in (p, page, a, x) and p == page and a < x <= b), default=None)
+    assert len(set(want.values())) > 8
+    found = layout.assign_columns(spark.createDataFrame(words, "page int, text string, x1 double"), spark.createDataFrame(columns, "page int, column int, left double, right double"))
+    assert found.columns == ["page", "text", "x1", "column"]
+    assert sorted((r.text, -1 if r.column is None else r.column) for r in found.collect()) == sorted((k, -1 if v is None else v) for k, v in want.items())
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert joins and not [line for line in joins if "<" in line or ">" in line]
