@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -22,17 +23,22 @@ HEADING_WEIGHT = 2
 QUERY_BLOCK, ITEM_BLOCK = 512, 4096
 #: The weightiest terms of a query that bound its k-th score.
 BOUND_TERMS = 3
+#: Bytes of text whose words one task counts.
+DEALT_BYTES = 4 << 20
 
 
 def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", headings: tuple[str, ...] = ()) -> DataFrame:
     """(chunk, term, tf, length): term counts of each chunk; words of its `headings` (title, heading) count `HEADING_WEIGHT` times.
 
-    Words are counted before they are stemmed, so each is stemmed once for a chunk. Only the texts are shuffled, by chunk; all counts are made where they then lie.
+    Words are counted before they are stemmed, so each is stemmed once for a chunk. Only the texts are shuffled, by chunk, into as many parts
+    as their size asks for, which is summed first; all counts are made where they then lie, so a task's memory doesn't grow with the table.
     """
     every = words(F.col(text_col))
     if headings:
         every = F.concat(F.coalesce(every, F.array().cast("array<string>")), F.flatten(F.array_repeat(words(F.concat_ws(" ", *headings)), HEADING_WEIGHT)))
-    dealt = chunks.select(F.col(id_col).alias("chunk"), *{text_col, *headings}).repartition("chunk")
+    dealt = chunks.select(F.col(id_col).alias("chunk"), *{text_col, *headings})
+    size = dealt.agg(F.sum(F.octet_length(F.concat_ws(" ", text_col, *headings)))).first()[0] or 0
+    dealt = dealt.repartition(max(chunks.sparkSession.sparkContext.defaultParallelism, math.ceil(size / DEALT_BYTES)), "chunk")
     counted = dealt.select("chunk", F.explode(every).alias("word")).groupBy("chunk", "word").agg(F.count("*").alias("n"))
     wider = counted.select("chunk", "n", F.explode(expanded(F.col("word"))).alias("word")).where(~F.col("word").isin(*STOP_WORDS))
     each = wider.select("chunk", "n", stem(F.col("word")).alias("term"))

@@ -69,3 +69,16 @@ def test_bounds_leave_pairs_out(spark):
     assert found.count() == 100 and {x.chunk % 300 for x in found.where("query = 0").collect()} == {1}
     written = [path for _, path in lineage._PATHS if "bm25-candidates" in path]
     assert spark.read.parquet(written[-1]).count() <= 0.05 * 20 * 3000
+
+
+def test_words_are_counted_in_parts_of_bounded_text(spark, monkeypatch):
+    """Twice the text has twice the parts, each as large as before; rows of one chunk stay together and short tables use all cores."""
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(retrieval, "DEALT_BYTES", 1000)
+    rows = [(k, "receivables grew " * 30, "Note") for k in range(40)] + [(0, "grew", None)]
+    docs = spark.createDataFrame(rows, "chunk_id int, text string, title string")
+    parts = lambda df: retrieval.postings(df, headings=("title",)).rdd.getNumPartitions()
+    once, twice = parts(docs), parts(docs.unionByName(docs))
+    assert once == -(-(40 * (17 * 30 + 5) + 4) // 1000) and abs(twice - 2 * once) <= 1 and parts(docs.limit(1)) == cores
+    got = {(r.chunk, r.term): (r.tf, r.length) for r in retrieval.postings(docs, headings=("title",)).collect()}
+    assert got[0, "grew"] == (31, 63) and got[1, "grew"] == (30, 62) and len(got) == 120
