@@ -105,11 +105,14 @@ def matched(rows: DataFrame, names: DataFrame) -> DataFrame:
     own, qualifiers = labels.word_set(F.col("label")), F.array_intersect(labels.word_set(F.coalesce("section", F.lit(""))), kinds)
     qualify = (F.size(qualifiers) > 0) & ~F.arrays_overlap(own, kinds) & ~F.array_contains(own, "total")
     texts = F.when(qualify, F.array(F.concat_ws(" ", "label", F.array_join(qualifiers, " ")), F.col("label"))).otherwise(F.array("label"))
-    each = rows.select(*TABLE, "line", "statement", F.posexplode(texts).alias("turn", "label"))
-    each = each.select(F.struct(*TABLE, "line", "turn").alias("label_id"), "statement", "label")
+    # Filings print the same labels over and over: each is read and matched once, under its section.
+    printed_ = {"_statement": F.col("statement"), "_label": F.col("label"), "_section": F.coalesce("section", F.lit(""))}
+    own_texts = rows.select("statement", "label", printed_["_section"].alias("section")).distinct()
+    each = own_texts.select(*(c.alias(k) for k, c in printed_.items()), F.posexplode(texts).alias("turn", "text"))
+    each = each.select(F.struct(*printed_, "turn").alias("label_id"), F.col("_statement").alias("statement"), F.col("text").alias("label"))
     found = labels.match(each, names)
-    best = found.groupBy("label_id.document_id", "label_id.table", "label_id.line").agg(F.max_by(F.struct("key", "score"), F.struct((F.col("score") == 1).alias("exact"), "score", (-F.col("label_id.turn")).alias("early"))).alias("_m"))
-    return rows.join(best, [*TABLE, "line"], "left").select(*rows.columns, "_m.key", "_m.score")
+    best = found.groupBy(*(f"label_id.{k}" for k in printed_)).agg(F.max_by(F.struct("key", "score"), F.struct((F.col("score") == 1).alias("exact"), "score", (-F.col("label_id.turn")).alias("early"))).alias("_m"))
+    return rows.withColumns(printed_).join(best, list(printed_), "left").select(*rows.columns, "_m.key", "_m.score")
 
 
 def with_parents(rows: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import group_indian
 from ..functions.timeseries import AMOUNT
 from ..operators import offer
+from ..operators.lineage import written
 from .base import cents, query, table
 
 LABELS = ("Alpha revenue", "Beta revenue", "Gamma revenue", "Delta revenue", "Epsilon revenue", "Zeta revenue", "Eta revenue")
@@ -19,8 +20,9 @@ EDGES, LETTER = (300, 400, 500), 5
 def printed_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(pages, words) of a statement for each supplier: a row for each line number, a column for each third year; five rows, then two on a page without header."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("document_id"), F.col("l_linenumber").cast("int").alias("n"), (F.year("l_shipdate") % 3).alias("c"), cents(F.col("l_extendedprice")).alias("cents"))
-    sums = lines.groupBy("document_id", "n", "c").agg(F.sum("cents").alias("cents"))
-    every = lines.select("document_id").distinct().select("document_id", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("n")).select("document_id", "n", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("c"))
+    # Written, so that lines are read once: all that is printed comes from their sums.
+    sums = written(lines.groupBy("document_id", "n", "c").agg(F.sum("cents").alias("cents")), "printed-sums")
+    every = sums.select("document_id").distinct().select("document_id", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("n")).select("document_id", "n", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("c"))
     cells = every.join(sums, ["document_id", "n", "c"], "left")
     shown = group_indian((F.col("cents") / 100).cast(AMOUNT))
     shown = F.when(F.coalesce("cents", F.lit(0)) == 0, "-").when(F.col("n") == 3, F.concat(F.lit("("), shown, F.lit(")"))).otherwise(shown)

@@ -52,3 +52,14 @@ def test_direct_rows_come_first(spark):
     parts = spark.createDataFrame([("a", 1, "x", 5.0, True, False), ("a", 2, "y", 7.0, False, False), ("a", 3, "z", 8.0, False, False), ("a", 4, "w", 7.0, False, False), ("b", 1, "x", 1.0, False, True), ("b", 2, "y", 2.0, False, True), ("b", 3, "z", 4.0, True, True)], "key string, line int, label string, value double, from_parent boolean, sum_rows boolean")
     found = {r.key: (r.value, r.ignored) for r in statements.item_amounts(parts, ("key",)).collect()}
     assert found == {"a": (7.0, ["z"]), "b": (3.0, [])} and statements.item_amounts(parts.where("false"), ("key",)).count() == 0
+
+
+def test_a_label_printed_often_is_matched_once(spark, monkeypatch):
+    rows = [(f"d{n}", 1, line, "balance_sheet", label, section) for n in range(3) for line, label, section in ((1, "Borrowings", "Non-current liabilities"), (2, "Borrowings", None), (3, "Borrowings", "Non-current liabilities"), (4, "Odd", None))]
+    rows = spark.createDataFrame(rows, "document_id string, table int, line int, statement string, label string, section string")
+    names = spark.createDataFrame([("balance_sheet", "long", "Non-current borrowings", 0), ("balance_sheet", "short", "Current borrowings", 1)], "statement string, key string, name string, rank int")
+    asked, real = [], statements.labels.match
+    monkeypatch.setattr(statements.labels, "match", lambda given, known: asked.append(given.count()) or real(given, known))
+    got = {(r.document_id, r.line): (r.key, r.score) for r in statements.matched(rows, names).collect()}
+    assert got == {(f"d{n}", line): found for n in range(3) for line, found in ((1, ("long", 1.0)), (2, (None, None)), (3, ("long", 1.0)), (4, (None, None)))}
+    assert asked == [4]
